@@ -63,7 +63,7 @@ def words(text: str) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for a bounded number of them."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 250_000):
         super().__init__()
         self.limit = limit
 

@@ -4,7 +4,7 @@ Sets are ordered by how rare their shingles are in the whole corpus (a count ske
 fixed size gives the order; any order gives the same result). Two sets that reach the
 threshold share a shingle in their prefixes; lengths, positions and a histogram of the
 rest rule pairs out before they are compared, once each. Equal sets are one node. Of
-the sets that share a shingle each is first compared with one of them only; what is
+the sets that share a shingle each is first compared with a few of them only; what is
 connected by then needs no further pairs, so that a group of very many near copies
 costs its size and not its square. All further pairs lie between different components.
 """
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, mixed, shingles, text_of, words
 
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 BLOOM_BITS = 27
 BINS = 16
+#: rounds of comparing each set with a few others, and how many in a round
+ROUNDS, DRAWS = 6, 3
 
 
 def shingle_set(hashes: WordHashes, text: str, size: int) -> np.ndarray:
@@ -70,10 +72,10 @@ def prefix_table(rows: DataFrame, sketch, size: int, threshold: Fraction) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, seen = WordHashes(), sketch.value, set()
-        for batch in batches:
+        for part in (batch.slice(begin, 1000) for batch in batches for begin in range(0, batch.num_rows, 1000)):
             out = []
-            for k in range(batch.num_rows):
-                s = shingle_set(hashes, batch.column(0)[k].as_py(), size)
+            for k in range(part.num_rows):
+                s = shingle_set(hashes, part.column(0)[k].as_py(), size)
                 node = node_of(s)
                 if not len(s) or node in seen:
                     continue
@@ -90,55 +92,44 @@ def prefix_table(rows: DataFrame, sketch, size: int, threshold: Fraction) -> Dat
                 keys = s[rare[np.lexsort((s[rare], count[rare]))[:length]]]
                 bins = np.bincount((mixed(s) >> np.uint64(60)).astype(np.int64), minlength=BINS)
                 out.append((node, n, keys.view(np.int64), bins))
-            for begin in range(0, len(out), 2000):
-                part = out[begin : begin + 2000]
+            if out:
                 arrays = []
                 for c, kind in ((2, pa.int64()), (3, pa.int32())):
-                    offsets = np.concatenate([[0], np.cumsum([len(o[c]) for o in part])]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([o[c] for o in part]), kind)))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in part], pa.int64()), pa.array([o[1] for o in part], pa.int64()), *arrays], names=["node", "n", "keys", "bins"])
+                    offsets = np.concatenate([[0], np.cumsum([len(o[c]) for o in out])]).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([o[c] for o in out]), kind)))
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), *arrays], names=["node", "n", "keys", "bins"])
 
     found = rows.select("text").mapInArrow(run, "node long, n long, keys array<long>, bins array<int>")
     return found.dropDuplicates(["node"])
 
 
-def sets_of(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node and its sorted shingles (packed) of the wanted nodes.
+def sets_of(rows: DataFrame, wanted: DataFrame, own: DataFrame, size: int) -> DataFrame:
+    """node and its sorted shingles (packed) of the wanted nodes, each from its smallest id.
 
-    A bit table of fixed size, made of the wanted nodes, leaves out most others
-    where they are read; the join does the rest.
+    A bit table of fixed size, made of those ids, leaves out most other rows before
+    their texts are split; the join does the rest.
     """
-    spark = rows.sparkSession
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << BLOOM_BITS))
-    bits = wanted.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("mask")).toArrow()
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_BITS))
+    ids = own.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    bits = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("mask")).toArrow()
     table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     table[bits["word"].to_numpy()] = bits["mask"].to_numpy()
-    shared = spark.sparkContext.broadcast(table)
-
-    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
-        for batch in batches:
-            out = []
-            for k in range(batch.num_rows):
-                s = shingle_set(hashes, batch.column(0)[k].as_py(), size)
-                node = node_of(s)
-                if len(s) and node not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(node)
-                    out.append((node, s))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1].tobytes() for o in out], pa.binary())], names=["node", "members"])
+    shared = rows.sparkSession.sparkContext.broadcast(table)
 
-    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, mask = WordHashes(), shared.value
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            keep = (mask[at >> 6] >> (at & 63)) & 1 == 1
-            yield batch.select([0, 1]).filter(pa.array(keep))
-
-    found = rows.select("text").mapInArrow(nodes, "node long, members binary").withColumn("at", place)
-    found = found.mapInArrow(held, "node long, members binary")
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            keep = np.flatnonzero((mask[at >> 6] >> (at & 63)) & 1)
+            for begin in range(0, len(keep), 500):
+                out = {}
+                for k in keep[begin : begin + 500]:
+                    s = shingle_set(hashes, batch.column(1)[int(k)].as_py(), size)
+                    if len(s):
+                        out[node_of(s)] = s.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "members"])
+
+    found = rows.select(place.alias("at"), "text").mapInArrow(run, "node long, members binary")
     return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -181,9 +172,10 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def _may_reach(threshold: Fraction, nx: Column, ny: Column, px: Column, py: Column) -> Column:
-    """Length and positional filter for a shingle in common at places px and py (from 0)."""
+    """Length and positional filter for the first shingle in common at places px and py (from
+    0): nothing before it is shared. Linked sets have such a first one, and keep it."""
     p, q = threshold.numerator, threshold.denominator
-    most = F.least(px, py) + 1 + F.least(nx - px - 1, ny - py - 1)
+    most = 1 + F.least(nx - px - 1, ny - py - 1)
     return (q * F.least(nx, ny) >= p * F.greatest(nx, ny)) & ((p + q) * most >= p * (nx + ny))
 
 
@@ -209,7 +201,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     told = scratch.save(profile(rows, size), "profile")
-    counts = told.filter("slot is not null").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()  # at most 2 ** 20 rows
+    counts = told.filter("slot is not null").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()  # at most 2 ** 18 rows
     table = np.zeros(1 << SKETCH_BITS, np.int64)
     table[counts["slot"].to_numpy()] = counts["count"].to_numpy()
     own = told.filter("slot is null").select("id", "node", "n")
@@ -217,22 +209,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     prefixes = scratch.save(prefix_table(rows, spark.sparkContext.broadcast(table), size, threshold), "prefixes")
     entries = prefixes.select("node", "n", F.posexplode("keys").alias("place", "key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key")
-    entries = scratch.save(entries.join(shared, "key", "left_semi"), "entries")
-
-    # first each set with one other of about its length that shares a shingle with it
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(threshold)))
-    banded = entries.select(F.xxhash64("key", band).alias("key"), "node")
-    centres = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).filter("a < most").select("key", "a")
-    stars = banded.join(centres, "key").filter("node > a").groupBy(F.col("node").alias("b")).agg(F.min("a").alias("a"))
-    stars = scratch.save(_with_bins(stars.select("a", "b"), prefixes, threshold), "stars")
-    sets = scratch.save(sets_of(rows, stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct(), size), "star-sets")
-    links = scratch.save(verified(stars, sets, threshold), "star-links")
-    scratch.drop("star-sets")
-    roots = components(links, scratch, "star-roots")
+    entries = scratch.save(entries.join(shared, "key", "left_semi"), "shared")
+    # a set whose prefix is mostly shared has few shingles of its own
+    common = entries.groupBy("node").agg(F.count("*").alias("common"))
+    entries = scratch.save(entries.join(common, "node"), "entries")
+    scratch.drop("shared")
+
+    nodes = entries.select("node").distinct().count()
+    links = roots = None
+    for step in range(ROUNDS):
+        stars = _star_pairs(_placed(entries, roots), threshold, step)
+        found = _checked(stars, prefixes, rows, own, scratch, f"star-{step}", size, threshold)
+        links, roots = _merged(links, found, scratch, f"round-{step}")
+        if found.count() <= 0.01 * nodes:
+            break
 
     # then all pairs that share a shingle and lie in different components: for each
     # shingle the sets outside its commonest component with all others
-    placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = _placed(entries, roots)
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("sets"))
     commonest = by_root.groupBy("key").agg(F.max_by("root", F.struct("sets", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("key", "main")
     placed = scratch.save(placed.join(commonest, "key"), "placed")
@@ -242,14 +236,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     reach = _may_reach(threshold, F.col("x_n"), F.col("y_n"), F.col("x_place"), F.col("y_place"))
     pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_root") != F.col("y_root")) & once & reach)
     pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    pairs = scratch.save(_with_bins(pairs, prefixes, threshold), "pairs")
-    scratch.drop("entries")
-    if pairs.limit(1).count():
-        sets = scratch.save(sets_of(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), size), "pair-sets")
-        links = scratch.save(links.union(verified(pairs, sets, threshold)), "links")
-        scratch.drop("pair-sets")
-        roots = components(links, scratch, "roots")
-    for name in ("prefixes", "placed"):
+    found = _checked(pairs, prefixes, rows, own, scratch, "pairs", size, threshold)
+    links, roots = _merged(links, found, scratch, "all")
+    for name in ("prefixes", "entries", "placed"):
         scratch.drop(name)
 
     by_node = own.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"))
@@ -261,6 +250,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     )
 
 
+def _placed(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """The entries with the component that each set has so far, at first its own."""
+    if roots is None:
+        return entries.withColumn("root", F.col("node"))
+    return entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _star_pairs(placed: DataFrame, threshold: Fraction, step: int) -> DataFrame:
+    """Pairs (a, b): each set with a few others of about its length and another component.
+
+    For each of some orders of the sets, every shingle names the lowest of its sets, and
+    every set takes the lowest that its shingles name: sets of one large group mostly
+    take the same one. The orders begin with what has the largest shared part, as that
+    is what copies with many changes are still like, and then mix by hashing.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(threshold)))
+    drawn = placed.withColumn("draw", F.explode(F.array(*[F.lit(DRAWS * step + k) for k in range(DRAWS)])))
+    drawn = drawn.select(F.xxhash64("key", band, "draw").alias("place_key"), (F.col("draw") * 0.02 * F.pmod(F.xxhash64("node", "draw"), F.lit(1000)) / 1000 - F.col("common") / F.col("n")).alias("order"), "draw", "node", "n", "place", "root")
+    lowest = drawn.groupBy("place_key").agg(F.min(F.struct("order", "node", "n", "place", "root")).alias("c"), F.count("*").alias("sets")).filter("sets > 1").select("place_key", "c")
+    near = drawn.join(lowest, "place_key").filter((F.col("root") != F.col("c.root")) & _may_reach(threshold, F.col("n"), F.col("c.n"), F.col("place"), F.col("c.place")))
+    taken = near.groupBy("draw", "node").agg(F.min(F.struct("c.order", "c.node")).alias("c"))
+    return taken.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
+def _checked(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame, own: DataFrame, scratch: Scratch, name: str, size: int, threshold: Fraction) -> DataFrame:
+    """Those of the pairs that are linked."""
+    pairs = scratch.save(_with_bins(pairs, prefixes, threshold), name)
+    sets = scratch.save(sets_of(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), own, size), f"{name}-sets")
+    found = scratch.save(verified(pairs, sets, threshold), f"{name}-links")
+    scratch.drop(f"{name}-sets")
+    return found
+
+
+def _merged(links: DataFrame | None, found: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """All links so far and their components."""
+    links = found if links is None else links.union(found)
+    return links, components(links, scratch, name)
+
+
 def _with_bins(pairs: DataFrame, prefixes: DataFrame, threshold: Fraction) -> DataFrame:
     side = lambda c: prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
