@@ -14,7 +14,7 @@ from .common import extended, text_of
 from .pieces import Pieces
 
 PART_CHARS = 4_000_000
-WORD_LIMIT = 600_000
+WORD_LIMIT = 900_000
 
 
 class Encoder:
@@ -112,9 +112,10 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "token_ids", text_col:
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 rows = batch.slice(begin, 500)
-                out = []
-                for ids in rows.column(at).to_pylist():
-                    text = b"".join([table[i] for i in ids or ()]).decode("utf-8", "replace")
+                out, ids = [], rows.column(at)
+                flat, offsets = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+                for first, last in zip(offsets[:-1], offsets[1:]):
+                    text = b"".join([table[i] for i in flat[first:last].tolist()]).decode("utf-8", "replace")
                     out.append(text[1:] if text[:1] == " " else text)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], names=[*rows.schema.names, text_col])
 
