@@ -149,26 +149,26 @@ def test_licenses(spark, odd):
     assert licenses.license_lines(spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny")], "doc_id long, text string"), known).collect()[0].line == 1
 
 
-def test_katz_is_normalised_and_recursive(spark):
+@pytest.mark.parametrize("vocabulary,least", [(4, 1), (4, 2), (1000, 2)])
+def test_katz_is_normalised_and_recursive(spark, vocabulary, least):
     texts = ["a b a b c", "a b c d", "b a b d", "a a b", "c d a b", "a b c", None, "E f A b"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    model = backoff_lm.Model(docs, vocabulary=4, least=1)
+    model = backoff_lm.Model(docs, vocabulary=vocabulary, least=least)
     tokens = [[*(t or "").lower().split(), "</s>"] for t in texts]
     c1 = Counter(w for t in tokens for w in t)
     n = sum(c1.values())
-    inside = {k for k, v in c1.items() if v >= 4} if sum(v >= 4 for v in c1.values()) <= 4 else set()
-    held = {("</s>" if h == backoff_lm.END else h.decode()) for h in (r.word for r in model.unigrams.collect()) if int(backoff_lm.Ids(model.vocabulary.hashes)[bytes(h)]) != backoff_lm.OTHER}
-    assert 1 < len(held) <= 4 and (not inside or inside <= held)
+    assert (len(model.vocabulary.hashes) < len(c1)) == (vocabulary == 4)
     d = lambda table, r: float(table[min(r, len(table) - 1)])
     p1 = {w: d(model.totals["d1"], c) * c / n for w, c in c1.items()}
     assert abs(sum(p1.values()) + model.totals["unseen"] - 1) < 1e-12
-    c2 = Counter(pair for t in tokens for pair in zip(["<s>", *t[:-1]], t) if pair[1] in held and (pair[0] in held or pair[0] == "<s>"))
-    contexts = {w: c1[w] for w in held} | {"<s>": len(texts)}
+    c2 = Counter(pair for t in tokens for pair in zip(["<s>", *t[:-1]], t))
+    contexts = dict(c1) | {"<s>": len(texts)}
+    assert np.allclose(model.d2, backoff_lm.discounts(Counter(c2.values()), least))
 
     def p2(w, h):
         if h not in contexts:
             return p1.get(w, model.totals["unseen"])
-        seen = {x: d(model.d2, c) * c / contexts[h] for (g, x), c in c2.items() if g == h}
+        seen = {x: d(model.d2, c) * c / contexts[h] for (g, x), c in c2.items() if g == h and c >= least}
         alpha = (1 - sum(seen.values())) / (1 - sum(p1[x] for x in seen))
         return seen.get(w) or alpha * p1.get(w, model.totals["unseen"])
 
