@@ -21,11 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, mixed, shingles, text_of, words
+from .common import Scratch, WordHashes, shingles, text_of, words
 
 SKETCH_BITS = 18
 BLOOM_BITS = 27
-BINS = 16
+#: bins of a set's histogram: a power of two, with four to eight shingles in each, and the least number of bins
+BIN_SIZE, LEAST_BINS = 4, 16
 #: rounds of comparing each set with a few others, and how many in a round
 ROUNDS, DRAWS = 6, 3
 
@@ -39,6 +40,23 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def histogram(s: np.ndarray) -> bytes:
+    """How many shingles lie in each of equal ranges of hashes, a byte each; empty if a count fits in none."""
+    bits = (max(LEAST_BINS, len(s) // BIN_SIZE)).bit_length() - 1
+    bins = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return bins.astype(np.uint8).tobytes() if bins.max() < 256 else b""
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """A number of shingles by which the sets of two histograms differ at least."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not x:
+        return 0
+    fine = np.frombuffer(y, np.uint8).reshape(len(x), -1).sum(1, dtype=np.int64)
+    return int(np.abs(fine - np.frombuffer(x, np.uint8)).sum())
+
+
 def profile(rows: DataFrame, size: int) -> DataFrame:
     """One pass over (id, text): id, node and n of each row, and (slot, count) rows of the sketch."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -68,7 +86,7 @@ def profile(rows: DataFrame, size: int) -> DataFrame:
 
 
 def prefix_table(rows: DataFrame, sketch, size: int, threshold: Fraction) -> DataFrame:
-    """node, n, keys (the prefix, rarest first) and bins (a histogram of the set) of each set with members."""
+    """node, n, keys (the prefix, rarest first) and bins (see ``histogram``) of each set with members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, seen = WordHashes(), sketch.value, set()
@@ -90,16 +108,16 @@ def prefix_table(rows: DataFrame, sketch, size: int, threshold: Fraction) -> Dat
                 else:
                     rare = np.arange(n)
                 keys = s[rare[np.lexsort((s[rare], count[rare]))[:length]]]
-                bins = np.bincount((mixed(s) >> np.uint64(60)).astype(np.int64), minlength=BINS)
-                out.append((node, n, keys.view(np.int64), bins))
+                out.append((node, n, keys.view(np.int64), histogram(s)))
             if out:
-                arrays = []
-                for c, kind in ((2, pa.int64()), (3, pa.int32())):
-                    offsets = np.concatenate([[0], np.cumsum([len(o[c]) for o in out])]).astype(np.int32)
-                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([o[c] for o in out]), kind)))
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), *arrays], names=["node", "n", "keys", "bins"])
-
-    found = rows.select("text").mapInArrow(run, "node long, n long, keys array<long>, bins array<int>")
+                offsets = np.concatenate([[0], np.cumsum([len(o[2]) for o in out])]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([o[2] for o in out]), pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), keys, pa.array([o[3] for o in out], pa.binary())],
+                    names=["node", "n", "keys", "bins"],
+                )
+
+    found = rows.select("text").mapInArrow(run, "node long, n long, keys array<long>, bins binary")
     return found.dropDuplicates(["node"])
 
 
@@ -179,13 +197,6 @@ def _may_reach(threshold: Fraction, nx: Column, ny: Column, px: Column, py: Colu
     return (q * F.least(nx, ny) >= p * F.greatest(nx, ny)) & ((p + q) * most >= p * (nx + ny))
 
 
-def _bins_allow(threshold: Fraction, nx: Column, ny: Column, x: Column, y: Column) -> Column:
-    """Suffix filter: the sets differ at least as much as their histograms do."""
-    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.abs(a - b)), F.lit(0).cast("long"), lambda s, d: s + d)
-    p, q = threshold.numerator, threshold.denominator
-    return (p + q) * (nx + ny - apart) >= 2 * p * (nx + ny)
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -219,7 +230,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     links = roots = None
     for step in range(ROUNDS):
         stars = _star_pairs(_placed(entries, roots), threshold, step)
-        found = _checked(stars, prefixes, rows, own, scratch, f"star-{step}", size, threshold)
+        near = _nearest(_with_bins(stars, prefixes, threshold))
+        found = _checked(near, rows, own, scratch, f"star-{step}", size, threshold)
         links, roots = _merged(links, found, scratch, f"round-{step}")
         if found.count() <= 0.01 * nodes:
             break
@@ -236,7 +248,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     reach = _may_reach(threshold, F.col("x_n"), F.col("y_n"), F.col("x_place"), F.col("y_place"))
     pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_root") != F.col("y_root")) & once & reach)
     pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    found = _checked(pairs, prefixes, rows, own, scratch, "pairs", size, threshold)
+    found = _checked(_with_bins(pairs, prefixes, threshold).select("a", "b"), rows, own, scratch, "pairs", size, threshold)
     links, roots = _merged(links, found, scratch, "all")
     for name in ("prefixes", "entries", "placed"):
         scratch.drop(name)
@@ -258,7 +270,7 @@ def _placed(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(placed: DataFrame, threshold: Fraction, step: int) -> DataFrame:
-    """Pairs (a, b): each set with a few others of about its length and another component.
+    """Pairs (a, b): each set a with a few others of about its length and another component.
 
     For each of some orders of the sets, every shingle names the lowest of its sets, and
     every set takes the lowest that its shingles name: sets of one large group mostly
@@ -266,17 +278,26 @@ def _star_pairs(placed: DataFrame, threshold: Fraction, step: int) -> DataFrame:
     is what copies with many changes are still like, and then mix by hashing.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-log(threshold)))
-    drawn = placed.withColumn("draw", F.explode(F.array(*[F.lit(DRAWS * step + k) for k in range(DRAWS)])))
-    drawn = drawn.select(F.xxhash64("key", band, "draw").alias("place_key"), (F.col("draw") * 0.02 * F.pmod(F.xxhash64("node", "draw"), F.lit(1000)) / 1000 - F.col("common") / F.col("n")).alias("order"), "draw", "node", "n", "place", "root")
-    lowest = drawn.groupBy("place_key").agg(F.min(F.struct("order", "node", "n", "place", "root")).alias("c"), F.count("*").alias("sets")).filter("sets > 1").select("place_key", "c")
-    near = drawn.join(lowest, "place_key").filter((F.col("root") != F.col("c.root")) & _may_reach(threshold, F.col("n"), F.col("c.n"), F.col("place"), F.col("c.place")))
+    keyed = placed.withColumn("band", band)
+    order = lambda draw: F.lit(0.02 * draw) * F.pmod(F.xxhash64("node", F.lit(draw)), F.lit(1000)) / 1000 - F.col("common") / F.col("n")
+    draws = range(DRAWS * step, DRAWS * (step + 1))
+    lowest = keyed.groupBy("key", "band").agg(*[F.min(F.struct(order(d).alias("order"), "node", "n", "place", "root")).alias(f"c_{d}") for d in draws], F.count("*").alias("sets"))
+    lowest = lowest.filter("sets > 1").select("key", "band", F.array(*[f"c_{d}" for d in draws]).alias("all"))
+    near = keyed.join(lowest, ["key", "band"]).select("node", "n", "place", "root", F.posexplode("all").alias("draw", "c"))
+    near = near.filter((F.col("root") != F.col("c.root")) & _may_reach(threshold, F.col("n"), F.col("c.n"), F.col("place"), F.col("c.place")))
     taken = near.groupBy("draw", "node").agg(F.min(F.struct("c.order", "c.node")).alias("c"))
-    return taken.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    return taken.select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
+
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of each set's pairs the one whose histograms are nearest, with the smaller node first."""
+    best = pairs.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("c"))
+    return best.select(F.least("a", "c.b").alias("a"), F.greatest("a", "c.b").alias("b")).distinct()
 
-def _checked(pairs: DataFrame, prefixes: DataFrame, rows: DataFrame, own: DataFrame, scratch: Scratch, name: str, size: int, threshold: Fraction) -> DataFrame:
+
+def _checked(pairs: DataFrame, rows: DataFrame, own: DataFrame, scratch: Scratch, name: str, size: int, threshold: Fraction) -> DataFrame:
     """Those of the pairs that are linked."""
-    pairs = scratch.save(_with_bins(pairs, prefixes, threshold), name)
+    pairs = scratch.save(pairs, name)
     sets = scratch.save(sets_of(rows, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), own, size), f"{name}-sets")
     found = scratch.save(verified(pairs, sets, threshold), f"{name}-links")
     scratch.drop(f"{name}-sets")
@@ -290,9 +311,23 @@ def _merged(links: DataFrame | None, found: DataFrame, scratch: Scratch, name: s
 
 
 def _with_bins(pairs: DataFrame, prefixes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Suffix filter: the pairs (a, b) whose histograms allow a link, and the share by which they differ.
+
+    Sets differ at least as much as their histograms do; the finer histogram is summed to
+    the other's ranges.
+    """
     side = lambda c: prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bins").alias(f"bins_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.filter(_bins_allow(threshold, F.col("n_a"), F.col("n_b"), F.col("bins_a"), F.col("bins_b"))).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "bins_a", "bins_b")
+    p, q = threshold.numerator, threshold.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(2).to_numpy()
+            apart = np.array([least_apart(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())], np.int64)
+            keep = pa.array((p + q) * (n - apart) >= 2 * p * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart / n)], names=["a", "b", "apart"]).filter(keep)
+
+    return both.mapInArrow(run, "a long, b long, apart double")
 
 
 def keep_first(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
