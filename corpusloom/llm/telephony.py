@@ -174,7 +174,7 @@ def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for begin, end in parts(texts, PART_BYTES):
+            for begin, end in parts([len(t) for t in texts], PART_BYTES):
                 sizes, media = [], []
                 for text in texts[begin:end]:
                     data = text.encode("utf-8", "surrogatepass")
@@ -201,7 +201,7 @@ def read_media(df: DataFrame, media_col: str = "media", out_rate: int = OUT_RATE
         filters: dict[int, tuple] = {}
         for batch in batches:
             media = batch.column(at).to_pylist()
-            for begin, end in parts([m or b"" for m in media], PART_BYTES):
+            for begin, end in parts([len(m or b"") for m in media], PART_BYTES):
                 heads = [from_wav(m) if m is not None else None for m in media[begin:end]]
                 signals = iter(expand([(c, a, d) for h in heads if h for c, _, a, d in (h,)]))
                 found = []
