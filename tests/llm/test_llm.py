@@ -253,6 +253,18 @@ def test_sentence_spans(spark, odd):
         assert not s or "".join(t[a:b] for a, b, _, _ in s) == t
 
 
+def test_spans_reach_into_sentences(spark):
+    word = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    passage = f"{word('a', 25)}. {word('b', 5)}. {word('c', 4)}! {word('d', 25)}"  # two whole sentences of 9 words
+    lone = f"{word('e', 30)}. {word('f', 30)}. {word('g', 30)}"
+    docs = [(1, f"One {passage} one. Hm."), (2, f"Other two {passage} two. Well."), (3, f"Begin. Say {lone} here. So. On."), (4, f"We {lone} there."), (5, "Hm. Well. So. On. Hm."), (6, f"x {passage} y. Z. x1 {passage} y1.")]
+    got = {r.doc_id: r for r in sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    text = dict(docs)
+    assert [got[k].text for k in (1, 3, 5)] == [text[k] for k in (1, 3, 5)]
+    assert got[2].text == "Other two two. Well." and got[4].text == "We there." and got[6].text == "x y. Z. x1 y1."
+    assert [got[k].n_removed for k in (1, 2, 4, 5)] == [0, 4, 3, 0]
+
+
 def test_language_id(spark, odd):
     docs = queries.read(spark, SF, "documents")
     got = language_id.identified(docs)
