@@ -193,8 +193,35 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return predict(rows, network).drop("text")
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", min_score: float = 0.0, **columns: str) -> DataFrame:
-    """The documents whose text has a language; columns stay as they are."""
-    network = fit(docs.filter(fold(columns.get("id_col", "doc_id"), 3) != 1), text_col=text_col, **columns)
+def calibrated(docs: DataFrame, network: Network, loss: float = 0.001, sample: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """The score that all but a share of ``loss`` of labelled texts reach, by about ``sample``
+    of them, dealt by a hash of the ids; 0 without any. Only scores reach the driver."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
+    lot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = rows.filter(lot < float(sample) / max(1, rows.count())).select("text")
+    found = predict(drawn, network).filter(F.col("lang_pred") != UNKNOWN).select("score").toArrow()["score"].to_numpy()
+    # the margin is for sums in another order
+    return float(np.quantile(found, loss, method="lower")) - 1e-6 if len(found) else 0.0
+
+
+def keep_known(docs: DataFrame, text_col: str = "text", min_score: float | None = None, **columns: str) -> DataFrame:
+    """The documents whose text has a language; columns stay as they are.
+
+    Texts that score below ``min_score`` are in none of the languages learnt; by default it
+    is ``calibrated`` on the labelled rows that the network hasn't seen. Where nothing is
+    labelled there is no network, and every text with a letter stays.
+    """
+    held_out = fold(columns.get("id_col", "doc_id"), 3) == 1
+    network = fit(docs.filter(~held_out), text_col=text_col, **columns)
+    if network is None:
+
+        def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([bool(t) and has_letter(t) for t in texts], pa.bool_()))
+
+        return docs.mapInArrow(lettered, docs.schema)
+    if min_score is None:
+        min_score = calibrated(docs.filter(held_out), network, text_col=text_col, **columns)
     kept = predict(docs, network, text_col, "__lang", "__score")
     return kept.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).drop("__lang", "__score")

@@ -279,6 +279,21 @@ def test_language_id(spark, odd):
     assert language_id.identified(odd.limit(0)).count() == 0
 
 
+def test_keep_known_without_labels(spark):
+    schema = "doc_id long, text string, lang string"
+    rows = [(k, t, None) for k, t in enumerate(["the cat", "12 3", None, "", "日本", "x" * 5000])]
+    assert {r.doc_id for r in language_id.keep_known(spark.createDataFrame(rows, schema)).collect()} == {0, 4, 5}
+
+
+def test_keep_known_rejects(spark):
+    docs = queries.read(spark, SF, "documents").select("doc_id", "text", "lang")
+    long = {r.lang: r.text for r in docs.orderBy(docs.text.substr(1, 50)).collect() if len(r.text or "") > 1500}
+    assert len(long) > 2
+    mixed = [(10_000 + k, (" ".join(t[:600] for t in list(long.values())[k:] + list(long.values())[:k]) + " "), None) for k in range(len(long))]
+    kept = {r.doc_id for r in language_id.keep_known(docs.union(spark.createDataFrame(mixed, docs.schema))).collect()}
+    assert not kept & {m[0] for m in mixed} and len(kept) >= 0.98 * docs.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
