@@ -1,11 +1,14 @@
 """License scan: canonical digests of whole texts, joined to those of known licences.
 
-The canonical form is made with SQL functions: lower case, equivalent spellings,
-no copyright lines, punctuation and white space as one space each.
+The canonical form is made with SQL functions: lower case, equivalent spellings, no
+title line, no copyright notices, punctuation and white space as one space each.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,12 +97,28 @@ any source distribution.""",
 }
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one space for each run of what is neither letter nor
-    digit, spellings made equal; null becomes empty."""
-    s = F.lower(F.coalesce(text, F.lit("")))
-    s = F.regexp_replace(s, r"(?m)^[^\n\p{L}\p{N}]*(copyright|©|\(c\))[^\n]*$", " ")
+# Whole texts, a file each.
+KNOWN |= {path.stem: path.read_text("utf-8") for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+#: a first line that names a licence, with a blank line and more text behind it
+TITLE = r"\A[^\p{L}\p{N}]*(?!(?:licen[sc]ed|released|distributed|permission|this|under|you|all)\b)[^\n]{0,60}\blicen[sc]e\b[^\n]{0,30}\n[^\S\n]*\n(?=[\s\S]*[\p{L}\p{N}])"
+#: lines of a copyright sign, of the word with a sign, a year or a place for one
+NOTICE = r"(?m)^[^\n\p{L}\p{N}]*(?:©|\(c\)[^\n\p{L}\p{N}]*(?:19|20)\d\d|copyright[\t :]*(?:by[\t ]+)?(?:©|\(c\)|[<\[{]|(?:19|20)\d\d))[^\n]*$"
+#: lines of the word and a name
+HOLDER = r"(?m)^[^\n\p{L}\p{N}]*Copyright[\t :]+(?:by[\t ]+)?(?!(?:Holder|Owner|Licen[sc]e|Notice|Law|Act|Statement|Protection|Interest|Right)s?\b)\p{Lu}[^\n]{0,80}$"
+
+
+def canonical(text: Column, title: str = TITLE) -> Column:
+    """Lower case, no title line, no copyright notices, one space for each run of what is
+    neither letter nor digit, spellings made equal; null becomes empty.
+
+    A line that merely begins with ``copyright`` or ``(c)``, as wrapping leaves it, is no notice.
+    """
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), HOLDER, " ")
+    s = F.regexp_replace(F.lower(s), title, " ")
+    s = F.regexp_replace(s, NOTICE, " ")
     s = F.regexp_replace(s, r"[^\p{L}\p{N}]+", " ")
+    s = F.regexp_replace(s, r"\ball rights reserved\b ?", "")
     # one pass over the text finds the few that hold any such spelling at all
     replaced = s
     for a, b in SPELLINGS.items():
@@ -108,10 +127,16 @@ def canonical(text: Column) -> Column:
     return F.trim(s)
 
 
+def variants(text: str) -> list[str]:
+    """A text as it is, and without what follows its terms (how to apply them)."""
+    return [text, *[text[: m.end()] for m in re.finditer("END OF TERMS AND CONDITIONS", text)], *[text[: m.start()] for m in re.finditer("END OF TERMS AND CONDITIONS", text)]]
+
+
 def known_licenses(spark, texts: dict[str, str] = KNOWN) -> DataFrame:
-    """license, digest of each known text: as many rows as texts are named."""
-    known = spark.createDataFrame(sorted(texts.items()), "license string, body string")
-    known = known.select("license", F.sha2(canonical(F.col("body")), 256).alias("digest"))
+    """license, digest of each known text and its variants, with and without a title (wrapping may join it to the text)."""
+    known = spark.createDataFrame([(name, body) for name, text in sorted(texts.items()) for body in variants(text)], "license string, body string")
+    forms = F.array(canonical(F.col("body")), canonical(F.col("body"), "(?!)"))
+    known = known.select("license", F.explode(forms).alias("form")).select("license", F.sha2("form", 256).alias("digest"))
     return known.groupBy("digest").agg(F.min("license").alias("license"))
 
 

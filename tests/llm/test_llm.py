@@ -149,6 +149,20 @@ def test_licenses(spark, odd):
     assert licenses.license_lines(spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny")], "doc_id long, text string"), known).collect()[0].line == 1
 
 
+def test_whole_licenses(spark):
+    import textwrap
+
+    texts = licenses.KNOWN
+    title = lambda k: f"{k} License\n\nCopyright (c) 2020 A. Person\nAll rights reserved.\n\n"
+    cases = [(name, text) for name, text in texts.items() if "line" not in name]
+    cases += [(k, title(k) + texts[k]) for k in ("MIT", "ISC", "Zlib", "BSD-2-Clause", "BSD-3-Clause")]
+    cases += [(k, f"Copyright Jane Doe\n\n{textwrap.fill(' '.join(texts[k].split()), n)}") for k in ("MIT", "ISC", "Zlib", "BSD-3-Clause", "MPL-2.0") for n in range(40, 80)]
+    cases += [(None, "MIT License"), (None, "(c) you must retain it"), ("GPL-2.0", texts["GPL-2.0"].split("END OF TERMS")[0])]
+    docs = spark.createDataFrame([(k, c[1]) for k, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.license for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [(k, c[0], got[k]) for k, c in enumerate(cases) if got[k] != c[0]] == []
+
+
 @pytest.mark.parametrize("vocabulary,least", [(4, 1), (4, 2), (1000, 2)])
 def test_katz_is_normalised_and_recursive(spark, vocabulary, least):
     texts = ["a b a b c", "a b c d", "b a b d", "a a b", "c d a b", "a b c", None, "E f A b"]
