@@ -163,11 +163,11 @@ def test_whole_licenses(spark):
     assert [(k, c[0], got[k]) for k, c in enumerate(cases) if got[k] != c[0]] == []
 
 
-@pytest.mark.parametrize("vocabulary,least", [(4, 1), (4, 2), (1000, 2)])
-def test_katz_is_normalised_and_recursive(spark, vocabulary, least):
+@pytest.mark.parametrize("vocabulary,least,order", [(4, 1, 2), (4, 2, 2), (1000, 2, 2), (1000, 1, 2), (4, 1, 3), (1000, 1, 3), (4, 2, 3), (4, 1, 4), (1000, 1, 5)])
+def test_katz_is_normalised_and_recursive(spark, vocabulary, least, order):
     texts = ["a b a b c", "a b c d", "b a b d", "a a b", "c d a b", "a b c", None, "E f A b"]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
-    model = backoff_lm.Model(docs, vocabulary=vocabulary, least=least)
+    model = backoff_lm.Model(docs, vocabulary=vocabulary, least=least, order=order)
     tokens = [[*(t or "").lower().split(), "</s>"] for t in texts]
     c1 = Counter(w for t in tokens for w in t)
     n = sum(c1.values())
@@ -175,24 +175,30 @@ def test_katz_is_normalised_and_recursive(spark, vocabulary, least):
     d = lambda table, r: float(table[min(r, len(table) - 1)])
     p1 = {w: d(model.totals["d1"], c) * c / n for w, c in c1.items()}
     assert abs(sum(p1.values()) + model.totals["unseen"] - 1) < 1e-12
-    c2 = Counter(pair for t in tokens for pair in zip(["<s>", *t[:-1]], t))
-    contexts = dict(c1) | {"<s>": len(texts)}
-    assert np.allclose(model.d2, backoff_lm.discounts(Counter(c2.values()), least))
+    grams = {m: Counter(tuple(["<s>", *t][k : k + m]) for t in tokens for k in range(len(t) + 2 - m)) for m in range(2, order + 1)}
+    counts = {(w,): c for w, c in c1.items()} | {("<s>",): len(texts)} | {g: c for m in grams for g, c in grams[m].items()}
+    for m in grams:
+        assert np.allclose(model.d[m], backoff_lm.discounts(Counter(grams[m].values()), least))
 
-    def p2(w, h):
-        if h not in contexts:
+    def p(w, h):
+        if not h:
             return p1.get(w, model.totals["unseen"])
-        seen = {x: d(model.d2, c) * c / contexts[h] for (g, x), c in c2.items() if g == h and c >= least}
-        alpha = (1 - sum(seen.values())) / (1 - sum(p1[x] for x in seen))
-        return seen.get(w) or alpha * p1.get(w, model.totals["unseen"])
-
-    for h in contexts:
-        assert abs(sum(p2(w, h) for w in p1) + p2("unknown", h) - 1) < 1e-9
+        if h not in counts or h[-1] == "</s>":
+            return p(w, h[1:])
+        m = len(h) + 1
+        seen = {g[-1]: d(model.d[m], c) * c / counts[h] for g, c in grams[m].items() if g[:-1] == h and c >= least}
+        alpha = (1 - sum(seen.values())) / (1 - sum(p(x, h[1:]) for x in seen))
+        return seen.get(w) or alpha * p(w, h[1:])
+
+    for h in counts:
+        if len(h) < order and h[-1] != "</s>":
+            assert abs(sum(p(w, h) for w in p1) + p("unknown", h) - 1) < 1e-9
     new = [(100, "a b zz c"), (101, ""), (102, "zz zz e F")]
     got = {r.doc_id: r for r in model.score(docs.union(spark.createDataFrame(new, "doc_id long, text string")), ["doc_id"]).collect()}
     for k, t in [*enumerate(texts), *new]:
         t = [*(t or "").lower().split(), "</s>"]
-        want = sum(math.log10(p2(w, h)) for h, w in zip(["<s>", *t[:-1]], t))
+        s = ["<s>", *t]
+        want = sum(math.log10(p(s[j], tuple(s[max(0, j + 1 - order) : j]))) for j in range(1, len(s)))
         base = sum(math.log10((c1[w] + 0.5) / (n + 0.5 * (len(c1) + 1))) for w in t)
         assert abs(got[k].score - want) < 1e-9 and abs(got[k].base_score - base) < 1e-9
         assert (got[k].n_tokens, got[k].n_known) == (len(t), sum(w in c1 for w in t))
