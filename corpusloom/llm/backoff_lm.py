@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, mixed, text_of, words
+from .common import Scratch, fold, mixed, released, small_batches, text_of, words
 from .sentencepieces import parts
 
 ID_BITS = 20
@@ -214,7 +214,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    counted = rows.select("text").mapInArrow(run, "word binary, count long")
+    counted = rows.select("text").mapInArrow(released(run), "word binary, count long")
     return counted.groupBy("word").agg(F.sum("count").alias("count"))
 
 
@@ -281,7 +281,7 @@ def ngram_table(rows: DataFrame, vocabulary, order: int) -> DataFrame:
         return pa.table([pa.array([o[c] for o in out], t) for c, t in enumerate(types)], names=["bucket", "folder", "kind", "keys", "counts", "contexts", "lower"])
 
     bits = vocabulary.value.bits
-    packed = rows.select("text").mapInArrow(count, packed_schema)
+    packed = rows.select("text").mapInArrow(released(count), packed_schema)
     return packed.groupBy("bucket").applyInArrow(merge, "bucket int, folder int, kind int, keys array<long>, counts array<long>, contexts array<long>, lower array<long>")
 
 
@@ -303,7 +303,7 @@ def histogram(table: DataFrame) -> dict[int, dict[int, int]]:
             both, n = np.unique(np.maximum(kinds, 2) << 32 | bin_of(flat(batch, "counts")), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(both >> 32), pa.array(both & 0xFFFFFFFF), pa.array(n)], names=["kind", "bin", "n"])
 
-    found = table.select("kind", "counts").mapInArrow(run, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
+    found = table.select("kind", "counts").mapInArrow(released(run), "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n"))
     out: dict[int, dict[int, int]] = {}
     for kind, bin_, n in found.collect():
         out.setdefault(kind, {})[bin_] = n
@@ -317,7 +317,7 @@ def exploded(table: DataFrame, kind: int) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([c.flatten() for c in batch.columns], names=["key", "count", "before", "last"])
 
-    return table.filter(F.col("kind") == kind).select("keys", "counts", "contexts", "lower").mapInArrow(run, "key long, count long, before long, last long")
+    return table.filter(F.col("kind") == kind).select("keys", "counts", "contexts", "lower").mapInArrow(released(run), "key long, count long, before long, last long")
 
 
 def discounted(count: Column, d: np.ndarray) -> Column:
@@ -334,7 +334,7 @@ def rare_terms(bigrams: DataFrame, others: DataFrame, vocabulary, d2: np.ndarray
             known = [pa.array(table[np.maximum(at, 0)], mask=at < 0) for table, at in ((v.contexts, before), (np.append(v.p1, 0.0), word))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *known], names=["key", "count", "before", "last", "context", "lower"])
 
-    found = bigrams.mapInArrow(run, "key long, count long, before long, last long, context double, lower double")
+    found = bigrams.mapInArrow(released(run), "key long, count long, before long, last long, context double, lower double")
     # words of the vocabulary look for their bigram's key, which no word has: so none is hot
     at = lambda c: F.when(F.col(c) < 0, F.col(c)).otherwise(F.col("key"))
     found = found.join(others.select(F.col("symbol").alias("__b"), F.col("count").cast("double").alias("__context")), at("before") == F.col("__b"), "left")
@@ -355,7 +355,7 @@ def rare_gains(terms: DataFrame, alphas: DataFrame, vocabulary) -> DataFrame:
             alpha = np.where(before < 0, alpha, known[np.maximum(before, 0)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(seen) - np.log10(alpha * lower))], names=["key", "gain"])
 
-    return found.filter("seen > 0").select("key", "before", "seen", "lower", "alpha").mapInArrow(run, "key long, gain double")
+    return found.filter("seen > 0").select("key", "before", "seen", "lower", "alpha").mapInArrow(released(run), "key long, gain double")
 
 
 def context_sums(table: DataFrame, vocabulary) -> DataFrame:
@@ -370,7 +370,7 @@ def context_sums(table: DataFrame, vocabulary) -> DataFrame:
             which, at = np.unique(keys[used] >> ID_BITS, return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(np.bincount(at, seen[used])), pa.array(np.bincount(at, v.p1[keys[used] & START]))], names=["id", "seen", "lower"])
 
-    return table.filter("kind = 0").select("keys", "counts").mapInArrow(run, "id long, seen double, lower double")
+    return table.filter("kind = 0").select("keys", "counts").mapInArrow(released(run), "id long, seen double, lower double")
 
 
 def pair_shares(table: DataFrame, vocabulary) -> DataFrame:
@@ -382,7 +382,7 @@ def pair_shares(table: DataFrame, vocabulary) -> DataFrame:
             keys, counts = flat(batch, "keys"), flat(batch, "counts")
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, counts, v.seen(keys, counts))], names=["key", "count", "seen"])
 
-    return table.filter("kind = 0").select("keys", "counts").mapInArrow(run, "key long, count long, seen double")
+    return table.filter("kind = 0").select("keys", "counts").mapInArrow(released(run), "key long, count long, seen double")
 
 
 def backoff_weight() -> Column:
@@ -399,7 +399,7 @@ def frequent(table: DataFrame, vocabulary, lowest: int) -> tuple[np.ndarray, np.
             often = bin_of(counts) >= lowest
             yield pa.RecordBatch.from_arrays([pa.array(keys[often]), pa.array(v.gains(keys[often], counts[often]))], names=["key", "gain"])
 
-    found = table.filter("kind = 0").select("keys", "counts").mapInArrow(run, "key long, gain double").toArrow()
+    found = table.filter("kind = 0").select("keys", "counts").mapInArrow(released(run), "key long, gain double").toArrow()
     keys = found["key"].to_numpy()
     order = np.argsort(keys)
     return keys[order], found["gain"].to_numpy()[order]
@@ -420,7 +420,7 @@ def valued(rows: DataFrame, vocabulary) -> DataFrame:
             none = pa.nulls(len(groups), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups], pa.int32()), lists[0], none, *lists[1:]], names=["bucket", "keys", "counts", "gains", "bases"])
 
-    return rows.select("key", "gain", "base").mapInArrow(run, "bucket int, keys array<long>, counts array<long>, gains array<double>, bases array<double>")
+    return rows.select("key", "gain", "base").mapInArrow(released(run), "bucket int, keys array<long>, counts array<long>, gains array<double>, bases array<double>")
 
 
 def requests(rows: DataFrame, vocabulary, often, order: int, columns: list[str]) -> DataFrame:
@@ -478,7 +478,7 @@ def requests(rows: DataFrame, vocabulary, often, order: int, columns: list[str])
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(zip(*out), types)], whole], names=["bucket", "run", "owners", "keys", "whole"])
                 number += 1
 
-    return rows.select(*rows.columns).mapInArrow(run, schema)
+    return rows.select(*rows.columns).mapInArrow(released(run), schema)
 
 
 def looked_up(asked: DataFrame, table: DataFrame, vocabulary) -> DataFrame:
@@ -562,7 +562,7 @@ class Model:
         """``least``: n-grams seen more seldom back off, their share going with the rest."""
         spark = train.sparkSession
         self.scratch, self.order = Scratch(spark, "katz"), order
-        rows = train.select(text_of(text_col).alias("text"))
+        rows = small_batches(train).select(text_of(text_col).alias("text"))
         self.unigrams = self.scratch.save(word_counts(rows), "unigrams")
         facts = self.unigrams.agg(
             F.coalesce(F.sum("count"), F.lit(0)).alias("tokens"),
@@ -632,7 +632,7 @@ class Model:
                 for batch in batches:
                     yield pa.RecordBatch.from_arrays([pa.array(context_keys(batch.column(0).to_numpy(), m)), batch.column(1)], names=["key", "gain"])
 
-            found = gains.union(alphas.select("before", F.log10("alpha")).mapInArrow(keyed, "key long, gain double"))
+            found = gains.union(alphas.select("before", F.log10("alpha")).mapInArrow(released(keyed), "key long, gain double"))
             out = found if out is None else out.union(found)
             shares = terms.select("key", "count", "seen")
         return out

@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingles
+from .common import released, shingles, small_batches
 
 WORD = re.compile(r"\w+")
 SIZE, SIMILARITY, RADIUS, BITS = 5, 0.8, 20, 64
 BLOCK_CHARS = 16_000_000
+PAIRS = 2_000_000
 
 
 def tokens(text: str | None) -> list[str]:
@@ -73,7 +74,14 @@ class Items:
         return shingles(np.array(ids, np.uint64), self.size)
 
     def near(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in prints, item) of all pairs within the radius."""
+        """(position in prints, item) of all pairs within the radius; so many fingerprints at
+        a time that the pairs of a block stay within ``PAIRS``."""
+        step = max(1, PAIRS // (1 + len(self.by_length[length][1]) * len(self.cuts) // 8))
+        found = [self._near(length, prints[k : k + step]) for k in range(0, len(prints), step)]
+        at = [a + k * step for k, (a, _) in enumerate(found)]
+        return (np.concatenate(at), np.concatenate([i for _, i in found])) if found else (np.zeros(0, int), np.zeros(0, int))
+
+    def _near(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         which, own, tables = self.by_length[length]
         found = []
         for (shift, mask), (values, order) in zip(self.cuts, tables):
@@ -185,7 +193,7 @@ def find_leaks(
                     types = (None, pa.int64(), pa.int64(), pa.int32(), pa.float64())
                     yield pa.RecordBatch.from_arrays([ids, *[pa.array([f[k + 1] for f in found], types[k]) for k in range(5)]], names=names)
 
-        part = rows.mapInArrow(run, schema)
+        part = small_batches(rows).mapInArrow(released(run), schema)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -205,5 +213,5 @@ def without_leaks(
             for batch in batches:
                 yield batch.filter(pa.array([not items.matches(batch.column(at)[k].as_py()) for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(released(run), docs.schema)
     return docs

@@ -21,12 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, shingles, text_of, words
+from .common import Scratch, WordHashes, released, shingles, small_batches, text_of, words
 
 SKETCH_BITS = 18
 BLOOM_BITS = 27
 #: bins of a set's histogram: a power of two, with four to eight shingles in each, and the least number of bins
 BIN_SIZE, LEAST_BINS = 4, 16
+#: fewer sets than this have more than that share of all rows
+HOT_SETS = 1_000
 #: rounds of comparing each set with a few others, and how many in a round
 ROUNDS, DRAWS = 6, 3
 
@@ -82,7 +84,7 @@ def profile(rows: DataFrame, size: int) -> DataFrame:
             none = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(len(part), id_type), none, none, pa.array(part.astype(np.int32)), pa.array(sketch[part])], names=["id", "node", "n", "slot", "count"])
 
-    return rows.select("id", "text").mapInArrow(run, f"id {kind}, node long, n long, slot int, count long")
+    return rows.select("id", "text").mapInArrow(released(run), f"id {kind}, node long, n long, slot int, count long")
 
 
 def prefix_table(rows: DataFrame, sketch, size: int, threshold: Fraction) -> DataFrame:
@@ -117,7 +119,7 @@ def prefix_table(rows: DataFrame, sketch, size: int, threshold: Fraction) -> Dat
                     names=["node", "n", "keys", "bins"],
                 )
 
-    found = rows.select("text").mapInArrow(run, "node long, n long, keys array<long>, bins binary")
+    found = rows.select("text").mapInArrow(released(run), "node long, n long, keys array<long>, bins binary")
     return found.dropDuplicates(["node"])
 
 
@@ -147,7 +149,7 @@ def sets_of(rows: DataFrame, wanted: DataFrame, own: DataFrame, size: int) -> Da
                         out[node_of(s)] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["node", "members"])
 
-    found = rows.select(place.alias("at"), "text").mapInArrow(run, "node long, members binary")
+    found = rows.select(place.alias("at"), "text").mapInArrow(released(run), "node long, members binary")
     return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -165,7 +167,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFram
                 keep.append(threshold.denominator * shared >= threshold.numerator * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "__a", "__b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "__a", "__b").mapInArrow(released(run), "a long, b long")
 
 
 def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -210,7 +212,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     told = scratch.save(profile(rows, size), "profile")
     counts = told.filter("slot is not null").groupBy("slot").agg(F.sum("count").alias("count")).toArrow()  # at most 2 ** 18 rows
     table = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -253,13 +255,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: Fraction = Fracti
     for name in ("prefixes", "entries", "placed"):
         scratch.drop(name)
 
-    by_node = own.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"))
+    by_node = own.filter("n > 0").groupBy("node").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     by_node = by_node.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = by_node.groupBy("root").agg(F.min("low").alias("component"))
-    reached = by_node.join(by_root, "root").select("node", "component")
-    return own.join(reached, "node", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id")
-    )
+    reached = scratch.save(by_node.join(by_root, "root").select("node", "component", "copies"), "reached")
+    # sets with more than a thousandth of all copies are fewer than a thousand: their rows stay where they are
+    hot = reached.join(F.broadcast(reached.agg((F.sum("copies") / HOT_SETS).alias("most"))), F.col("copies") > F.col("most")).select("node", F.col("component").alias("hot"))
+    dealt = own.join(F.broadcast(hot), "node", "left")
+    rest = dealt.filter("hot is null").join(reached.select("node", "component"), "node", "left")
+    found = rest.select("id", "n", "component").union(dealt.filter("hot is not null").select("id", "n", "hot"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _placed(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -327,7 +332,7 @@ def _with_bins(pairs: DataFrame, prefixes: DataFrame, threshold: Fraction) -> Da
             keep = pa.array((p + q) * (n - apart) >= 2 * p * n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart / n)], names=["a", "b", "apart"]).filter(keep)
 
-    return both.mapInArrow(run, "a long, b long, apart double")
+    return both.mapInArrow(released(run), "a long, b long, apart double")
 
 
 def keep_first(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

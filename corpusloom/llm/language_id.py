@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import extended, fold, text_of
+from .common import extended, fold, released, small_batches, text_of
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -111,41 +112,54 @@ def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
 
+def drawn(rows: DataFrame, per_text: int = 4) -> DataFrame:
+    """lang, window of (text, lang): a few windows of each text with a letter, from anywhere in
+    the whole text, by the bytes they hold and by a hash of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, found = [], []
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if has_letter(text):
+                    w, held = windows(text)
+                    rng = np.random.default_rng(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")))
+                    for k in rng.choice(len(w), min(per_text, len(w)), p=held / held.sum()):
+                        langs.append(lang)
+                        found.append(w[k].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary())], names=["lang", "window"])
+
+    return small_batches(rows).select("text", "lang").mapInArrow(released(run), "lang string, window binary")
+
+
 def fit(docs: DataFrame, sample: int = 6_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """A network fitted on at most ``sample`` labelled texts of at most 16,384 bytes each.
+    """A network fitted on windows of at most ``sample`` labelled texts.
 
-    The sample is dealt by a hash of the ids: per language an equal share of at most
-    ``sample``, over at most 64 languages (the most frequent). Rows with a null text, id or
-    language are left out. None if nothing is labelled. What reaches the driver is
-    bounded by these parameters.
+    The sample is dealt by a hash of the ids: per language an equal share, one text at
+    least, over all languages (with more than ``sample``, the most frequent so many). Rows
+    with a null text, id or language are left out. None if nothing is labelled. Only
+    languages and at most four windows of 195 bytes a text reach the driver.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()]
+    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()]
     if not langs:
         return None
     # ids alone are ranked; their texts are fetched by the join afterwards
     share = sample // len(langs)
-    kept = rows.select("id", "lang", F.xxhash64("id").alias("h")).filter(F.col("lang").isin(langs))
-    counts = kept.groupBy("lang").agg(F.count("*").alias("n"))
+    kept = rows.select("id", "lang", F.xxhash64("id").alias("h"))
+    counts = kept.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
     # an even threshold on the hash leaves about twice the share before the exact cut
     lot = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = kept.join(F.broadcast(counts), "lang").filter(lot < 2.0 * share / F.col("n"))
+    kept = kept.join(F.broadcast(counts), "lang").filter(lot < (2.0 * share + 20) / F.col("n"))
     kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("rank") <= share)
-    chosen = F.broadcast(kept.select("id", "lang").distinct())
-    found = rows.join(chosen, ["id", "lang"]).select("id", "lang", F.substring("text", 1, 16_384).alias("text")).orderBy("id", "lang", "text").limit(sample).toArrow()
-    names = sorted(set(langs))
-    rng = np.random.default_rng(3)
-    x, y = [], []
-    for text, lang in zip(found["text"].to_pylist(), found["lang"].to_pylist()):
-        if has_letter(text):
-            w, held = windows(text)
-            drawn = rng.choice(len(w), min(4, len(w)), p=held / held.sum())
-            x.append(w[drawn])
-            y += [names.index(lang)] * len(drawn)
-    if not x:
+    chosen = F.broadcast(kept.select("id", "lang").distinct())  # at most ``sample`` rows
+    found = drawn(rows.join(chosen, ["id", "lang"]).dropDuplicates(["id", "lang"])).toArrow()
+    if not found.num_rows:
         return None
+    names = sorted(set(langs))
+    place = {lang: k for k, lang in enumerate(names)}
+    pairs = sorted(zip(found["lang"].to_pylist(), found["window"].to_pylist()))
     network = Network(names)
-    network.train(np.concatenate(x), np.array(y))
+    network.train(np.frombuffer(b"".join(w for _, w in pairs), np.uint8).reshape(len(pairs), -1), np.array([place[lang] for lang, _ in pairs]))
     return network
 
 
@@ -182,7 +196,7 @@ def predict(df: DataFrame, network: Network | None, text_col: str = "text", lang
                 added = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(released(run), schema)
 
 
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 6_000) -> DataFrame:
@@ -220,7 +234,7 @@ def keep_known(docs: DataFrame, text_col: str = "text", min_score: float | None
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([bool(t) and has_letter(t) for t in texts], pa.bool_()))
 
-        return docs.mapInArrow(lettered, docs.schema)
+        return small_batches(docs).mapInArrow(released(lettered), docs.schema)
     if min_score is None:
         min_score = calibrated(docs.filter(held_out), network, text_col=text_col, **columns)
     kept = predict(docs, network, text_col, "__lang", "__score")

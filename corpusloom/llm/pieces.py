@@ -17,19 +17,33 @@ import sentencepiece
 MARK = "▁"
 
 
+def piece_bytes(model_file: str) -> list[bytes]:
+    """What each id stands for; nothing for begin, end and unknown."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
+    out = [b""] * sp.get_piece_size()
+    for i in range(len(out)):
+        if sp.is_byte(i):
+            out[i] = bytes([int(sp.id_to_piece(i)[3:5], 16)])
+        elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
+            out[i] = sp.id_to_piece(i).replace(MARK, " ").encode()
+    return out
+
+
 class Pieces:
+    """``ValueError`` for a model that isn't BPE (scores that are no ranks), or that lacks what the device needs."""
+
     def __init__(self, model_file: str, pair_limit: int = 400_000):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.ids, self.bytes_of, scores = {}, {}, {}
+        self.ids, scores = {}, {}
         self.byte_id: dict[int, int] = {}
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte_id[int(piece[3:5], 16)] = i
-                self.bytes_of[i] = bytes([int(piece[3:5], 16)])
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[piece], scores[piece] = i, sp.get_score(i)
-                self.bytes_of[i] = piece.replace(MARK, " ").encode()
+        if any(s != int(s) for s in scores.values()):
+            raise ValueError("a BPE model is needed: this one's scores are probabilities")
         if len(self.byte_id) != 256 or sp.encode(" a", out_type=str)[:1] != [MARK]:
             raise ValueError("a byte-fallback model that keeps white space and adds a leading mark is needed")
         self.rank = {p: k for k, p in enumerate(sorted(scores, key=lambda p: (-scores[p], self.ids[p])))}

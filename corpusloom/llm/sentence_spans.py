@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, extended, words
+from .common import Scratch, extended, released, small_batches, words
 
 END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 WORD = re.compile(r"[^\t-\r ]+")
@@ -90,7 +90,7 @@ def span_table(rows: DataFrame, run: int, alone: int) -> DataFrame:
                 columns = [pa.array(both[:, 0]), pa.array(both[:, 1]), part.column(0).take(pa.array(owner, pa.int32())), pa.array(place, pa.int64()), pa.array(near, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "id", "place", "near"])
 
-    return rows.select("id", "text").mapInArrow(split, schema)
+    return rows.select("id", "text").mapInArrow(released(split), schema)
 
 
 def open_edges(hits: DataFrame, least: int) -> DataFrame:
@@ -119,7 +119,7 @@ def open_edges(hits: DataFrame, least: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     grouped = hits.groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "place", "near")).alias("spans"))
-    return grouped.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return grouped.mapInArrow(released(run), ", ".join(f"{c} long" for c in names))
 
 
 def surroundings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def surroundings(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "side", "beside"])
 
     asked = wanted.groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "place", "side", "need")).alias("asked"))
-    return rows.join(asked, "id").select("text", "asked").mapInArrow(run, schema)
+    return rows.join(asked, "id").select("text", "asked").mapInArrow(released(run), schema)
 
 
 def shared(a: list[bytes], b: list[bytes], side: int) -> int:
@@ -227,16 +227,18 @@ def remove_repeats(
 ) -> DataFrame:
     """The documents with repeated passages taken out of the text, and how many sentences lost words.
 
-    The first of equal spans is the one in the smallest id, then the one nearest to the
-    text's start. Rows of one id are one document: neither is a repeat of the other. Null
+    The first of equal spans is the one in the smallest id (of ids that are no integers:
+    in the smallest hash), then the one nearest to the text's start. Rows of one id are one document: neither is a repeat of the other. Null
     ids count as the largest, null texts stay null. Letters' ASCII case and white space
     don't tell sentences apart. Other columns stay as they are. Hot spans are summed
     before the shuffle; the spans are joined to the few that repeat, where Spark
     splits what is skewed. Each document's own list of places is all that is gathered.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    # an id that sorts behind all others stands for null
-    rows = docs.select(F.coalesce(F.col(id_col), F.lit(2**63 - 1)).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # an id that sorts behind all others stands for null; other ids than integers go by a hash
+    integral = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    own = F.coalesce(F.col(id_col) if integral else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(2**63 - 1)).cast("long")
+    rows = small_batches(docs).select(own.alias("id"), F.col(text_col).alias("text"))
     table = scratch.save(span_table(rows, run, alone), "table")
     repeated = table.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("k1", "k2", "first")
     repeated = scratch.save(repeated, "repeated")
@@ -252,7 +254,7 @@ def remove_repeats(
     hits = hits.groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "place")).alias("__hits"))
     beside = beside.groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "place", "side", "beside")).alias("__beside"))
     names = docs.columns
-    marked = docs.withColumn("__id", F.coalesce(F.col(id_col), F.lit(2**63 - 1)).cast("long"))
+    marked = docs.withColumn("__id", own)
     for more in (hits, beside):
         marked = marked.join(more.withColumnRenamed("id", "__id"), "__id", "left")
     marked = marked.select(*names, "__hits", "__beside")
@@ -275,4 +277,4 @@ def remove_repeats(
             columns = [pa.array(texts, pa.string()) if name == text_col else batch.column(batch.schema.get_field_index(name)) for name in names]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(removed, pa.int64())] * bool(removed_col)], names=schema.names)
 
-    return marked.mapInArrow(cut, schema)
+    return marked.mapInArrow(released(cut), schema)

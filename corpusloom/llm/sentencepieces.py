@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -12,8 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, text_of
-from .pieces import Pieces
+from .common import extended, released, small_batches, text_of, uncollected
+from .pieces import Pieces, piece_bytes
 
 PART_CHARS = 1_000_000
 WORD_LIMIT = 700_000
@@ -24,8 +23,8 @@ class Encoder:
     trie in depth-first order, and each keeps the forward pass of the prefix that it
     shares with its predecessor."""
 
-    def __init__(self, model_file: str):
-        self.pieces = Pieces(model_file)
+    def __init__(self, model_file: str, limit: int = WORD_LIMIT):
+        self.pieces, self.limit = Pieces(model_file), limit
         self.known: dict[str, bytes] = {}  # packed 32-bit ids: less memory than arrays, and joined faster
 
     def learn(self, words: Iterable[str]) -> None:
@@ -51,7 +50,7 @@ class Encoder:
         """The packed ids of each text."""
         split = [self.pieces.unit.findall(self.pieces.marked(t)) for t in texts]
         distinct = set().union(*split) if split else set()
-        if len(self.known) + len(distinct) > WORD_LIMIT:
+        if len(self.known) + len(distinct) > self.limit:
             self.known = {w: ids for w in distinct if (ids := self.known.get(w)) is not None}
         self.learn(distinct - self.known.keys())
         known = self.known
@@ -70,20 +69,19 @@ def parts(sizes: list[int], most: int = PART_CHARS) -> Iterator[tuple[int, int]]
         yield begin, len(sizes)
 
 
-def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "token_ids", words_kept: int = WORD_LIMIT) -> DataFrame:
     """Adds the array of token ids of each whole text, as the model's library gives them.
 
     Null and empty texts give an empty array. Other columns, nulls in them and
     repeated rows pass through; a column already named ``ids_col`` is replaced.
-    Each task keeps a bounded store of words; nothing is shuffled.
+    Each task keeps a bounded store of words (``words_kept``); nothing is shuffled.
     """
     df = df.drop(ids_col)
     schema = extended(df, **{ids_col: "array<int>"})
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # no cycles are made; walking the store again and again costs a third of the time
-        encoder = Encoder(model_file)
+        encoder = Encoder(model_file, words_kept)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
             for begin, end in parts(sizes):
@@ -94,7 +92,7 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str
                 rows = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*rows.columns, flat], names=[*rows.schema.names, ids_col])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(released(uncollected(run)), schema)
 
 
 def decode(df: DataFrame, model_file: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
@@ -108,10 +106,7 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "token_ids", text_col:
     at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model_file)
-        table = [b""] * (max(pieces.bytes_of) + 1)
-        for i, b in pieces.bytes_of.items():
-            table[i] = b
+        table = piece_bytes(model_file)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 rows = batch.slice(begin, 500)
@@ -122,12 +117,14 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "token_ids", text_col:
                     out.append(text[1:] if text[:1] == " " else text)
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], names=[*rows.schema.names, text_col])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(released(run), schema)
 
 
 def encoded_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, token_ids and whether decoding gives the text back.
 
+    Null and empty texts have no tokens and come back as empty; null ids and repeated
+    rows are kept, an empty table gives none; other columns are not read.
     A text holding U+2581 itself doesn't come back (it decodes to a space), as with
     the library.
     """

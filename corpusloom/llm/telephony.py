@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, text_of
+from .common import Scratch, extended, released, small_batches, text_of
 from .sentencepieces import parts
 
 CODECS = ("mulaw", "alaw", "ima_adpcm")
@@ -183,7 +183,7 @@ def store_payloads(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     media.append(to_wav(payload, CODECS[zlib.crc32(payload) % 3]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(released(run), schema).withColumnRenamed("id", id_col)
 
 
 def read_media(df: DataFrame, media_col: str = "media", out_rate: int = OUT_RATE, with_pcm: bool = True) -> DataFrame:
@@ -217,11 +217,11 @@ def read_media(df: DataFrame, media_col: str = "media", out_rate: int = OUT_RATE
                 rows = batch.slice(begin, end - begin)
                 yield pa.RecordBatch.from_arrays([*rows.columns, *added], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(released(run), schema)
 
 
 def _digests(df: DataFrame, id_col: str) -> DataFrame:
-    """Digests of the bytes read back and of the stored file; SHA-256 and CRC in the JVM."""
+    """Digests of the bytes read back and of the stored file, and the PCM; SHA-256 and CRC in the JVM."""
     return df.select(
         id_col,
         "n_bytes",
@@ -231,8 +231,16 @@ def _digests(df: DataFrame, id_col: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "pcm",
     )
 
 
 def telephony_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return _digests(read_media(store_payloads(docs, id_col, text_col), with_pcm=False), id_col)
+    """doc_id, digests of the payload and of its file, feature and resampled PCM of every text.
+
+    The files are written to the shared folder and read back from there. Null and empty
+    texts are 64 bytes 0; equal texts have equal values, repeated rows repeated ones; null
+    ids are kept; an empty table gives none. Other columns are not read.
+    """
+    stored = Scratch(docs.sparkSession, "telephony").save(store_payloads(docs, id_col, text_col), "media")
+    return _digests(read_media(stored), id_col)

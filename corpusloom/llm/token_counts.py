@@ -11,14 +11,13 @@ associatively, by a tree as in a prefix scan.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import released, small_batches, text_of, uncollected
 from .pieces import Pieces
 
 BLOCK = 65_536
@@ -152,7 +151,6 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
     schema = f"id {rows.schema[0].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # no cycles are made; walking the states again and again costs a third of the time
         counter = Transducer(model_file)
         for batch in batches:
             n_bytes, n_tokens = [], []
@@ -165,4 +163,4 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
                 names=["id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(released(uncollected(run)), schema).withColumnRenamed("id", id_col)

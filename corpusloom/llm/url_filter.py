@@ -53,9 +53,10 @@ def folded(url: Column) -> Column:
 
 
 def grams(url: Column) -> Column:
-    """The strings of four that end at each character, ^ standing before the first."""
+    """The strings of four that end at each character, ^ standing before the first; none of an empty URL."""
     s = F.concat(F.lit("^^^"), folded(url))
-    return F.transform(F.sequence(F.lit(1), F.length(s) - 3), lambda k: F.substring(s, k, 4))
+    found = F.transform(F.sequence(F.lit(1), F.length(s) - 3), lambda k: F.substring(s, k, 4))
+    return F.when(F.length(s) > 3, found).otherwise(F.array().cast("array<string>"))
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
@@ -107,8 +108,10 @@ def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES, id_col: str = "
         .agg(*[F.sum(F.when((F.col("label") == x) & F.col("train"), 1).otherwise(0)).alias(y) for x, y in (("allow", "accept"), ("block", "reject"))])
     )
     scores = F.broadcast(gram_scores(counts))
-    # a URL with very many copies is scored once
+    # a URL with very many copies is scored once; URLs are small and their strings many, so
+    # they are dealt again to as many tasks as there are partitions
     distinct = judged.select("url", "label", train.alias("train")).groupBy("url", "label", "train").agg(F.count("*").alias("copies"))
+    distinct = distinct.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "url")
     scored = (
         distinct.select("url", "label", "train", "copies", F.explode(grams(url)).alias("gram"))
         .join(scores, "gram")
