@@ -36,7 +36,7 @@ FREQUENT = 1 << 20
 #: training tokens a bucket; a context with more than an eighth of that is dealt by its n-grams
 BUCKET_TOKENS = 1 << 20
 #: characters of a run of texts, tokens counted before they are shuffled, n-grams in a row of a table
-RUN_CHARS, HELD_TOKENS, CHUNK = 3_000_000, 3_000_000, 1 << 16
+RUN_CHARS, HELD_TOKENS, CHUNK = 1_500_000, 1_500_000, 1 << 16
 #: folders of a table at most
 FOLDERS = 256
 
@@ -142,25 +142,29 @@ class Vocabulary:
 class Symbols(dict):
     """word -> its place in the vocabulary, or its key below 0; kept for a bounded number of words."""
 
-    def __init__(self, hashes: np.ndarray, limit: int = 300_000):
+    def __init__(self, hashes: np.ndarray, limit: int = 200_000):
         super().__init__()
         self.hashes, self.limit = hashes, limit
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = np.uint64(xxhash.xxh3_64_intdigest(word))
-        at = int(np.searchsorted(self.hashes, h))
-        value = self[word] = at if at < len(self.hashes) and self.hashes[at] == h else other_key(word)
-        return value
+    def learn(self, new: list[bytes]) -> None:
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, new), np.uint64, len(new))
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        inside = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(new), bool)
+        self.update((w, i if known else other_key(w)) for w, i, known in zip(new, at.tolist(), inside.tolist()))
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of all texts, an end behind each, and how many each has."""
-        found, get = [], self.__getitem__
-        for text in texts:
-            tokens = words(text)
-            tokens.append(END)
-            found.append(np.fromiter(map(get, tokens), np.int64, len(tokens)))
+        split = [[*words(text), END] for text in texts]
+        distinct = set().union(*split)
+        new = [w for w in distinct if w not in self]
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            new = list(distinct)
+        if new:
+            self.learn(new)
+        get = self.__getitem__
+        found = [np.fromiter(map(get, tokens), np.int64, len(tokens)) for tokens in split]
         return np.concatenate(found), np.array([len(f) for f in found])
 
 
@@ -233,7 +237,10 @@ def ngram_table(rows: DataFrame, vocabulary, order: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             for kind in list(held):
                 columns = [np.concatenate(c) for c in zip(*held.pop(kind))]
-                keys, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
+                if kind:
+                    keys, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
+                else:
+                    keys, counts = np.unique(columns[0], return_counts=True)
                 sides = [c[first] for c in columns[1:]]
                 at = v.bucket(keys)
                 order_ = np.argsort(at, kind="stable")
