@@ -22,17 +22,6 @@ TABS = {
     "tutorial": ["tutorial", "open_source"],
     "opinion": ["opinion"],
 }
-# Types of question by the first pattern that fits; else explainer.
-QUESTION_TYPES = [
-    ("timeline", "时间线|先后|一步步|怎么发展|演进|从.*到.*发生|发布顺序|什么顺序|时间顺序|timeline"),
-    ("comparison", "相比|对比|区别|差距|哪个更|和.*比|vs\\.?|versus"),
-    ("explainer", "为什么|怎么(实现|做到|工作|运作)|原理|是什么意思|如何实现"),
-    ("recent_updates", "最近|近期|本周|今天|昨天|这几天|有哪些新|新动作|更新了"),
-    ("fact_check", "是多少|叫什么|几个|是谁|多少参数|真的吗|是否|确认|是哪个|是哪些|哪个模型|哪家"),
-    ("recommendation", "推荐|值得|该用|选哪个"),
-]
-#: words that stand for types in the invented texts of the test tables, which hold none of the above
-BOUND_TYPES = [("comparison", "\\b(with|mit)\\b"), ("recent_updates", "\\b(was|von)\\b"), ("recommendation", "\\b(and|und)\\b")]
 TIER_ORDER = {"primary": 0, "expert": 1, "secondary": 2, "community": 3}
 RERANKED, TRACED, PER_STORY, KEPT = 24, 10, 3, 10
 
@@ -59,17 +48,6 @@ def channels(spark, sf_dir):
     return keyword.unionByName(fresh)
 
 
-def first_match(col, patterns, default):
-    out = F.lit(default)
-    for name, pattern in reversed(patterns):
-        out = F.when(F.regexp_like(F.lower(col), F.lit(pattern)), F.lit(name)).otherwise(out)
-    return out
-
-
-def _first_match(col: str, patterns, default: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({col}), '{p}') THEN '{name}'" for name, p in patterns) + f" ELSE '{default}' END"
-
-
 _K = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
@@ -215,25 +193,6 @@ def g12_directness(spark, sf_dir):
     return rows.select("query_id", "doc_id", F.round(F.size(F.array_intersect("x", "y")) / F.size("x"), 6).alias("directness"))
 
 
-@query(f"SELECT conv_id, turn, {_first_match('text', QUESTION_TYPES + BOUND_TYPES, 'explainer')} AS question_type FROM conversations WHERE role = 'user'")
-def g13_classify_question(spark, sf_dir):
-    (talk,) = read_tables(spark, sf_dir, "conversations")
-    return talk.filter("role = 'user'").select("conv_id", "turn", first_match(F.col("text"), QUESTION_TYPES + BOUND_TYPES, "explainer").alias("question_type"))
-
-
-@query(f"SELECT conv_id, turn, CASE WHEN {_first_match('text', QUESTION_TYPES + BOUND_TYPES, 'explainer')} IN ('comparison', 'recent_updates') THEN 20 ELSE 40 END AS depth FROM conversations WHERE role = 'user'")
-def h7_route_depth(spark, sf_dir):
-    kind = g13_classify_question(spark, sf_dir)
-    return kind.select("conv_id", "turn", F.when(F.col("question_type").isin("comparison", "recent_updates"), 20).otherwise(40).alias("depth"))
-
-
-@query(f"SELECT conv_id, turn, {_first_match('text', BOUND_TYPES, 'explainer')} AS one, {_first_match('text', QUESTION_TYPES, 'explainer')} AS other FROM conversations WHERE role = 'user' AND one <> other")
-def j17_planner_disagreement(spark, sf_dir):
-    (talk,) = read_tables(spark, sf_dir, "conversations")
-    plans = talk.filter("role = 'user'").select("conv_id", "turn", first_match(F.col("text"), BOUND_TYPES, "explainer").alias("one"), first_match(F.col("text"), QUESTION_TYPES, "explainer").alias("other"))
-    return plans.filter("one <> other")
-
-
 @query(f"WITH {SQL} SELECT item_id, row_number() OVER (ORDER BY coalesce(published_at, observed_at) DESC, item_id DESC) AS rank, 0e0 AS score FROM item JOIN source USING (source_id) WHERE tier = 'primary' AND coalesce(published_at, observed_at) >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY ORDER BY rank LIMIT 40")
 def h4_temporal_topk(spark, sf_dir):
     """The newest items of a window with a leading source; the limit is taken before places are given."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 NOW = "2024-01-31 00:00:00"
 ZONE = "Asia/Shanghai"
+# Tiers of sources and types of content.
 TIERS = ["primary", "secondary", "expert", "community"]
 CONTENT_TYPES = ["model_release", "product_release", "api_update", "research", "open_source", "security", "policy", "business", "tutorial", "opinion"]
 
@@ -53,10 +54,53 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.filter(F.length("passage") >= 40).select("item_id", (F.col("line") + 1).cast("long").alias("ordinal"), "passage")
 
 
+#: phrasings that stand before a user's words, by conversation: the test tables hold no such questions.
+#: Each with the type and the window that are expected of it
+PHRASES = [
+    ("今天发布了哪些模型", "recent_updates", "today"),
+    ("昨天 what was released", "recent_updates", "yesterday"),
+    ("上周 Alpha vs Beta", "comparison", "last_week"),
+    ("请列出这周的时间线", "timeline", "this_week"),
+    ("上个月价格是多少", "fact_check", "last_month"),
+    ("which one this month 推荐", "recommendation", "this_month"),
+    ("过去 3 周有什么变化", "explainer", "weeks"),
+    ("last 10 days 参数是否公开", "fact_check", "days"),
+    ("最近更新了什么", "recent_updates", "recent"),
+    ("为什么稀疏模型更快", "explainer", None),
+    ("本站收录了多少信源", "explainer", None),
+    ("有哪些新动作", "recent_updates", "default"),
+    ("how does routing work", "explainer", None),
+]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, text, question, asked_at and what is expected: every user turn with a phrasing."""
+    (talk,) = read_tables(spark, sf_dir, "conversations")
+    phrases = spark.createDataFrame([(k, *p) for k, p in enumerate(PHRASES)], "phrase_no int, phrase string, expected_type string, expected_window string")
+    asked = talk.filter("role = 'user'").withColumn("phrase_no", F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(PHRASES))).cast("int"))
+    at = F.lit(NOW).cast("timestamp") - F.make_interval(hours=F.pmod(F.col("conv_id") * 7, F.lit(2000)).cast("int"))
+    return asked.join(F.broadcast(phrases), "phrase_no").select("conv_id", "turn", "text", F.concat_ws(" ", "phrase", "text").alias("question"), at.alias("asked_at"), "expected_type", "expected_window")
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, answer: every assistant turn, a marker in its first sentence and two at its end."""
+    (talk,) = read_tables(spark, sf_dir, "conversations")
+    marked = F.regexp_replace("text", r"^([^.]*)\. ", "$1 [E2]. ")
+    tail = F.concat(F.lit(" [E"), (F.col("turn") % 5 + 1).cast("string"), F.lit("] [E12]"))
+    return talk.filter("role = 'assistant'").select("conv_id", "turn", F.concat(marked, tail).alias("answer"))
+
+
 def _case(values: list[str], index: str) -> str:
     return f"CASE {index} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
 
 
+_VALUES = ", ".join(f"({k}, '{a}', '{b}', {'NULL' if c is None else repr(c)})" for k, (a, b, c) in enumerate(PHRASES))
+#: the questions and answers as CTEs
+QUESTION_SQL = f"""phrase AS (SELECT * FROM (VALUES {_VALUES}) t(phrase_no, phrase, expected_type, expected_window)),
+question AS (SELECT conv_id, turn, text, phrase || ' ' || text AS question, TIMESTAMP '{NOW}' - to_hours(CAST(conv_id * 7 % 2000 AS INTEGER)) AS asked_at, expected_type, expected_window
+  FROM conversations JOIN phrase ON phrase_no = (conv_id + turn) % {len(PHRASES)} WHERE role = 'user')"""
+ANSWER_SQL = "answer AS (SELECT conv_id, turn, regexp_replace(text, '^([^.]*)\\. ', '\\1 [E2]. ') || ' [E' || (turn % 5 + 1) || '] [E12]' AS answer FROM conversations WHERE role = 'assistant')"
+
 #: CTEs for the SQL forms; a query starts with "WITH " + SQL + ", own AS (...)" or a SELECT
 SQL = f"""source AS (SELECT source_id, n, {_case(TIERS, "n % 4")} AS tier, 'org' || CAST(n // 2 AS VARCHAR) AS organization
   FROM (SELECT DISTINCT source AS source_id, CAST(substr(source, 4, 10) AS INTEGER) AS n FROM documents)),
