@@ -94,3 +94,39 @@ def overlap(a: Column, b: Column) -> Column:
     """Shared share of the smaller set; of the union where that has under three."""
     shared, least = F.size(F.array_intersect(a, b)), F.least(F.size(a), F.size(b))
     return F.when(least == 0, 0.0).when(least < 3, shared / F.size(F.array_union(a, b))).otherwise(shared / least)
+
+
+# Relative dates and what listings append to a title; titles that say nothing.
+AGO = r"(?:about\s+|almost\s+|over\s+)?\d+\s+(?:second|minute|hour|day|week|month|year)s?\s+ago"
+LISTING = rf"\s+\S+\s*[•·]\s*(?:{AGO}|[A-Z][a-z]{{2}}\s+\d{{1,2}},\s+\d{{4}})(?:\s*[•·]\s*\d+)?\s*$"
+EMPTY_TITLES = ["read more", "read the blog", "read blog", "learn more", "continue reading", "see more", "view more", "更多", "阅读全文", "查看详情"]
+
+
+def usable_title(title: Column) -> Column:
+    text = F.trim(title)
+    bare = F.trim(F.lower(text), F.lit(" .·•"))
+    return F.coalesce((F.length(text) >= 4) & ~F.regexp_like(text, F.lit(r"(?i)^https?://\S+$")) & ~bare.isin(EMPTY_TITLES), F.lit(False))
+
+
+def title_of_body(body: Column) -> Column:
+    """The first heading or line outside fences and front matter that can be a title, at most 200 characters;
+    one walk over the lines with the state of fence and front matter."""
+    lines = F.transform(F.split(body, r"\r?\n"), lambda s: F.trim(s))
+    start = F.struct(F.lit(False).alias("fence"), (F.get(lines, F.lit(0)) == "---").alias("front"), F.lit(True).alias("first"), F.lit(None).cast("string").alias("title"))
+
+    def step(state: Column, line: Column) -> Column:
+        mark, close = line.startswith("```"), state["front"] & ~state["first"] & (line == "---")
+        found = F.trim(F.regexp_replace(line, r"^#{1,3}\s+", ""))
+        plain = ~F.regexp_like(found, F.lit(r"^(?:---|```|\||>|!|<)")) & ~F.regexp_like(found, F.lit(r"^[a-z_][a-z0-9_-]*:\s"))
+        taken = state["title"].isNull() & ~mark & ~close & ~state["fence"] & ~state["front"] & (line != "") & plain & usable_title(found)
+        return F.struct(
+            F.when(mark, ~state["fence"]).otherwise(state["fence"]).alias("fence"), (state["front"] & ~close).alias("front"), F.lit(False).alias("first"), F.when(taken, F.trim(F.substring(found, 1, 200))).otherwise(state["title"]).alias("title")
+        )
+
+    return F.aggregate(lines, start, step)["title"]
+
+
+def clean_title(title: Column, body: Column, fallback: Column) -> Column:
+    cleaned = F.regexp_replace(F.regexp_replace(title, LISTING, ""), rf"\s*[•·]?\s*{AGO}\s*$", "")
+    cleaned = F.trim(cleaned, F.lit(" \t·•-—|"))
+    return F.when(usable_title(cleaned), cleaned).otherwise(F.coalesce(title_of_body(body), fallback))
