@@ -46,13 +46,27 @@ def estimated_tokens(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.greatest(found, F.lit(1))).otherwise(0).cast("long")
 
 
+def cjk_bigrams(text: Column) -> Column:
+    """Distinct pairs of neighbours in runs of at least two CJK characters."""
+    runs = F.regexp_extract_all(text, F.lit(f"({CJK}{{2,}})"), 1)
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda k: F.substring(r, k, 2)))))
+
+
 def search_tokens(text: Column) -> Column:
     """Distinct words in lower case and bigrams of CJK runs."""
     lowered = F.lower(text)
-    words = F.regexp_extract_all(lowered, F.lit(f"({WORD})"), 1)
-    runs = F.regexp_extract_all(lowered, F.lit(f"({CJK}{{2,}})"), 1)
-    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda k: F.substring(r, k, 2))))
-    return F.array_union(words, pairs)
+    return F.array_union(F.regexp_extract_all(lowered, F.lit(f"({WORD})"), 1), cjk_bigrams(lowered))
+
+
+def title_tokens(title: Column, stop: list[str]) -> Column:
+    """Words of two and more Latin letters or digits, the parts of compound ones that aren't numbers, pairs of
+    CJK characters; without those that say nothing. The title is in lower case, full-width forms folded."""
+    none = F.array().cast("array<string>")
+    words = F.regexp_extract_all(title, F.lit(r"[a-z0-9][a-z0-9.\-_]*"), F.lit(0))
+    told = lambda w: (F.length(w) > 1) & ~w.isin(stop)
+    split = lambda w: F.filter(F.split(w, r"[.\-_]+"), lambda p: F.length(p) > 1)
+    parts = F.flatten(F.transform(words, lambda w: F.when(F.size(split(w)) > 1, F.filter(split(w), lambda p: told(p) & ~F.regexp_like(p, F.lit("^[0-9]+$")))).otherwise(none)))
+    return F.array_union(F.array_union(F.filter(words, told), parts), F.filter(cjk_bigrams(title), lambda w: ~w.isin(stop)))
 
 
 def fulltext_gate(body: Column, title: Column, url: Column, published: Column, source: Column, links: Column, release: Column) -> Column:
