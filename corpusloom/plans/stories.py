@@ -272,12 +272,12 @@ def story_products(rows):
 
 @query(f"""WITH {_FIVE}, g AS (SELECT story, min(first) AS f, count(*) AS items, count(DISTINCT coalesce(organization, source_id)) AS outlets, min(published_at) AS occurred, max(coalesce(nullif(quality, 0), 50e0)) AS good FROM s GROUP BY story)
 SELECT g.story, p.item_id AS primary_id, g.items, g.outlets, strftime(g.occurred, '%Y-%m-%d') AS occurred, round(round(pow(0.5e0, greatest(coalesce(epoch(TIMESTAMP '{NOW}') - epoch(g.occurred), 0), 0) / 3600 / 18) * {_HEAT.replace("content_type", "p.content_type")} * (CASE p.tier WHEN 'primary' THEN 30e0 WHEN 'expert' THEN 18 WHEN 'secondary' THEN 12 ELSE 6 END
-  + 20 * ln(1 + g.outlets - 1) + 0.15e0 * g.good), 3), 2) AS heat FROM g JOIN s p ON p.first = g.f""")
+  + 20 * ln(1 + g.outlets - 1) + 0.15e0 * g.good), 3), 1) AS heat FROM g JOIN s p ON p.first = g.f""")
 def i4_story_products(spark, sf_dir):
     """Products of stories of five neighbouring items."""
     rows = items(spark, sf_dir).join(F.broadcast(sources(spark, sf_dir).select("source_id", "tier", "organization")), "source_id").withColumn("story", F.floor(F.col("item_id") / 5))
     found = story_products(rows)
-    return found.withColumns({"occurred": F.date_format("occurred", "yyyy-MM-dd"), "heat": F.round("heat", 2)})
+    return found.withColumns({"occurred": F.date_format("occurred", "yyyy-MM-dd"), "heat": F.round("heat", 1)})
 
 
 @query(f"""WITH {SQL}, old AS (SELECT item_id, item_id // 5 AS story, item_id // 5 % 3 = 0 AS locked FROM item WHERE item_id % 11 > 0), new AS (SELECT item_id, item_id // 4 AS story FROM item)
@@ -292,7 +292,7 @@ def i5_exclude_locked(spark, sf_dir):
 
 @query(f"""WITH {SQL}, src AS (SELECT item_id // 5 AS story, count(DISTINCT source_id) AS n FROM item GROUP BY 1), dup AS (SELECT item_id // 7 * 7 AS item_id, count(*) AS n FROM item WHERE item_id % 7 > 4 GROUP BY 1)
 SELECT i.item_id, greatest(coalesce(src.n, 1), 1 + coalesce(dup.n, 0)) AS outlets, round(round(pow(0.5e0, greatest(epoch(TIMESTAMP '2024-01-02') - epoch(coalesce(published_at, observed_at)), 0) / 3600 / 18) * {_HEAT} * (CASE tier WHEN 'primary' THEN 30e0 WHEN 'expert' THEN 18 WHEN 'secondary' THEN 12 ELSE 6 END
-  + 20 * ln(greatest(coalesce(src.n, 1), 1 + coalesce(dup.n, 0))) + 0.15e0 * coalesce(nullif(quality, 0), 50)), 3), 2) AS heat FROM item i JOIN source USING (source_id) LEFT JOIN src ON src.story = i.item_id // 5 LEFT JOIN dup ON dup.item_id = i.item_id
+  + 20 * ln(greatest(coalesce(src.n, 1), 1 + coalesce(dup.n, 0))) + 0.15e0 * coalesce(nullif(quality, 0), 50)), 3), 1) AS heat FROM item i JOIN source USING (source_id) LEFT JOIN src ON src.story = i.item_id // 5 LEFT JOIN dup ON dup.item_id = i.item_id
   WHERE coalesce(published_at, observed_at) > TIMESTAMP '2024-01-02' - INTERVAL 7 DAY""")
 def i7_rescore_heat(spark, sf_dir):
     """Heat of a week's items by how many outlets have the story, or how many copies there are (binding: of each seven items the last two)."""
@@ -304,7 +304,7 @@ def i7_rescore_heat(spark, sf_dir):
     recent = recent.join(F.broadcast(sources(spark, sf_dir).select("source_id", "tier")), "source_id").join(outlets, "story", "left").join(copies, "item_id", "left")
     n = F.greatest(F.coalesce("n", F.lit(1)), 1 + F.coalesce("copies", F.lit(0)))
     heat = scores.heat(scores.hours_before(F.lit(now), F.col("at")), F.col("tier"), F.col("content_type"), F.col("quality"), n)
-    return recent.select("item_id", n.alias("outlets"), F.round(heat, 2).alias("heat"))
+    return recent.select("item_id", n.alias("outlets"), F.round(heat, 1).alias("heat"))
 
 
 # ---- the daily choice
