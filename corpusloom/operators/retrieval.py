@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import search_tokens
 
 WEIGHTS = {"dense": 1.0, "sparse": 0.6, "temporal": 0.15, "entity_temporal": 1.0}
-QUERY_BLOCK = 1_000
+QUERY_BLOCK, VECTOR_BLOCK, QUERY_BLOCKS_HELD = 1_000, 4_096, 16
 
 
 def document_frequency(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -37,36 +38,116 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 40, most: float =
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
+    """ids, vectors (unit length, packed): up to ``size`` rows in one; null and zero vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, size):
+                part = batch.slice(begin, size)
+                part = part.filter(pa.compute.and_(part.column(0).is_valid(), part.column(1).is_valid()))
+                v = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                length = np.linalg.norm(v, axis=1)
+                kept = length > 0
+                if kept.any():
+                    ids, v = part.column(0).to_numpy()[kept], v[kept] / length[kept, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["ids", "vectors"])
+
+    return rows.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "ids binary, vectors binary")
+
+
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 60, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, vec_id, score, rank by cosine: blocks of queries against all vectors; each
-    task keeps its own k, and only those are shuffled."""
-    spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    out = None
-    numbered = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("v"))
-    blocks = -(-numbered.count() // QUERY_BLOCK)
-    for block in range(blocks):
-        part = numbered.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == block).toArrow()
-        q = np.array(part["v"].to_pylist(), np.float64)
-        shared = spark.sparkContext.broadcast((part["query_id"].to_numpy(), q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            best_ids, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+    """query_id, vec_id, score, rank by cosine; ties go to the smaller id.
+
+    Each block of queries meets each block of vectors once, inside the plan; of that a task
+    keeps its best k for each query, and only those are shuffled. No queries, or no vectors, give no rows.
+    """
+    asked = _packed(queries, "query_id", "vector", QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
+    pairs = _packed(vectors, id_col, vector_col, VECTOR_BLOCK).crossJoin(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for names, (ids, s) in best.items():
+                q = np.frombuffer(names, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, ids.shape[1])), pa.array(ids.reshape(-1)), pa.array(s.reshape(-1))], names=["query_id", "id", "score"])
+            best.clear()
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, v, names, q = (batch.column(c)[r].as_py() for c in range(4))
+                ids, n = np.frombuffer(ids, np.int64), len(names) // 8
+                v, q = np.frombuffer(v).reshape(len(ids), -1), np.frombuffer(q).reshape(n, -1)
+                s = np.round(q @ v.T, 6)
+                ids = np.broadcast_to(ids, s.shape)
+                if names in best:
+                    ids, s = np.concatenate([best[names][0], ids], 1), np.concatenate([best[names][1], s], 1)
+                order = np.lexsort((ids, -s))[:, :k]
+                best[names] = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
+                if len(best) > QUERY_BLOCKS_HELD:
+                    yield from rows()
+        yield from rows()
+
+    found = pairs.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(run, "query_id long, id long, score double")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
+
+
+def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, tables: int = 12, bits: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
+    """query_id, vec_id, score, rank as ``dense_topk``, among the vectors that share the signs of ``bits`` random
+    projections with the query in one of ``tables`` tables. Every vector is indexed; recall depends on the tables.
+
+    A bucket with very many vectors is split by Spark's skewed join; nothing is left out of it.
+    """
+    width = vectors.filter(F.col(vector_col).isNotNull()).select(F.size(vector_col).alias("n")).limit(1).collect()
+    rng = np.random.default_rng(seed)
+    planes = rng.normal(size=(tables * bits, width[0].n if width else 1))
+
+    def keyed(rows: DataFrame, own: str, vector: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    v = np.array(batch.column(1).to_pylist(), np.float64)
-                    s = np.round(q @ (v / np.linalg.norm(v, axis=1, keepdims=True)).T, 6)
-                    ids = np.concatenate([best_ids, np.broadcast_to(batch.column(0).to_numpy(), s.shape)], 1)
-                    s = np.concatenate([best, s], 1)
-                    order = np.lexsort((ids, -s))[:, :k]
-                    best_ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(s, order, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])), pa.array(best_ids.reshape(-1)), pa.array(best.reshape(-1))], names=["query_id", "id", "score"])
-
-        found = rows.mapInArrow(run, "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
+                part = batch.filter(pa.compute.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
+                v = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                length = np.linalg.norm(v, axis=1)
+                kept = np.flatnonzero(length > 0)
+                v = v[kept] / length[kept, None]
+                signs = (v @ planes.T > 0).reshape(len(kept), tables, bits) @ (1 << np.arange(bits)) if len(kept) else np.zeros((0, tables), int)
+                keys = signs + np.arange(tables) * (1 << bits)
+                ids = np.repeat(part.column(0).to_numpy()[kept], tables)
+                unit = pa.array([u.tobytes() for u in v], pa.binary()).take(pa.array(np.repeat(np.arange(len(kept)), tables)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(ids), unit], names=["key", "id", "unit"])
+
+        return rows.select(F.col(own).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "key long, id long, unit binary")
+
+    near = keyed(queries, "query_id", "vector").withColumnsRenamed({"id": "query_id", "unit": "query_unit"}).join(keyed(vectors, id_col, vector_col), "key").dropDuplicates(["query_id", "id"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist())).reshape(batch.num_rows, -1) for c in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round((x * y).sum(1), 6))], names=["query_id", "id", "score"])
+
+    found = near.select("query_id", "id", "query_unit", "unit").mapInArrow(score, "query_id long, id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
+
+
+def holders(docs: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:
+    """query_id, doc_id of the documents that hold a whole passage (query_id, text).
+
+    A document's runs of ``words`` words meet the passages' first ones by key; what meets is verified.
+    Passages of fewer words than that are looked for by their own number of words.
+    """
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    heads = passages.select("query_id", F.col("text").alias("passage"), split(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    heads = heads.select("query_id", "passage", F.least(F.size("w"), F.lit(words)).alias("n"), F.array_join(F.slice("w", 1, words), " ").alias("head"))
+    runs = docs.select("doc_id", "text", split(F.col("text")).alias("w"))
+    # the last word of a passage, and the first of it, may stand inside longer words of the text: these are not holders
+    wanted = heads.select("n").distinct()
+    keys = F.flatten(F.transform(F.col("wanted"), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - n + 1)), lambda k: F.array_join(F.slice("w", k, n), " "))))
+    runs = runs.crossJoin(F.broadcast(wanted.agg(F.collect_set("n").alias("wanted"))))  # at most ``words`` numbers
+    met = runs.select("doc_id", F.explode(F.array_distinct(keys)).alias("head")).join(heads, "head").select("doc_id", "query_id", "passage")
+    return met.join(docs.select("doc_id", "text"), "doc_id").filter(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id").distinct()
 
 
 def reciprocal_ranks(channels: DataFrame, k: int = 60, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -83,6 +164,7 @@ def rank_metrics(ranked: DataFrame, judged: DataFrame, ks: tuple[int, ...] = (10
         *[F.round(F.count_if(F.col("rank") <= k) / F.count("*"), 6).alias(f"recall_at_{k}") for k in ks],
         F.round(F.coalesce(1 / F.min("rank"), F.lit(0.0)), 6).alias("mrr"),
         F.min("rank").cast("long").alias("first_hit"),
+        F.count_if(F.col("rank").isNull()).alias("missed_items"),
     )
 
 

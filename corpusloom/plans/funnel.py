@@ -1,7 +1,7 @@
 """From candidates to evidence: gates on rows, candidate funnels, folding by story, audits of labels.
 
 Bindings: a query's candidates are those of keyword retrieval; a story is ten adjacent
-documents; a second score of a candidate comes from its id.
+documents; a second score of a candidate is an event's value.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators import retrieval
 from corpusloom.plans.evaluation import _FUSED, _JUDGED, _SPARSE, benchmark_queries, fused, sparse
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import NOW, SQL, items, read_tables, sources
@@ -23,7 +24,7 @@ TABS = {
     "opinion": ["opinion"],
 }
 TIER_ORDER = {"primary": 0, "expert": 1, "secondary": 2, "community": 3}
-RERANKED, TRACED, PER_STORY, KEPT = 24, 10, 3, 10
+RERANKED, TRACED, PER_STORY, KEPT = 24, 40, 3, 10
 
 _MIX = "mix AS (SELECT query_id, 'sparse' AS channel, doc_id, rank FROM sparse UNION ALL SELECT query_id, 'temporal', doc_id, rank FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id DESC) AS rank FROM sparse) WHERE rank <= 10)"
 _RANKED = f"""WITH {_SPARSE}, src AS (SELECT DISTINCT source AS source_id, CAST(substr(source, 4, 10) AS INTEGER) % 4 AS n FROM documents),
@@ -48,6 +49,17 @@ def channels(spark, sf_dir):
     return keyword.unionByName(fresh)
 
 
+#: a second score of a candidate: the value of the event with its document's id, none for errors
+_SECOND = "second AS (SELECT s.*, CASE WHEN e.event_type <> 'error' THEN e.value END AS second FROM sparse s LEFT JOIN events e ON e.event_id = s.doc_id)"
+
+
+def second_scores(spark, sf_dir):
+    """The candidates with a second score, as a model for pairs gives it: here from the table of events."""
+    (events,) = read_tables(spark, sf_dir, "events")
+    told = events.select(F.col("event_id").alias("doc_id"), F.when(F.col("event_type") != "error", F.col("value")).alias("second"))
+    return sparse(spark, sf_dir).join(told, "doc_id", "left")
+
+
 _K = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
@@ -92,12 +104,14 @@ def c5_expand_siblings(spark, sf_dir):
     return rows.join(plain, "organization").select(F.col("source_id").alias("entity"), "sibling")
 
 
-@query(f"WITH {_SPARSE} SELECT s.query_id, max(contains(d.text, substr(b.text, 1, 40))) AS found FROM sparse s JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = s.query_id GROUP BY s.query_id")
+@query(f"WITH {_SPARSE} SELECT b.item_id AS query_id, coalesce(max(contains(d.text, b.text)), false) AS found FROM benchmark b LEFT JOIN sparse s ON s.query_id = b.item_id LEFT JOIN documents d USING (doc_id) GROUP BY 1")
 def c12_verify_original_evidence(spark, sf_dir):
-    (docs,) = read_tables(spark, sf_dir, "documents")
-    asserted = benchmark_queries(spark, sf_dir).select("query_id", F.substring("text", 1, 40).alias("assertion"))
-    rows = sparse(spark, sf_dir).select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id").join(asserted, "query_id")
-    return rows.groupBy("query_id").agg(F.max(F.col("text").contains(F.col("assertion"))).alias("found"))
+    """Whether a question's whole assertion occurs in one of the documents retrieved for it."""
+    docs, items_ = read_tables(spark, sf_dir, "documents", "benchmark")
+    asked = items_.select(F.col("item_id").alias("query_id"), F.col("text").alias("assertion"))
+    rows = sparse(spark, sf_dir).select("query_id", "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = asked.join(rows, "query_id", "left")
+    return rows.groupBy("query_id").agg(F.coalesce(F.max(F.col("text").contains(F.col("assertion"))), F.lit(False)).alias("found"))
 
 
 @query("SELECT conv_id, turn FROM conversations c WHERE role = 'assistant' AND length(trim(text)) > 0 AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = c.conv_id)")
@@ -109,14 +123,13 @@ def c15_pending_support(spark, sf_dir):
 
 @query(f"""{_FUSED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused)
 SELECT count(*) FILTER (WHERE channels = 'sparse,temporal') AS both_channels, count(*) FILTER (WHERE channels = 'sparse') AS sparse_only, round(count(*) FILTER (WHERE channels = 'sparse') / count(*), 6) AS sparse_share,
-median(rank) AS median_rank, max(rank) AS worst_rank, count(*) FILTER (WHERE rank > 10) AS beyond_ten FROM r JOIN (SELECT item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))) USING (query_id, doc_id)""")
+median(rank) AS median_rank, max(rank) AS worst_rank, count(*) FILTER (WHERE rank > 10) AS beyond_ten FROM r JOIN (SELECT item_id AS query_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) USING (query_id, doc_id)""")
 def d13_retrieval_summary(spark, sf_dir):
     """Which channels found the judged documents among the candidates, and at which fused rank."""
     (docs,) = read_tables(spark, sf_dir, "documents")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     rows = fused(spark, sf_dir).withColumn("rank", F.row_number().over(order).cast("long"))
-    asserted = benchmark_queries(spark, sf_dir).select("query_id", F.substring("text", 1, 40).alias("assertion"))
-    rows = rows.join(docs.select("doc_id", "text"), "doc_id").join(asserted, "query_id").filter(F.col("text").contains(F.col("assertion")))
+    rows = rows.join(retrieval.holders(docs, benchmark_queries(spark, sf_dir)), ["query_id", "doc_id"])
     only = F.count_if(F.col("channels") == "sparse")
     return rows.agg(
         F.count_if(F.col("channels") == "sparse,temporal").alias("both_channels"), only.alias("sparse_only"), F.round(only / F.count("*"), 6).alias("sparse_share"),
@@ -130,20 +143,28 @@ def d28_considered_documents(spark, sf_dir):
     return channels(spark, sf_dir).withColumn("position", position).groupBy("query_id", "doc_id").agg(F.min("position").alias("position"))
 
 
-@query(f"{_RANKED}, {_JUDGED} SELECT r.query_id, r.doc_id FROM ranked r LEFT JOIN judged j USING (query_id, doc_id) WHERE r.rank <= {TRACED} OR j.grade IS NOT NULL")
+@query(f"""{_FUSED.replace("WHERE rank <= 40", "WHERE rank <= 60")}, {_JUDGED}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fused)
+SELECT r.query_id, r.doc_id FROM r LEFT JOIN held h USING (query_id, doc_id) WHERE r.rank <= {TRACED} OR h.query_id IS NOT NULL""")
 def e12_trace_keep(spark, sf_dir):
-    """The first candidates, and those that survived to the end (here: that hold the passage)."""
+    """The first forty candidates by fused rank, and those that survived to the end (here: that hold the passage)."""
     (docs,) = read_tables(spark, sf_dir, "documents")
-    asserted = benchmark_queries(spark, sf_dir).select("query_id", F.substring("text", 1, 40).alias("assertion"))
-    rows = sparse(spark, sf_dir).select("query_id", "doc_id", "rank").join(docs.select("doc_id", "text"), "doc_id").join(asserted, "query_id")
-    return rows.filter((F.col("rank") <= TRACED) | F.col("text").contains(F.col("assertion"))).select("query_id", "doc_id")
+    held = retrieval.holders(docs, benchmark_queries(spark, sf_dir)).withColumn("held", F.lit(True))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    rows = fused(spark, sf_dir, 60).withColumn("rank", F.row_number().over(order)).join(held, ["query_id", "doc_id"], "left")
+    return rows.filter((F.col("rank") <= TRACED) | F.col("held")).select("query_id", "doc_id")
 
 
-@query(f"{_RANKED} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN doc_id % 3 = 0 THEN doc_id % 7 END NULLS LAST, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 END NULLS LAST, rank) AS place FROM ranked")
+@query(f"""WITH {_SPARSE}, {_SECOND}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY second DESC NULLS LAST, rank) AS reranked FROM second WHERE second IS NOT NULL AND rank <= {RERANKED})
+SELECT s.query_id, s.doc_id, row_number() OVER (PARTITION BY s.query_id ORDER BY CASE WHEN f.reranked <= 10 THEN f.reranked END NULLS LAST, f.reranked NULLS LAST, s.rank) AS place FROM sparse s LEFT JOIN f USING (query_id, doc_id)""")
 def e13_trace_funnel(spark, sf_dir):
-    final, rerank = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") % 7), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") % 5)
-    order = W.partitionBy("query_id").orderBy(final.asc_nulls_last(), rerank.asc_nulls_last(), "rank")
-    return sparse(spark, sf_dir).select("query_id", "doc_id", F.row_number().over(order).cast("long").alias("place"))
+    """Candidates by their final place (the first ten of the reranked ones), then the reranked, then the fused one."""
+    rows = second_scores(spark, sf_dir)
+    again = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last("second"), "rank"))
+    told = rows.filter(F.col("second").isNotNull() & (F.col("rank") <= RERANKED)).select("query_id", "doc_id", again.alias("reranked"))
+    rows = rows.join(told, ["query_id", "doc_id"], "left")
+    final = F.when(F.col("reranked") <= 10, F.col("reranked"))
+    order = W.partitionBy("query_id").orderBy(final.asc_nulls_last(), F.asc_nulls_last("reranked"), "rank")
+    return rows.select("query_id", "doc_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query(f"""WITH {_SPARSE}, u AS (SELECT query_id, doc_id, 0 AS part, rank FROM sparse WHERE doc_id % 5 = 0 UNION ALL SELECT query_id, doc_id, 1, rank FROM sparse),
@@ -167,32 +188,21 @@ def f6_activate_chunk_set(spark, sf_dir):
 _BAG = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 
 
-@query(f"""WITH t AS (SELECT b.item_id AS query_id, c.conv_id, c.turn, {_BAG.format("b.text")} AS x, {_BAG.format("c.text")} AS y FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % 40),
+@query(f"""WITH t AS (SELECT b.item_id AS query_id, c.conv_id, c.turn, {_BAG.format("b.text")} AS x, {_BAG.format("c.text")} AS y FROM conversations c JOIN benchmark b ON b.item_id = c.conv_id % (SELECT count(*) FROM benchmark)),
 m AS (SELECT *, len(list_intersect(x, y)) AS shared, least(len(x), len(y)) AS small FROM t), j AS (SELECT *, round(shared / nullif(len(x) + len(y) - shared, 0), 6) AS jaccard FROM m)
 SELECT conv_id, turn, coalesce(jaccard, 0e0) AS jaccard, coalesce(CASE WHEN small < 3 THEN jaccard ELSE round(shared / small, 6) END, 0e0) AS containment FROM j""")
 def g8_set_similarity(spark, sf_dir):
     talk, items_ = read_tables(spark, sf_dir, "conversations", "benchmark")
     bag = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
     x, y = bag("passage"), bag("text")
-    rows = talk.withColumn("item_id", F.col("conv_id") % 40).join(items_.withColumnRenamed("text", "passage"), "item_id").select("conv_id", "turn", x.alias("x"), y.alias("y"))
+    size = items_.agg(F.count("*").alias("size"))  # one row
+    rows = talk.crossJoin(F.broadcast(size)).withColumn("item_id", F.col("conv_id") % F.col("size")).join(items_.withColumnRenamed("text", "passage"), "item_id").select("conv_id", "turn", x.alias("x"), y.alias("y"))
     shared, small = F.size(F.array_intersect("x", "y")), F.least(F.size("x"), F.size("y"))
     union = F.size("x") + F.size("y") - shared
     jaccard = F.when(union > 0, F.round(shared / union, 6)).otherwise(0.0)
     return rows.select("conv_id", "turn", jaccard.alias("jaccard"), F.when(small < 3, jaccard).otherwise(F.round(shared / F.when(small > 0, small), 6)).alias("containment"))
 
 
-@query(f"""WITH {_SPARSE}, t AS (SELECT s.query_id, s.doc_id, {_BAG.format("b.text")} AS x, {_BAG.format("split_part(d.text, '.', 1)")} AS y FROM sparse s JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = s.query_id)
-SELECT query_id, doc_id, round(len(list_intersect(x, y)) / len(x), 6) AS directness FROM t WHERE len(x) > 0""")
-def g12_directness(spark, sf_dir):
-    """The share of a question's terms that a candidate's title has."""
-    (docs,) = read_tables(spark, sf_dir, "documents")
-    bag = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)))
-    titles = docs.select("doc_id", bag(F.split_part("text", F.lit("."), F.lit(1))).alias("y"))
-    asked = benchmark_queries(spark, sf_dir).select("query_id", bag("text").alias("x")).filter(F.size("x") > 0)
-    rows = sparse(spark, sf_dir).select("query_id", "doc_id").join(titles, "doc_id").join(asked, "query_id")
-    return rows.select("query_id", "doc_id", F.round(F.size(F.array_intersect("x", "y")) / F.size("x"), 6).alias("directness"))
-
-
 @query(f"WITH {SQL} SELECT item_id, row_number() OVER (ORDER BY coalesce(published_at, observed_at) DESC, item_id DESC) AS rank, 0e0 AS score FROM item JOIN source USING (source_id) WHERE tier = 'primary' AND coalesce(published_at, observed_at) >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY ORDER BY rank LIMIT 40")
 def h4_temporal_topk(spark, sf_dir):
     """The newest items of a window with a leading source; the limit is taken before places are given."""
@@ -203,15 +213,12 @@ def h4_temporal_topk(spark, sf_dir):
     return first.select("item_id", F.row_number().over(W.orderBy(F.desc("at"), F.desc("item_id"))).cast("long").alias("rank"), F.lit(0.0).alias("score"))
 
 
-_AGAIN = "(doc_id * 37) % 101"
-
-
-@query(f"{_RANKED} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= {RERANKED} THEN 0 ELSE 1 END, CASE WHEN rank <= {RERANKED} THEN -({_AGAIN}) END, rank) AS place FROM ranked")
+@query(f"""WITH {_SPARSE}, {_SECOND} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= {RERANKED} AND second IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN rank <= {RERANKED} THEN second END DESC NULLS LAST, rank) AS place FROM second""")
 def h8_rerank_with_scores(spark, sf_dir):
-    """The head in the order of a second score, the tail as it was."""
-    head = F.col("rank") <= RERANKED
-    order = W.partitionBy("query_id").orderBy(F.when(head, 0).otherwise(1), F.when(head, -((F.col("doc_id") * 37) % 101)), "rank")
-    return sparse(spark, sf_dir).select("query_id", "doc_id", F.row_number().over(order).cast("long").alias("place"))
+    """The head in the order of a second score, what has none and the tail behind it in the order it had."""
+    head = (F.col("rank") <= RERANKED) & F.col("second").isNotNull()
+    order = W.partitionBy("query_id").orderBy(F.when(head, 0).otherwise(1), F.when(head, F.col("second")).desc_nulls_last(), "rank")
+    return second_scores(spark, sf_dir).select("query_id", "doc_id", F.row_number().over(order).cast("long").alias("place"))
 
 
 @query(f"""{_RANKED}, e AS (SELECT r.*, epoch(ts) AS moment FROM ranked r LEFT JOIN events ON event_id = doc_id AND doc_id % 6 <> 0),
@@ -264,14 +271,22 @@ def i6_sync_item_heat(spark, sf_dir):
     return rows.join(stories, "story_id", "left").select("item_id", F.coalesce("heat", F.lit(0.0)).alias("heat"), F.coalesce("n", F.lit(1)).cast("long").alias("source_count"))
 
 
-@query(f"WITH {_SPARSE}, t AS (SELECT query_id, score, (SELECT count(*) FROM documents d WHERE contains(d.text, substr(b.text, 1, 40))) > 0 AS answerable FROM sparse JOIN benchmark b ON item_id = query_id WHERE rank = 1) SELECT answerable, count(*) AS n, round(avg(score), 5) AS mean, min(score) AS least, max(score) AS most FROM t GROUP BY answerable")
+@query(f"""WITH {_SPARSE}, {_JUDGED}, t AS (SELECT query_id, score, query_id IN (SELECT query_id FROM held) AS answerable FROM sparse WHERE rank = 1), r AS (SELECT *, row_number() OVER (PARTITION BY answerable ORDER BY score, query_id) AS r, count(*) OVER (PARTITION BY answerable) AS n FROM t)
+SELECT answerable, max(n) AS n, round(avg(score), 5) AS mean, min(score) AS least, max(score) AS most, max(score) FILTER (WHERE r = greatest(1, CAST(round_even(0.1 * n, 0) AS BIGINT))) AS p10, max(score) FILTER (WHERE r = greatest(1, CAST(round_even(0.9 * n, 0) AS BIGINT))) AS p90,
+  count(*) FILTER (WHERE CASE WHEN answerable THEN score <= (SELECT max(score) FROM t WHERE NOT answerable) ELSE score >= (SELECT min(score) FROM t WHERE answerable) END) AS overlap FROM r GROUP BY answerable""")
 def j6_abstention_separation(spark, sf_dir):
-    """The best scores of questions with an answer in the corpus, and of those without."""
+    """The best scores of questions with an answer in the corpus, and of those without; how many lie within the other's range."""
     (docs,) = read_tables(spark, sf_dir, "documents")
-    asked = benchmark_queries(spark, sf_dir).select("query_id", F.substring("text", 1, 40).alias("assertion"))  # a small set of questions, in one scan of all texts
-    hit = docs.select("text").join(F.broadcast(asked), F.col("text").contains(F.col("assertion"))).select("query_id").distinct().withColumn("hit", F.lit(True))
-    top = sparse(spark, sf_dir).filter("rank = 1").join(hit, "query_id", "left").select("score", F.coalesce("hit", F.lit(False)).alias("answerable"))
-    return top.groupBy("answerable").agg(F.count("*").alias("n"), F.round(F.avg("score"), 5).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"))
+    hit = retrieval.holders(docs, benchmark_queries(spark, sf_dir)).select("query_id").distinct().withColumn("hit", F.lit(True))
+    top = sparse(spark, sf_dir).filter("rank = 1").join(hit, "query_id", "left").select("query_id", "score", F.coalesce("hit", F.lit(False)).alias("answerable"))
+    own = W.partitionBy("answerable")
+    limits = top.agg(F.max(F.when(~F.col("answerable"), F.col("score"))).alias("high"), F.min(F.when(F.col("answerable"), F.col("score"))).alias("low"))
+    rows = top.withColumns({"r": F.row_number().over(own.orderBy("score", "query_id")), "n": F.count("*").over(own)}).crossJoin(F.broadcast(limits))  # a row a question
+    at = lambda share: F.max(F.when(F.col("r") == F.greatest(F.lit(1), F.bround(F.lit(share) * F.col("n"), 0).cast("long")), F.col("score")))
+    inside = F.when(F.col("answerable"), F.col("score") <= F.col("high")).otherwise(F.col("score") >= F.col("low"))
+    return rows.groupBy("answerable").agg(
+        F.max("n").alias("n"), F.round(F.avg("score"), 5).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), at(0.1).alias("p10"), at(0.9).alias("p90"), F.count_if(inside).alias("overlap")
+    )
 
 
 @query("""WITH p AS (SELECT lang, n_chars > 800 AS predicted, quality = 1 AS gold, quality FROM documents LEFT JOIN labels USING (doc_id)), s AS (SELECT lang, predicted, count(*) / count(quality) AS weight FROM p GROUP BY ALL HAVING count(quality) > 0),

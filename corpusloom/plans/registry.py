@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpusloom.plans import answers, evaluation, feeds, funnel, landed, ops, reads, scoring, stories, texts  # noqa: F401  they register themselves
+    from corpusloom.plans import answers, evaluation, feeds, funnel, landed, ops, ranking, reads, scoring, stories, texts  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
