@@ -22,17 +22,22 @@ CJK = r"[一-鿿]"
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case host, no default port, fragment, trailing slash or tracking parameter; sorted parameters."""
+    """Lower-case host without user or default port, no fragment, trailing slash or tracking parameter; parameters
+    decoded, sorted by name and value, and encoded again. Null for what is no http(s) URL with a host."""
+    url = F.trim(url)
     scheme = F.regexp_extract(url, r"^(https?)://", 1)
-    host = F.lower(F.regexp_extract(url, r"^https?://([^/?#]*)", 1))
+    place = F.regexp_replace(F.regexp_extract(url, r"^https?://([^/?#]*)", 1), r"^.*@", "")
+    host = F.lower(place)
     host = F.when(scheme == "http", F.regexp_replace(host, r":80$", "")).otherwise(F.regexp_replace(host, r":443$", ""))
     path = F.regexp_replace(F.regexp_extract(url, r"^https?://[^/?#]*([^?#]*)", 1), r"/+$", "")
     path = F.when(path == "", "/").otherwise(path)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
-    name = lambda p: F.lower(F.split_part(p, F.lit("="), F.lit(1)))
-    kept = F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(TRACKING) & ~name(p).startswith("utm_")))
-    joined = F.array_join(kept, "&")
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")))
+    decoded = lambda s: F.coalesce(F.try_url_decode(s), s)
+    encoded = lambda s: F.replace(F.replace(F.url_encode(s), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p: F.struct(decoded(F.regexp_extract(p, r"^([^=]*)", 1)).alias("k"), decoded(F.regexp_extract(p, r"^[^=]*=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: ~F.lower(p["k"]).isin(TRACKING) & ~F.lower(p["k"]).startswith("utm_")))
+    joined = F.array_join(F.transform(kept, lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
+    return F.when((scheme != "") & (F.regexp_replace(host, r":\d*$", "") != ""), F.concat(scheme, F.lit("://"), host, path, F.when(joined != "", F.concat(F.lit("?"), joined)).otherwise("")))
 
 
 def content_hash(text: Column) -> Column:

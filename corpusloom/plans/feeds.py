@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import search_tokens
 from corpusloom.plans.reads import _DAY, _FIRST, _with_day, with_canonical
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import SQL, items, passages, read_tables, sources
@@ -44,43 +45,63 @@ def b9_public_feed_ready(spark, sf_dir):
     return ready.filter((F.length(F.trim("title")) > 0) & (F.length(F.trim("body")) > 0)).select("item_id", "title")
 
 
-@query(f"WITH {SQL} SELECT item_id, title FROM item WHERE contains(lower(title), 'data') OR list_contains(string_split(lower(title), ' '), 'new')")
-def b11_keyword_feed_filter(spark, sf_dir):
-    title = F.lower("title")
-    return items(spark, sf_dir).filter(title.contains("data") | F.array_contains(F.split(title, " "), "new")).select("item_id", "title")
-
-
-@query(f"WITH {SQL} SELECT item_id, CASE WHEN length(trim(body)) = 0 THEN 'SKIPPED' WHEN length(trim(body)) < 200 THEN 'THIN' ELSE 'PENDING' END AS status FROM item")
-def b14_close_empty_bodies(spark, sf_dir):
-    size = F.length(F.trim("body"))
-    return items(spark, sf_dir).select("item_id", F.when(size == 0, "SKIPPED").when(size < 200, "THIN").otherwise("PENDING").alias("status"))
-
-
-def _report_gate(rows):
-    """One row a local day: how many items, and every reason against publication."""
-    found = _with_day(rows).groupBy("day").agg(
-        F.count("*").alias("items"), F.count_if(F.length(F.trim("title")) == 0).alias("blank"), F.countDistinct("source_id").alias("outlets"), F.count_if(F.col("quality").isNull()).alias("unscored")
-    )
-    reasons = F.concat_ws(
-        ",", F.when(F.col("items") < 5, "few_items"), F.when(F.col("blank") > 0, "blank_title"), F.when(F.col("outlets") < 3, "few_sources"), F.when(F.col("unscored") * 2 > F.col("items"), "unscored")
-    )
-    return found.select("day", "items", reasons.alias("reasons"))
+KEYWORDS = ["that", "schen"]
 
 
-_GATE = f"""SELECT day, items, concat_ws(',', CASE WHEN items < 5 THEN 'few_items' END, CASE WHEN blank > 0 THEN 'blank_title' END, CASE WHEN outlets < 3 THEN 'few_sources' END,
-  CASE WHEN unscored * 2 > items THEN 'unscored' END) AS reasons FROM (SELECT {_DAY} AS day, count(*) AS items, count(*) FILTER (WHERE length(trim(title)) = 0) AS blank,
-  count(DISTINCT source_id) AS outlets, count(*) FILTER (WHERE quality IS NULL) AS unscored FROM item GROUP BY 1)"""
+@query(f"""WITH {SQL}, k AS (SELECT unnest({KEYWORDS}) AS keyword) SELECT keyword, item_id, title FROM item, k WHERE list_contains(regexp_extract_all(lower(title || ' ' || source_id), '[\\p{{L}}\\p{{N}}_]+'), keyword) OR contains(lower(title), keyword)""")
+def b11_keyword_feed_filter(spark, sf_dir):
+    """Items that have a keyword among their tokens or, in any case, inside their title."""
+    rows = items(spark, sf_dir).select("item_id", "title", search_tokens(F.concat_ws(" ", "title", "source_id")).alias("t"))
+    fits = lambda k: F.when(F.array_contains("t", k) | F.lower("title").contains(k), F.lit(k))
+    return rows.select(F.explode(F.array_compact(F.array(*[fits(k) for k in KEYWORDS]))).alias("keyword"), "item_id", "title")
 
 
-@query(f"WITH {SQL} {_GATE}")
+@query(f"WITH {SQL}, b AS (SELECT item_id, CASE WHEN item_id % 9 = 0 THEN '  ' WHEN item_id % 9 = 1 THEN substr(body, 1, 150) ELSE body END AS body, item_id % 4 = 0 AS done FROM item) SELECT item_id, CASE WHEN done THEN 'ENRICHED' WHEN length(trim(body)) = 0 THEN 'SKIPPED' ELSE 'PENDING' END AS status, CASE WHEN NOT done AND length(trim(body)) BETWEEN 1 AND 199 THEN 'thin_body' END AS skip_reason FROM b")
+def b14_close_empty_bodies(spark, sf_dir):
+    """Pending items without a body are skipped; a body of under 200 characters is not worth a call (here: some are emptied or cut)."""
+    k = F.col("item_id") % 9
+    body = F.when(k == 0, "  ").when(k == 1, F.substring("body", 1, 150)).otherwise(F.col("body"))
+    size, done = F.length(F.trim(body)), F.col("item_id") % 4 == 0
+    return items(spark, sf_dir).select("item_id", F.when(done, "ENRICHED").when(size == 0, "SKIPPED").otherwise("PENDING").alias("status"), F.when(~done & size.between(1, 199), "thin_body").alias("skip_reason"))
+
+
+LEAST_ITEMS = {"daily": 5, "weekly": 5, "monthly": 10}
+_PERIODS = f"""entry AS (SELECT item_id, title, source_id, day, unnest(['daily', 'weekly', 'monthly']) AS period, unnest([day, isoyear(CAST(day AS DATE)) || '-W' || lpad(CAST(week(CAST(day AS DATE)) AS VARCHAR), 2, '0'), substr(day, 1, 7)]) AS key,
+  CASE WHEN item_id % 97 = 0 THEN 'ftp://example.com/x' WHEN item_id % 89 = 0 THEN NULL ELSE 'https://example.com/' || item_id END AS url, CASE WHEN item_id % 83 > 0 THEN 's' || (item_id // 5) END AS story FROM (SELECT *, {_DAY} AS day FROM item)),
+gate AS (SELECT period, key, count(*) AS items, list_sort(list_distinct(flatten(list(list_filter([CASE WHEN NOT coalesce(regexp_matches(url, '^https?://[^/]'), false) THEN 'invalid_canonical_url:' || item_id END, CASE WHEN trim(title) = '' OR trim(source_id) = '' THEN 'missing_identity:' || item_id END, CASE WHEN story IS NULL THEN 'missing_story:' || item_id END], lambda x: x IS NOT NULL))))) AS reasons FROM entry GROUP BY ALL),
+report AS (SELECT period, key, items, list_concat(list_filter([CASE WHEN items < CASE period WHEN 'monthly' THEN 10 ELSE 5 END THEN 'too_few_items:' || items || '<' || CASE period WHEN 'monthly' THEN 10 ELSE 5 END END, CASE WHEN ends_with(key, '3') THEN 'missing_summary' END], lambda x: x IS NOT NULL), reasons) AS reasons FROM gate)"""
+
+
+def report_gate(spark, sf_dir):
+    """period, key, items, reasons of the reports of each day, week and month: everything that forbids their publication.
+
+    Only the entries with a fault are gathered. Bindings: some URLs, stories and summaries are missing by number.
+    """
+    k, date = F.col("item_id"), F.col("day").cast("date")
+    week = F.concat(F.extract(F.lit("YEAROFWEEK"), date).cast("string"), F.lit("-W"), F.lpad(F.weekofyear(date).cast("string"), 2, "0"))
+    periods = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), c.alias("key")) for p, c in (("daily", F.col("day")), ("weekly", week), ("monthly", F.substring("day", 1, 7)))])).alias("p")
+    url = F.when(k % 97 == 0, "ftp://example.com/x").when(k % 89 == 0, None).otherwise(F.concat(F.lit("https://example.com/"), k.cast("string")))
+    says = lambda fault, name: F.when(fault, F.concat(F.lit(f"{name}:"), k.cast("string")))
+    faults = F.array_compact(F.array(says(~F.coalesce(F.regexp_like(url, F.lit("^https?://[^/]")), F.lit(False)), "invalid_canonical_url"), says((F.trim("title") == "") | (F.trim("source_id") == ""), "missing_identity"), says(k % 83 == 0, "missing_story")))
+    rows = _with_day(items(spark, sf_dir)).select(periods, faults.alias("faults"))
+    found = rows.groupBy("p.period", "p.key").agg(F.count("*").alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("faults") > 0, F.col("faults")))))).alias("reasons"))
+    least = F.create_map(*[F.lit(v) for pair in LEAST_ITEMS.items() for v in pair])[F.col("period")]
+    few = F.when(F.col("items") < least, F.concat(F.lit("too_few_items:"), F.col("items").cast("string"), F.lit("<"), least.cast("string")))
+    return found.withColumn("reasons", F.concat(F.array_compact(F.array(few, F.when(F.col("key").endswith("3"), "missing_summary"))), F.col("reasons")))
+
+
+@query(f"WITH {SQL}, {_PERIODS} SELECT period, key, items, CASE WHEN len(reasons) > 0 THEN 'REVIEW_REQUIRED' ELSE 'PUBLISHED' END AS status, len(reasons) AS faults, md5(array_to_string(reasons, ',')) AS reasons_digest FROM report")
 def b17_publication_gate(spark, sf_dir):
-    return _report_gate(items(spark, sf_dir))
+    """Each report's status, and how many and which reasons stand against it."""
+    faults = F.size("reasons")
+    return report_gate(spark, sf_dir).select("period", "key", "items", F.when(faults > 0, "REVIEW_REQUIRED").otherwise("PUBLISHED").alias("status"), faults.cast("long").alias("faults"), F.md5(F.array_join("reasons", ",")).alias("reasons_digest"))
 
 
-@query(f"WITH {SQL} SELECT CASE WHEN reasons = '' THEN 'PUBLISHED' ELSE 'REVIEW_REQUIRED' END AS status, count(*) AS reports FROM ({_GATE}) GROUP BY 1")
+@query(f"WITH {SQL}, {_PERIODS} SELECT period, count(*) FILTER (WHERE len(reasons) = 0) AS published, count(*) FILTER (WHERE len(reasons) > 0) AS review_required FROM report WHERE NOT ends_with(key, '5') GROUP BY period")
 def d31_backfill_counts(spark, sf_dir):
-    status = F.when(F.col("reasons") == "", "PUBLISHED").otherwise("REVIEW_REQUIRED")
-    return _report_gate(items(spark, sf_dir)).groupBy(status.alias("status")).agg(F.count("*").alias("reports"))
+    """What the gate says of the stored drafts (here: keys that don't end in 5)."""
+    faults = F.size("reasons")
+    return report_gate(spark, sf_dir).filter(~F.col("key").endswith("5")).groupBy("period").agg(F.count_if(faults == 0).alias("published"), F.count_if(faults > 0).alias("review_required"))
 
 
 @query(f"WITH {SQL} SELECT item_id FROM item i WHERE EXISTS (SELECT 1 FROM passage p WHERE p.item_id = i.item_id AND length(p.passage) > 400)")
@@ -120,26 +141,28 @@ def d8_source_summary(spark, sf_dir):
     )
 
 
-_STORY = "SELECT *, item_id // 5 AS story_id, coalesce(published_at, observed_at) AS moment, (length(body) % 100) / 100e0 AS similarity FROM item"
+_STORY = "SELECT *, item_id // 5 AS story_id, coalesce(published_at, observed_at) AS moment, 0.6e0 + (length(body) % 40) / 100e0 AS similarity FROM item"
 
 
-def _stories(rows):
-    return rows.select("*", F.floor(F.col("item_id") / 5).alias("story_id"), F.coalesce("published_at", "observed_at").alias("at"), (F.length("body") % 100 / 100.0).alias("similarity"))
+def _stories(rows, size: int = 5):
+    return rows.select("*", F.floor(F.col("item_id") / size).alias("story_id"), F.coalesce("published_at", "observed_at").alias("at"), (F.length("body") % 40 / 100.0 + 0.6).alias("similarity"))
 
 
-@query(f"""WITH {SQL} SELECT story_id, count(*) AS members, count(DISTINCT source_id) AS outlets, min(similarity) AS similarity FROM ({_STORY}) GROUP BY story_id
-  HAVING count(DISTINCT source_id) >= 2 AND count(quality) >= 1 AND min(similarity) >= 0.07e0""")
+@query(f"""WITH {SQL} SELECT story_id, count(*) AS members, count(DISTINCT source_id) AS outlets, round(min(similarity), 6) AS similarity FROM ({_STORY.replace("item_id // 5", "item_id // 2")}) WHERE item_id // 2 % 5 > 0 GROUP BY story_id
+  HAVING count(DISTINCT source_id) >= 2 AND count(quality) >= count(*) - 1 AND round(min(similarity), 6) >= 0.67e0""")
 def d22_story_public_filter(spark, sf_dir):
-    found = _stories(items(spark, sf_dir)).groupBy("story_id").agg(
-        F.count("*").alias("members"), F.countDistinct("source_id").alias("outlets"), F.min("similarity").alias("similarity"), F.count("quality").alias("scored")
-    )
-    return found.filter("outlets >= 2 and scored >= 1 and similarity >= 0.07D").drop("scored")
+    """Published stories (here: four of five pairs of neighbours) of at least two sources, all members but the first with a score,
+    none less similar than 0.67."""
+    rows = _stories(items(spark, sf_dir), 2).filter("story_id % 5 > 0")
+    found = rows.groupBy("story_id").agg(F.count("*").alias("members"), F.countDistinct("source_id").alias("outlets"), F.round(F.min("similarity"), 6).alias("similarity"), F.count("quality").alias("scored"))
+    return found.filter("outlets >= 2 and scored >= members - 1 and similarity >= 0.67D").drop("scored")
 
 
-@query(f"WITH {SQL} SELECT source_id, sha256(concat_ws('|', count(*), CAST(CAST(max(observed_at) AS DATE) AS VARCHAR))) AS fingerprint FROM item GROUP BY source_id")
+@query(f"""WITH {SQL} SELECT source_id, sha256(concat_ws('|', count(*), CAST(CAST(max(observed_at) AS DATE) AS VARCHAR))) AS fingerprint, sha256(max({_DAY}) || '|' || count(*)) AS day_fingerprint FROM item GROUP BY source_id""")
 def d24_corpus_fingerprint(spark, sf_dir):
-    found = items(spark, sf_dir).groupBy("source_id").agg(F.count("*").cast("string").alias("n"), F.max("observed_at").cast("date").cast("string").alias("latest"))
-    return found.select("source_id", F.sha2(F.concat_ws("|", "n", "latest"), 256).alias("fingerprint"))
+    """Digests that change with a source's items: by their number and newest time, and by the newest local day."""
+    found = _with_day(items(spark, sf_dir)).groupBy("source_id").agg(F.count("*").cast("string").alias("n"), F.max("observed_at").cast("date").cast("string").alias("latest"), F.max("day").alias("day"))
+    return found.select("source_id", F.sha2(F.concat_ws("|", "n", "latest"), 256).alias("fingerprint"), F.sha2(F.concat_ws("|", "day", "n"), 256).alias("day_fingerprint"))
 
 
 @query(f"""WITH {SQL} SELECT source_id, CASE WHEN accepted >= 2 THEN 'ACTIVE' WHEN total > accepted THEN 'METADATA_ONLY' END AS state
@@ -178,10 +201,17 @@ def e11_sections(spark, sf_dir):
     return items(spark, sf_dir).groupBy(named.alias("section"), place.alias("section_no")).agg(F.count("*").alias("items"))
 
 
-@query(f"WITH {SQL} SELECT {_DAY} AS day, count(*) AS items, count(DISTINCT source_id) AS outlets FROM item GROUP BY 1 ORDER BY day DESC LIMIT 10")
+@query(f"""WITH {SQL}, {_PERIODS}, shown AS (SELECT key FROM report WHERE period = 'daily' AND len(reasons) = 0 ORDER BY key DESC LIMIT 10), o AS (SELECT story, count(DISTINCT source_id) AS outlets FROM entry WHERE period = 'daily' GROUP BY 1)
+SELECT key, item_id, row_number() OVER (PARTITION BY key ORDER BY item_id) AS position, story, outlets FROM entry JOIN shown USING (key) JOIN o USING (story) WHERE period = 'daily' QUALIFY position <= 20""")
 def e19_report_list(spark, sf_dir):
-    found = _with_day(items(spark, sf_dir)).groupBy("day").agg(F.count("*").alias("items"), F.countDistinct("source_id").alias("outlets"))
-    return found.orderBy(F.desc("day")).limit(10)
+    """The entries (twenty a report) of the newest ten published daily reports, with their stories and how many sources these have."""
+    gate = report_gate(spark, sf_dir).filter((F.col("period") == "daily") & (F.size("reasons") == 0))
+    shown = gate.orderBy(F.desc("key")).limit(10).select("key")
+    k = F.col("item_id")
+    rows = _with_day(items(spark, sf_dir)).filter(k % 83 > 0).select("item_id", F.col("day").alias("key"), "source_id", F.concat(F.lit("s"), F.floor(k / 5).cast("string")).alias("story"))
+    outlets = rows.groupBy("story").agg(F.countDistinct("source_id").alias("outlets"))
+    position = F.row_number().over(W.partitionBy("key").orderBy("item_id")).cast("long")
+    return rows.join(F.broadcast(shown), "key").withColumn("position", position).filter("position <= 20").join(outlets, "story").select("key", "item_id", "position", "story", "outlets")
 
 
 @query(f"""WITH {SQL} SELECT item_id, string_agg(topic, ',' ORDER BY length(topic) DESC, topic) AS topics FROM (SELECT DISTINCT item_id, unnest(string_split(lower(title), ' ')) AS topic FROM item)
@@ -199,12 +229,19 @@ def f7_merge_topics(spark, sf_dir):
     return found.filter("topic is not null").dropDuplicates()
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '(?:^|[^a-z0-9.])v?([0-9]+(?:\.[0-9]+)+)', 1))), ',') AS versions FROM documents
-  WHERE regexp_matches(lower(text), '(?:^|[^a-z0-9.])v?([0-9]+(?:\.[0-9]+)+)')""")
+_VERSION = r"(?:^|[^a-z0-9])(v\.?[0-9]+(?:\.[0-9]+)*|b[0-9]{3,}|[0-9]+\.[0-9]+(?:\.[0-9]+)*)"
+_RELEASED = "lower(title) || CASE item_id % 5 WHEN 0 THEN ' V' || item_id WHEN 1 THEN ' b10' || (item_id % 90 + 10) WHEN 2 THEN ' 1.' || (item_id % 7) || '.0 and v1.' || (item_id % 7) || '.0' WHEN 3 THEN ' v.2' ELSE '' END"
+
+
+@query(f"""WITH {SQL}, t AS (SELECT item_id, lower({_RELEASED}) AS t FROM item) SELECT item_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '{_VERSION}', 1), lambda v: ltrim(ltrim(v, 'v'), '.')))), ',') AS versions FROM t WHERE regexp_matches(t, '{_VERSION}')""")
 def g7_extract_versions(spark, sf_dir):
-    (docs,) = read_tables(spark, sf_dir, "documents")
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:^|[^a-z0-9.])v?([0-9]+(?:\.[0-9]+)+)"), 1)))
-    return docs.select("doc_id", F.array_join(found, ",").alias("versions")).filter("versions <> ''")
+    """Version numbers and build numbers of titles (some are appended, as the titles hold none)."""
+    k = F.col("item_id")
+    n = (k % 7).cast("string")
+    more = F.when(k % 5 == 0, F.concat(F.lit(" V"), k.cast("string"))).when(k % 5 == 1, F.concat(F.lit(" b10"), (k % 90 + 10).cast("string"))).when(k % 5 == 2, F.concat(F.lit(" 1."), n, F.lit(".0 and v1."), n, F.lit(".0"))).when(k % 5 == 3, " v.2").otherwise("")
+    found = F.regexp_extract_all(F.lower(F.concat("title", more)), F.lit(_VERSION), F.lit(1))
+    bare = F.transform(found, lambda v: F.regexp_replace(v, r"^v*\.*", ""))
+    return items(spark, sf_dir).select("item_id", F.array_join(F.array_sort(F.array_distinct(bare)), ",").alias("versions")).filter("versions <> ''")
 
 
 @query(f"""WITH {SQL} SELECT item_id, round(CASE WHEN before IS NULL THEN 0.5e0 ELSE greatest(0e0, 1 - (epoch(observed_at) - epoch(before)) / 259200e0) END, 6) AS proximity
@@ -217,19 +254,29 @@ def g9_time_proximity(spark, sf_dir):
     return rows.select("item_id", F.round(near, 6).alias("proximity"))
 
 
-@query(f"WITH {SQL} SELECT item_id, concat_ws(' · ', title, source_id, {_DAY}) || chr(10) || substr(body, 1, 80) AS header FROM item")
+@query(f"""WITH {SQL} SELECT item_id, concat_ws(' · ', substr(trim(title), 1, 160), source_id, {_DAY}, array_to_string(list_filter([CASE WHEN item_id % 2 = 0 THEN 'Part ' || (item_id % 3) END, CASE WHEN item_id % 4 = 0 THEN 'Section ' || (item_id % 5) END, CASE WHEN item_id % 8 = 0 THEN 'Notes' END, CASE WHEN item_id % 16 = 0 THEN 'Last' END], lambda x: x IS NOT NULL)[-3:], ' › ')) || chr(10) || chr(10) || trim(body) AS header FROM item""")
 def g18_context_header(spark, sf_dir):
-    return _with_day(items(spark, sf_dir)).select("item_id", F.concat(F.concat_ws(" · ", "title", "source_id", "day"), F.lit("\n"), F.substring("body", 1, 80)).alias("header"))
+    """What is indexed: title, source, day and the last three headings (here: made from the number) before the whole text."""
+    k = F.col("item_id")
+    headings = F.array_compact(F.array(F.when(k % 2 == 0, F.concat(F.lit("Part "), (k % 3).cast("string"))), F.when(k % 4 == 0, F.concat(F.lit("Section "), (k % 5).cast("string"))), F.when(k % 8 == 0, "Notes"), F.when(k % 16 == 0, "Last")))
+    last = F.array_join(F.slice(headings, F.greatest(F.lit(1), F.size(headings) - 2), 3), " › ")
+    return _with_day(items(spark, sf_dir)).select("item_id", F.concat(F.concat_ws(" · ", F.substring(F.trim("title"), 1, 160), "source_id", "day", last), F.lit("\n\n"), F.trim("body")).alias("header"))
 
 
-@query(f"""WITH {SQL} SELECT day, string_agg('- ' || title, chr(10) ORDER BY item_id) AS body FROM (SELECT {_DAY} AS day, item_id, title FROM item
-  QUALIFY row_number() OVER (PARTITION BY {_DAY} ORDER BY item_id) <= 12) GROUP BY day""")
+@query(f"""WITH {SQL}, e AS (SELECT {_DAY} AS day, item_id, title, source_id, {_SECTION} AS section, {_ORDER} AS place FROM item QUALIFY row_number() OVER (PARTITION BY {_DAY} ORDER BY item_id) <= 12), o AS (SELECT item_id // 5 AS story, count(DISTINCT source_id) AS n FROM item GROUP BY 1),
+l AS (SELECT day, place, section, string_agg('- **[' || title || '](https://example.com/' || item_id || ')** · ' || source_id || CASE WHEN n > 1 THEN ' · +' || (n - 1) ELSE '' END, chr(10) ORDER BY item_id) AS lines FROM e JOIN o ON story = item_id // 5 GROUP BY ALL)
+SELECT day, '# ' || day || chr(10) || string_agg('## ' || section || chr(10) || lines, chr(10) ORDER BY place) AS body FROM l GROUP BY day""")
 def g23_render_report(spark, sf_dir):
-    """Markdown of each day's first 12 items (a report's size)."""
-    rows = _with_day(items(spark, sf_dir)).select("day", "item_id", "title")
-    kept = rows.withColumn("place", F.row_number().over(W.partitionBy("day").orderBy("item_id"))).filter("place <= 12")
-    lines = F.array_sort(F.collect_list(F.struct("item_id", F.concat(F.lit("- "), F.col("title")).alias("entry"))))
-    return kept.groupBy("day").agg(F.array_join(F.transform(lines, lambda s: s["entry"]), "\n").alias("body"))
+    """Markdown of each day's first twelve items (a report's size) by section, with how many other sources have the story."""
+    kind = F.col("content_type")
+    section, place = _mapped(kind, {x: x for x in SECTIONS}, F.lit("other")), _mapped(kind, {x: k for k, x in enumerate(SECTIONS)}, F.lit(len(SECTIONS)))
+    rows = _with_day(items(spark, sf_dir)).select("day", "item_id", "title", "source_id", section.alias("section"), place.alias("place"), F.floor(F.col("item_id") / 5).alias("story"))
+    outlets = rows.groupBy("story").agg(F.countDistinct("source_id").alias("n"))
+    kept = rows.withColumn("r", F.row_number().over(W.partitionBy("day").orderBy("item_id"))).filter("r <= 12").join(outlets, "story")
+    entry = F.concat(F.lit("- **["), "title", F.lit("](https://example.com/"), F.col("item_id").cast("string"), F.lit(")** · "), "source_id", F.when(F.col("n") > 1, F.concat(F.lit(" · +"), (F.col("n") - 1).cast("string"))).otherwise(""))
+    joined = lambda order, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("entry")))), lambda s: s["entry"]), "\n")
+    sections = kept.groupBy("day", "place", "section").agg(joined("item_id", entry).alias("lines"))
+    return sections.groupBy("day").agg(joined("place", F.concat(F.lit("## "), "section", F.lit("\n"), "lines")).alias("text")).select("day", F.concat(F.lit("# "), "day", F.lit("\n"), "text").alias("body"))
 
 
 @query(f"""WITH {SQL} SELECT item_id, {_DAY} || '-' || substr(trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) || '-' || substr(sha256(title), 1, 8) AS slug FROM item""")

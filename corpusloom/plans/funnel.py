@@ -287,35 +287,3 @@ def j6_abstention_separation(spark, sf_dir):
     return rows.groupBy("answerable").agg(
         F.max("n").alias("n"), F.round(F.avg("score"), 5).alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"), at(0.1).alias("p10"), at(0.9).alias("p90"), F.count_if(inside).alias("overlap")
     )
-
-
-@query("""WITH p AS (SELECT lang, n_chars > 800 AS predicted, quality = 1 AS gold, quality FROM documents LEFT JOIN labels USING (doc_id)), s AS (SELECT lang, predicted, count(*) / count(quality) AS weight FROM p GROUP BY ALL HAVING count(quality) > 0),
-w AS (SELECT sum(weight) FILTER (WHERE predicted AND gold) AS tp, sum(weight) FILTER (WHERE predicted AND NOT gold) AS fp, sum(weight) FILTER (WHERE NOT predicted AND gold) AS fn FROM p JOIN s USING (lang, predicted) WHERE quality IS NOT NULL)
-SELECT round(tp, 4) AS tp, round(fp, 4) AS fp, round(fn, 4) AS fn, round(tp / (tp + fp), 6) AS "precision", round(tp / (tp + fn), 6) AS recall FROM w""")
-def j12_relation_metrics(spark, sf_dir):
-    """Precision and recall over strata, each reviewed row weighted by its stratum's size."""
-    docs, labels = read_tables(spark, sf_dir, "documents", "labels")
-    rows = docs.select("doc_id", "lang", (F.col("n_chars") > 800).alias("predicted")).join(labels.select("doc_id", "quality"), "doc_id", "left")
-    cells = rows.groupBy("lang", "predicted").agg(F.count("*").alias("all"), F.count("quality").alias("reviewed"), F.count_if(F.col("quality") == 1).alias("good")).filter("reviewed > 0")
-    weight = F.col("all") / F.col("reviewed")
-    tp, fp, fn = (F.sum(F.when(p, weight * n)) for p, n in ((F.col("predicted"), F.col("good")), (F.col("predicted"), F.col("reviewed") - F.col("good")), (~F.col("predicted"), F.col("good"))))
-    return cells.agg(F.round(tp, 4).alias("tp"), F.round(fp, 4).alias("fp"), F.round(fn, 4).alias("fn"), F.round(tp / (tp + fp), 6).alias("precision"), F.round(tp / (tp + fn), 6).alias("recall"))
-
-
-@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE quality = 1 - toxic) AS same, count(*) FILTER (WHERE quality = 1) AS a, count(*) FILTER (WHERE toxic = 0) AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
-k AS (SELECT n, same / n AS po, (a / n) * (b / n) + (1 - a / n) * (1 - b / n) AS pe FROM c)
-SELECT n, round(po, 6) AS agreement, CASE WHEN pe < 1 THEN round((po - pe) / (1 - pe), 6) END AS kappa FROM k""")
-def j14_reviewer_agreement(spark, sf_dir):
-    (labels,) = read_tables(spark, sf_dir, "labels")
-    n = F.count("*")
-    counts = labels.filter("quality is not null and toxic is not null").agg(n.alias("n"), (F.count_if(F.col("quality") == 1 - F.col("toxic")) / n).alias("po"), (F.count_if(F.col("quality") == 1) / n).alias("a"), (F.count_if(F.col("toxic") == 0) / n).alias("b"))
-    rows = counts.withColumn("pe", F.col("a") * F.col("b") + (1 - F.col("a")) * (1 - F.col("b")))
-    return rows.select("n", F.round("po", 6).alias("agreement"), F.when(F.col("pe") < 1, F.round((F.col("po") - F.col("pe")) / (1 - F.col("pe")), 6)).alias("kappa"))
-
-
-@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('packet:' || doc_id), doc_id) AS place FROM documents JOIN labels USING (doc_id)")
-def j16_blind_packet(spark, sf_dir):
-    """Reviewed documents in an order that a seed gives, per language."""
-    docs, labels = read_tables(spark, sf_dir, "documents", "labels")
-    order = W.partitionBy("lang").orderBy(F.md5(F.concat(F.lit("packet:"), F.col("doc_id").cast("string"))), "doc_id")
-    return docs.select("doc_id", "lang").join(labels.select("doc_id"), "doc_id").select("doc_id", F.row_number().over(order).cast("long").alias("place"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.ranks import ranked
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import CONTENT_TYPES, SQL, ZONE, items, passages, read_tables, sources
 
@@ -77,10 +78,15 @@ def c17_rechunk_targets(spark, sf_dir):
     return items(spark, sf_dir).select("item_id", "content_type").join(large, "item_id", "left_semi")
 
 
-@query(f"WITH {SQL} SELECT p.item_id, p.ordinal FROM passage p LEFT JOIN embeddings e ON e.vec_id = p.item_id WHERE e.vec_id IS NULL")
+@query(f"""WITH {SQL} SELECT p.item_id, p.ordinal, concat_ws(' · ', i.title, i.source_id, {_DAY.replace("published_at", "i.published_at").replace("observed_at", "i.observed_at")}) AS header, CASE WHEN e.vec_id IS NULL THEN 'missing' ELSE 'other_model' END AS reason
+  FROM passage p JOIN item i USING (item_id) LEFT JOIN embeddings e ON e.vec_id = p.item_id WHERE e.vec_id IS NULL OR e.label % 3 > 0""")
 def c14_pending_embeddings(spark, sf_dir):
+    """Passages without a vector of the current model (here: those with label mod 3 = 0), each with its context header."""
     (vectors,) = read_tables(spark, sf_dir, "embeddings")
-    return passages(spark, sf_dir).select("item_id", "ordinal").join(vectors.select(F.col("vec_id").alias("item_id")), "item_id", "left_anti")
+    known = vectors.select(F.col("vec_id").alias("item_id"), (F.col("label") % 3 > 0).alias("other"))
+    facts = _with_day(items(spark, sf_dir)).select("item_id", F.concat_ws(" · ", "title", "source_id", "day").alias("header"))
+    rows = passages(spark, sf_dir).select("item_id", "ordinal").join(known, "item_id", "left").filter(F.col("other").isNull() | F.col("other")).join(facts, "item_id")
+    return rows.select("item_id", "ordinal", "header", F.when(F.col("other"), "other_model").otherwise("missing").alias("reason"))
 
 
 @query(f"""WITH {SQL} SELECT (SELECT count(*) FROM item) AS items, (SELECT count(*) FROM item WHERE quality IS NOT NULL) AS enriched, (SELECT count(*) FROM source) AS sources, (SELECT count(*) FROM passage) AS passages,
@@ -135,18 +141,25 @@ def d18_thread_list(spark, sf_dir):
     return turns.groupBy("conv_id").agg(first.alias("first_question"), F.count("*").alias("turns"), F.max("turn").alias("last_turn"))
 
 
-@query("SELECT conv_id, string_agg(turn || ':' || role || ':' || length(text), ';' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id")
+@query('''SELECT conv_id, '[' || coalesce(string_agg('{"turn":' || turn || ',"role":"' || role || '","chars":' || length(text) || '}', ',' ORDER BY turn) FILTER (WHERE role <> 'system'), '') || ']' AS turns FROM conversations GROUP BY conv_id''')
 def d19_conversation_json(spark, sf_dir):
+    """Each conversation's turns as a JSON array in order; without the system's, which may leave it empty."""
     (turns,) = read_tables(spark, sf_dir, "conversations")
-    entry = F.concat_ws(":", F.col("turn").cast("string"), "role", F.length("text").cast("string"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("entry")))), lambda s: s["entry"])
-    return turns.groupBy("conv_id").agg(F.array_join(ordered, ";").alias("turns"))
+    entry = F.when(F.col("role") != "system", F.struct("turn", "role", F.length("text").alias("chars")))
+    return turns.groupBy("conv_id").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("turns"))
 
 
-@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 6")
+@query('''WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations), c AS (SELECT conv_id, turn, unnest([(conv_id * 7 + turn) % 50, (conv_id + turn * 3) % 50, conv_id % 50, turn % 50]) AS doc_id FROM r WHERE r <= 6),
+t AS (SELECT c.conv_id, c.turn, list_sort(list(DISTINCT split_part(d.text, '.', 1)))[1:3] AS titles FROM c JOIN documents d USING (doc_id) GROUP BY ALL)
+SELECT r.conv_id, r.turn, role, array_to_string(titles, '|') AS titles, row_number() OVER (PARTITION BY r.conv_id ORDER BY r.turn) AS place FROM r LEFT JOIN t USING (conv_id, turn) WHERE r <= 6''')
 def h19_load_turns(spark, sf_dir):
-    (turns,) = read_tables(spark, sf_dir, "conversations")
-    return turns.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).filter("r <= 6").select("conv_id", "turn", "role")
+    """The last six turns of each conversation, oldest first, with at most three of the titles they cite (here: of four documents by number)."""
+    turns, docs = read_tables(spark, sf_dir, "conversations", "documents")
+    last = turns.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).filter("r <= 6").select("conv_id", "turn", "role")
+    cited = F.array((F.col("conv_id") * 7 + F.col("turn")) % 50, (F.col("conv_id") + F.col("turn") * 3) % 50, F.col("conv_id") % 50, F.col("turn") % 50)
+    titles = docs.select("doc_id", F.split_part("text", F.lit("."), F.lit(1)).alias("title"))
+    told = last.select("conv_id", "turn", F.explode(cited).alias("doc_id")).join(titles, "doc_id").groupBy("conv_id", "turn").agg(F.array_join(F.slice(F.sort_array(F.collect_set("title")), 1, 3), "|").alias("titles"))
+    return last.join(told, ["conv_id", "turn"], "left").withColumn("place", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).cast("long"))
 
 
 @query(f"WITH {SQL} SELECT item_id, ordinal, length(passage) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY ordinal) AS r FROM passage) WHERE r = 1")
@@ -162,17 +175,27 @@ def e1_top_per_topic(spark, sf_dir):
     return rows.withColumn("r", F.row_number().over(order)).filter("r <= 3").select("item_id", "content_type", "quality")
 
 
-@query(f"""WITH {SQL}, c AS (SELECT observed_at AS t, item_id AS i FROM item WHERE item_id = 60) SELECT item_id FROM item, c WHERE observed_at < t OR (observed_at = t AND item_id < i) ORDER BY observed_at DESC, item_id DESC LIMIT 21""")
+@query(f"""WITH {SQL}, r AS (SELECT item_id, row_number() OVER (ORDER BY observed_at DESC, item_id DESC) AS r FROM item), p AS (SELECT c.item_id AS cursor, i.item_id, i.r - c.r AS place FROM r c JOIN r i ON i.r BETWEEN c.r + 1 AND c.r + 21 WHERE c.item_id % 20 = 0)
+SELECT cursor, item_id, place, max(place) OVER (PARTITION BY cursor) > 20 AS has_more FROM p QUALIFY place <= 20""")
 def e4_keyset_page(spark, sf_dir):
-    rows = items(spark, sf_dir).select("item_id", "observed_at")
-    cursor = F.broadcast(rows.filter("item_id = 60").select(F.struct("observed_at", "item_id").alias("cursor")))
-    page = rows.crossJoin(cursor).filter(F.struct("observed_at", "item_id") < F.col("cursor"))
-    return page.orderBy(F.desc("observed_at"), F.desc("item_id")).limit(21).select("item_id")
+    """The page of twenty behind each cursor (every twentieth item) in order of time, and whether more follow."""
+    placed = ranked(items(spark, sf_dir).select("item_id", (-F.unix_micros(F.col("observed_at").cast("timestamp"))).alias("at"), (-F.col("item_id")).alias("no")), [], ["at", "no"])
+    cursors = placed.filter("item_id % 20 = 0").select(F.col("item_id").alias("cursor"), F.explode(F.sequence(F.lit(1), F.lit(21))).alias("place"), F.col("r").alias("c"))
+    page = cursors.join(placed, placed.r == F.col("c") + F.col("place")).select("cursor", "item_id", F.col("place").cast("long").alias("place"))
+    more = page.groupBy("cursor").agg((F.max("place") > 20).alias("has_more"))
+    return page.filter("place <= 20").join(more, "cursor")
 
 
-@query(f"WITH {SQL} SELECT item_id, source_id FROM item ORDER BY quality DESC NULLS LAST, item_id LIMIT 50")
+@query(f"""WITH {SQL}, o AS (SELECT 'curated' AS sort, item_id, row_number() OVER (ORDER BY quality DESC NULLS LAST, item_id) AS place FROM item UNION ALL SELECT 'heat', item_id, row_number() OVER (ORDER BY CASE WHEN item_id % 3 > 0 THEN length(body) END DESC NULLS LAST, item_id) FROM item
+  UNION ALL SELECT 'latest', item_id, row_number() OVER (ORDER BY coalesce(published_at, observed_at) DESC, item_id) FROM item) SELECT * FROM o WHERE place <= 50""")
 def e5_selected_feed(spark, sf_dir):
-    return items(spark, sf_dir).select("item_id", "source_id", "quality").orderBy(F.desc_nulls_last("quality"), "item_id").limit(50).select("item_id", "source_id")
+    """The first fifty (a page's size) of the selected items in each of three orders; heat is null for a third."""
+    rows = items(spark, sf_dir).select("item_id", "quality", F.when(F.col("item_id") % 3 > 0, F.length("body")).alias("heat"), F.coalesce("published_at", "observed_at").alias("at"))
+    out = None
+    for name, order in (("curated", F.desc_nulls_last("quality")), ("heat", F.desc_nulls_last("heat")), ("latest", F.desc("at"))):
+        top = rows.orderBy(order, "item_id").limit(50).select(F.lit(name).alias("sort"), "item_id", F.row_number().over(W.orderBy(order, "item_id")).cast("long").alias("place"))
+        out = top if out is None else out.union(top)
+    return out
 
 
 @query(f"WITH {SQL} SELECT 'vendor' AS kind, organization AS target FROM source UNION ALL SELECT 'topic', content_type FROM (SELECT DISTINCT content_type FROM item)")
@@ -191,7 +214,13 @@ def f4_upsert_latest(spark, sf_dir):
     return old.join(new, "item_id", "full").select("item_id", F.date_format(F.coalesce("new_at", "old_at"), "yyyy-MM-dd").alias("published"), kept.alias("content_type"))
 
 
-@query(f"""WITH {SQL}, r AS (SELECT source_id, sha256(title) AS sha, min(item_id) AS first_item FROM item GROUP BY source_id, sha256(title)) SELECT source_id, sha, row_number() OVER (PARTITION BY source_id ORDER BY first_item) AS revision_no FROM r""")
+@query(f"""WITH {SQL}, r AS (SELECT source_id, sha256(title) AS sha, min(item_id) AS first_item FROM item GROUP BY source_id, sha256(title)), n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY first_item) AS revision_no FROM r)
+SELECT source_id, sha, revision_no, revision_no = max(revision_no) OVER (PARTITION BY source_id) AS current, revision_no > 1 AND first_item % 6 > 0 AS reopened FROM n""")
 def f5_revise(spark, sf_dir):
+    """A revision for each new text of a source, numbered as they come; the last is current, and a later one opens its
+    item again unless that is a copy (here: every sixth)."""
     seen = items(spark, sf_dir).groupBy("source_id", F.sha2("title", 256).alias("sha")).agg(F.min("item_id").alias("first_item"))
-    return seen.select("source_id", "sha", F.row_number().over(W.partitionBy("source_id").orderBy("first_item")).cast("long").alias("revision_no"))
+    rows = ranked(seen, ["source_id"], ["first_item"], "revision_no")
+    last = rows.groupBy("source_id").agg(F.max("revision_no").alias("last"))
+    rows = rows.join(F.broadcast(last), "source_id")  # a row a source
+    return rows.select("source_id", "sha", "revision_no", (F.col("revision_no") == F.col("last")).alias("current"), ((F.col("revision_no") > 1) & (F.col("first_item") % 6 > 0)).alias("reopened"))

@@ -11,15 +11,23 @@ from corpusloom.sources.tables import NOW, SQL, ZONE, items, read_tables
 _IN = "'" + "','".join(text.TRACKING) + "'"
 
 
-@query(f"""SELECT page_id, canonical, sha256(canonical) AS url_hash FROM (SELECT page_id, scheme || '://' || host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS canonical FROM (
- SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme,
- CASE WHEN url LIKE 'http:%' THEN regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), ':80$', '') ELSE regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), ':443$', '') END AS host,
- coalesce(nullif(rtrim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/'), ''), '/') AS path,
- array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND lower(split_part(p, '=', 1)) NOT IN ({_IN}) AND NOT starts_with(lower(split_part(p, '=', 1)), 'utm_'))), '&') AS q
- FROM pages))""")
+_ODD = "CASE page_id % 6 WHEN 0 THEN replace(url, '://', '://user:pw@') WHEN 1 THEN split_part(url, '#', 1) || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'b=%41+c&a&z=1*2~&UTM_x=1&b=%2F' WHEN 2 THEN 'ftp://example.com/x' WHEN 3 THEN '  ' || upper(split_part(url, ':', 1)) || '://' ELSE url END"
+_PART = "replace(replace(url_decode(replace({}, '+', ' ')), chr(0), ''), '', '')"
+_ENC = "replace(url_encode({}), '%20', '+')"
+
+
+@query(f"""WITH o AS (SELECT page_id, trim({_ODD}) AS url FROM pages), u AS (SELECT page_id, url, regexp_extract(url, '^(https?)://', 1) AS scheme, lower(regexp_replace(regexp_extract(url, '^https?://([^/?#]*)', 1), '^.*@', '')) AS place, coalesce(nullif(rtrim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/'), ''), '/') AS path,
+  list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract(url, '^[^?#]*\\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {{'k': {_PART.format("regexp_extract(p, '^([^=]*)', 1)")}, 'v': {_PART.format("regexp_extract(p, '^[^=]*=(.*)$', 1)")}}}),
+    lambda p: lower(p.k) NOT IN ({_IN}) AND NOT starts_with(lower(p.k), 'utm_'))) AS q FROM o),
+c AS (SELECT page_id, CASE WHEN scheme <> '' AND place <> '' THEN scheme || '://' || CASE scheme WHEN 'http' THEN regexp_replace(place, ':80$', '') ELSE regexp_replace(place, ':443$', '') END || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda p: {_ENC.format("p.k")} || '=' || {_ENC.format("p.v")}), '&') ELSE '' END END AS canonical FROM u)
+SELECT page_id, canonical, sha256(canonical) AS url_hash FROM c""")
 def b1_canonicalize_url(spark, sf_dir):
+    """Identity of URLs; some are given users, odd parameters or other schemes first."""
     (pages,) = read_tables(spark, sf_dir, "pages")
-    canonical = text.canonical_url(F.col("url"))
+    k, url = F.col("page_id") % 6, F.col("url")
+    more = F.concat(F.split_part(url, F.lit("#"), F.lit(1)), F.when(url.contains("?"), "&").otherwise("?"), F.lit("b=%41+c&a&z=1*2~&UTM_x=1&b=%2F"))
+    odd = F.when(k == 0, F.replace(url, F.lit("://"), F.lit("://user:pw@"))).when(k == 1, more).when(k == 2, "ftp://example.com/x").when(k == 3, F.concat(F.lit("  "), F.upper(F.split_part(url, F.lit(":"), F.lit(1))), F.lit("://"))).otherwise(url)
+    canonical = text.canonical_url(odd)
     return pages.select("page_id", canonical.alias("canonical"), F.sha2(canonical, 256).alias("url_hash"))
 
 
@@ -58,10 +66,15 @@ def b12_local_day(spark, sf_dir):
 @query("""SELECT id, kind, labels FROM (SELECT id, kind, array_to_string(list_filter([CASE WHEN regexp_matches(t, '(?i)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----') THEN 'private_key' END,
  CASE WHEN regexp_matches(t, '(?i)\\bAuthorization\\s*:\\s*Bearer\\s+\\S+') THEN 'authorization_header' END, CASE WHEN regexp_matches(t, '\\bsk-[A-Za-z0-9_-]{20,}\\b') THEN 'openai_style_key' END,
  CASE WHEN regexp_matches(t, '\\bgh[pousr]_[A-Za-z0-9]{20,}\\b') THEN 'github_token' END, CASE WHEN regexp_matches(t, '\\bAKIA[0-9A-Z]{16}\\b') THEN 'aws_access_key' END], lambda x: x IS NOT NULL), ',') AS labels
- FROM (SELECT doc_id AS id, 'document' AS kind, text AS t FROM documents UNION ALL SELECT conv_id, 'turn', text FROM conversations))""")
+ FROM (SELECT id, kind, t || CASE id % 9 WHEN 0 THEN ' -----BEGIN RSA PRIVATE KEY-----' WHEN 1 THEN ' authorization:  bearer a.b' WHEN 2 THEN ' sk-' || md5(t) WHEN 3 THEN ' ghp_' || md5(t) WHEN 4 THEN ' AKIA' || upper(substr(md5(t), 1, 16)) WHEN 5 THEN ' AKIA123 sk-short xghp_' || md5(t) ELSE '' END AS t FROM (SELECT doc_id AS id, 'document' AS kind, text AS t FROM documents UNION ALL SELECT conv_id, 'turn', text FROM conversations)))""")
 def b13_credential_scan(spark, sf_dir):
+    """Which kinds of credentials texts hold (some are appended, as the tables hold none)."""
     docs, turns = read_tables(spark, sf_dir, "documents", "conversations")
     both = docs.select(F.col("doc_id").alias("id"), F.lit("document").alias("kind"), "text").union(turns.select("conv_id", F.lit("turn"), "text"))
+    k, digest = F.col("id") % 9, F.md5("text")
+    more = F.when(k == 0, " -----BEGIN RSA PRIVATE KEY-----").when(k == 1, " authorization:  bearer a.b").when(k == 2, F.concat(F.lit(" sk-"), digest)).when(k == 3, F.concat(F.lit(" ghp_"), digest))
+    more = more.when(k == 4, F.concat(F.lit(" AKIA"), F.upper(F.substring(digest, 1, 16)))).when(k == 5, F.concat(F.lit(" AKIA123 sk-short xghp_"), digest)).otherwise("")
+    both = both.withColumn("text", F.concat("text", more))
     return both.select("id", "kind", F.array_join(text.credential_labels(F.col("text")), ",").alias("labels"))
 
 

@@ -1,9 +1,13 @@
-"""Streaming forms of the stateful log operators; each has a batch twin in ``plans.ops``."""
+"""Streaming forms of the stateful log operators; each has a batch twin in ``plans.streams`` or ``plans.ops``."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def quotas(events: DataFrame, per_minute: int = 3, late: str = "10 minutes") -> DataFrame:
@@ -18,6 +22,60 @@ def deduplicated(events: DataFrame, key: str = "event_id", late: str = "10 minut
 
 
 def guarded(events: DataFrame, now: str, observed: str = "observed_at") -> DataFrame:
-    """Implausible times (over 6 hours ahead, or before 1990) give way to the observed one."""
+    """Implausible times (over 6 hours ahead, or before 1990) and missing ones give way to the observed one."""
     limit = F.lit(now).cast("timestamp") + F.expr("INTERVAL 6 HOUR")
     return events.withColumn("ts", F.when((F.col("ts") <= limit) & (F.year("ts") >= 1990), F.col("ts")).otherwise(F.col(observed)))
+
+
+def incremental(events: DataFrame, key: str = "user_id") -> DataFrame:
+    """Only what is newer than all that its source gave in earlier batches: a high-water mark for each source."""
+
+    def newer(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.get[0] if state.exists else None
+        rows = pd.concat(list(parts))
+        kept = rows if mark is None else rows[rows["ts"] > pd.Timestamp(mark)]
+        if len(rows):
+            top = rows["ts"].max().to_pydatetime()
+            state.update((max(mark, top) if mark else top,))
+        yield kept[names]
+
+    names = events.columns
+    return events.groupBy(key).applyInPandasWithState(newer, events.schema, "mark timestamp", "append", GroupStateTimeout.NoTimeout)
+
+
+def spend(events: DataFrame, zone: str, limit: int, late: str = "1 hour") -> DataFrame:
+    """Tokens of each local day, and whether they are over the limit (0: none)."""
+    local = events.withWatermark("ts", late).withColumn("local", F.from_utc_timestamp("ts", zone))
+    sums = local.withWatermark("local", late).groupBy(F.window("local", "1 day")).agg(F.sum("tokens").alias("tokens"))
+    return sums.select(F.to_date("window.start").alias("day"), "tokens", ((F.col("tokens") > limit) & F.lit(limit > 0)).alias("over_limit"))
+
+
+def health(events: DataFrame) -> DataFrame:
+    """user_id, failures, state after each batch: the ladder of failures as a state machine. Rows: user_id, ts, event_id,
+    failed, code, retryable; times within a batch may be in any order."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, since, told = state.get if state.exists else (0, None, "ACTIVE")
+        for r in pd.concat(list(parts)).sort_values(["ts", "event_id"]).itertuples():
+            at = r.ts.to_pydatetime()
+            since = since or at
+            if not r.failed:
+                failures, since, told = 0, at, "ACTIVE"
+                continue
+            failures += 1
+            if r.code == "RATE_LIMITED":
+                told = "RATE_LIMITED"
+            elif not r.retryable:
+                told = "QUARANTINED"
+            elif failures >= 3:
+                told = "QUARANTINED" if (at - since).total_seconds() >= 86_400 else "DEGRADED"
+        state.update((failures, since, told))
+        yield pd.DataFrame([(key[0], failures, told)], columns=["user_id", "failures", "state"])
+
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, failures long, state string", "failures long, since timestamp, state string", "update", GroupStateTimeout.NoTimeout)
+
+
+def latency(events: DataFrame, length: str = "2 hours", slide: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Approximate quantiles of each operation over sliding windows."""
+    found = events.withWatermark("ts", late).groupBy(F.window("ts", length, slide), "event_type").agg(F.count("*").alias("calls"), F.percentile_approx("value", [0.5, 0.95], 10_000).alias("p"))
+    return found.select(F.col("window.start").alias("begin_at"), "event_type", "calls", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"))
