@@ -100,6 +100,14 @@ def uncollected(run: Callable) -> Callable:
     return over
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of the frame has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(col: str = "text") -> Column:
     """A whole text; null counts as empty."""
     return F.coalesce(F.col(col), F.lit(""))

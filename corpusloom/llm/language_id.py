@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import extended, fold, released, small_batches, text_of
+from .common import extended, fold, fresh, released, small_batches, text_of
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -237,5 +237,6 @@ def keep_known(docs: DataFrame, text_col: str = "text", min_score: float | None
         return small_batches(docs).mapInArrow(released(lettered), docs.schema)
     if min_score is None:
         min_score = calibrated(docs.filter(held_out), network, text_col=text_col, **columns)
-    kept = predict(docs, network, text_col, "__lang", "__score")
-    return kept.filter((F.col("__lang") != UNKNOWN) & (F.col("__score") >= min_score)).drop("__lang", "__score")
+    lang, score = fresh(docs, "__lang"), fresh(docs, "__score")
+    kept = predict(docs, network, text_col, lang, score)
+    return kept.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, extended, released, small_batches, words
+from .common import Scratch, extended, fresh, released, small_batches, words
 
 END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 WORD = re.compile(r"[^\t-\r ]+")
@@ -253,13 +253,14 @@ def remove_repeats(
     beside = edges.select("id", "place", "k1", "k2", "side").join(beside, ["k1", "k2", "side"])
     hits = hits.groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "place")).alias("__hits"))
     beside = beside.groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "place", "side", "beside")).alias("__beside"))
-    names = docs.columns
-    marked = docs.withColumn("__id", own)
-    for more in (hits, beside):
-        marked = marked.join(more.withColumnRenamed("id", "__id"), "__id", "left")
-    marked = marked.select(*names, "__hits", "__beside")
+    names, key = docs.columns, fresh(docs, "__id")
+    found_in = [fresh(docs, c) for c in ("__hits", "__beside")]
+    marked = docs.withColumn(key, own)
+    for more, column, name in zip((hits, beside), ("__hits", "__beside"), found_in):
+        marked = marked.join(more.withColumnsRenamed({"id": key, column: name}), key, "left")
+    marked = marked.select(*[f"`{c}`" for c in names], *found_in)
     names = [c for c in names if c != removed_col]
-    schema = extended(docs.select(*names), **({removed_col: "long"} if removed_col else {}))
+    schema = extended(docs.select(*[f"`{c}`" for c in names]), **({removed_col: "long"} if removed_col else {}))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -54,9 +54,8 @@ def folded(url: Column) -> Column:
 
 def grams(url: Column) -> Column:
     """The strings of four that end at each character, ^ standing before the first; none of an empty URL."""
-    s = F.concat(F.lit("^^^"), folded(url))
-    found = F.transform(F.sequence(F.lit(1), F.length(s) - 3), lambda k: F.substring(s, k, 4))
-    return F.when(F.length(s) > 3, found).otherwise(F.array().cast("array<string>"))
+    # a look-ahead finds overlapping strings in one pass, however long the URL is
+    return F.regexp_extract_all(F.concat(F.lit("^^^"), folded(url)), F.lit("(?=(.{4}))"), F.lit(1))
 
 
 def gram_scores(counts: DataFrame) -> DataFrame:
