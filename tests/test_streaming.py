@@ -1,22 +1,112 @@
+"""The stream operators against their batch twins; files arrive one by one."""
+
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from corpusloom.streaming import logs
 
-SF = "/root/testdata/sf0.001"
+SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, tokens long, failed boolean, code string, retryable boolean"
+
+
+def events(seed: int, n: int = 600):
+    rng = random.Random(seed)
+    at = datetime(2024, 1, 1)
+    out = []
+    for k in range(n):
+        at += timedelta(seconds=rng.randint(1, 900))
+        failed = rng.random() < 0.5
+        out.append((k, at, rng.randint(0, 6), rng.choice(["a", "b"]), float(rng.randint(0, 100)), rng.randint(1, 50), failed, rng.choice(["RATE_LIMITED", "OTHER", "OTHER"]), rng.random() < 0.8))
+    return out
 
 
-def run(spark, df, name):
-    q = df.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+def replay(spark, tmp_path, rows, parts: int, operator, mode: str, name: str):
+    """The operator over the rows in files, one in each batch, a last row far ahead closing the windows."""
+    folder = str(tmp_path / name)
+    step = -(-len(rows) // parts)
+    for k in range(0, len(rows), step):
+        spark.createDataFrame(rows[k : k + step], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    end = (10**6, datetime(2030, 1, 1), -1, "end", 0.0, 0, False, "", True)
+    spark.createDataFrame([end], SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    q = operator(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert q.exception() is None
     return spark.table(name)
 
 
-def test_quota_stream_equals_batch(spark):
-    batch = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = f"{SF}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder + "*").withColumn("ts", F.col("ts").cast("timestamp"))
-    got = {(r.user_id, r.minute): r.calls for r in run(spark, logs.quotas(stream), "quota").collect()}
-    want = {(r.user_id, r.minute): r.calls for r in batch.groupBy(F.window("ts", "1 minute"), "user_id").count().select("user_id", F.col("window.start").alias("minute"), F.col("count").alias("calls")).collect()}
-    assert got.items() <= want.items() and len(got) > 0.9 * len(want)
-    again = run(spark, logs.deduplicated(stream.union(stream)), "once")
-    assert again.count() == batch.count()
+def test_quotas(spark, tmp_path):
+    rows = events(1)
+    got = {(r.user_id, r.minute): (r.calls, r.over_quota) for r in replay(spark, tmp_path, rows, 3, logs.quotas, "append", "quotas").collect() if r.user_id >= 0}
+    want: dict = {}
+    for r in rows:
+        key = (r[2], r[1].replace(second=0))
+        want[key] = want.get(key, 0) + 1
+    assert got == {k: (n, n > 3) for k, n in want.items()}
+
+
+def test_deduplicated(spark, tmp_path):
+    rows = events(2)
+    again = [r for r in rows for _ in range(2)]
+    got = replay(spark, tmp_path, again, 3, logs.deduplicated, "append", "once")
+    assert sorted(r.event_id for r in got.collect()) == [*range(len(rows)), 10**6]
+
+
+def test_guarded(spark, tmp_path):
+    rows = events(3, 50)
+    moved = [(k, t + timedelta(days=4000) if k % 5 == 0 else t - timedelta(days=20000) if k % 5 == 1 else None if k % 5 == 2 else t, *rest) for k, t, *rest in rows]
+    observed = datetime(2024, 2, 1)
+    op = lambda df: logs.guarded(df.withColumn("observed_at", F.lit(observed)), "2024-01-31").select("event_id", "ts")
+    got = {r.event_id: r.ts for r in replay(spark, tmp_path, moved, 2, op, "append", "guarded").collect()}
+    assert all(got[k] == (t if k % 5 > 2 else observed) for k, t, *_ in rows)
+
+
+def test_incremental(spark, tmp_path):
+    rows = events(4, 60)
+    late = [(900 + k, r[1] - timedelta(days=1), *r[2:]) for k, r in enumerate(rows[:20])]
+    got = {r.event_id for r in replay(spark, tmp_path, rows + late, 4, logs.incremental, "append", "newer").collect()}
+    assert got == {r[0] for r in rows} | {10**6}
+
+
+def test_spend(spark, tmp_path):
+    rows = events(5)
+    got = {str(r.day): (r.tokens, r.over_limit) for r in replay(spark, tmp_path, rows, 3, lambda df: logs.spend(df, "Asia/Shanghai", 1500), "append", "spend").collect()}
+    want: dict = {}
+    for r in rows:
+        day = str((r[1] + timedelta(hours=8)).date())
+        want[day] = want.get(day, 0) + r[5]
+    assert {k: v for k, v in got.items() if k < "2030"} == {k: (n, n > 1500) for k, n in want.items()}
+
+
+def test_health(spark, tmp_path):
+    rows = events(6, 400)
+    got = {r.user_id: (r.failures, r.state) for r in replay(spark, tmp_path, rows, 4, logs.health, "update", "health").collect()}  # the last update counts
+    want = {}
+    for user in {r[2] for r in rows}:
+        failures, since, told = 0, None, "ACTIVE"
+        for r in [r for r in rows if r[2] == user]:
+            since = since or r[1]
+            if not r[6]:
+                failures, since, told = 0, r[1], "ACTIVE"
+                continue
+            failures += 1
+            if r[7] == "RATE_LIMITED":
+                told = "RATE_LIMITED"
+            elif not r[8]:
+                told = "QUARANTINED"
+            elif failures >= 3:
+                told = "QUARANTINED" if r[1] - since >= timedelta(days=1) else "DEGRADED"
+        want[user] = (failures, told)
+    assert {u: v for u, v in got.items() if u >= 0} == want
+
+
+def test_latency(spark, tmp_path):
+    rows = events(7)
+    got = {(r.begin_at, r.event_type): r.calls for r in replay(spark, tmp_path, rows, 3, logs.latency, "append", "slow").collect() if r.event_type != "end"}
+    want: dict = {}
+    for r in rows:
+        hour = r[1].replace(minute=0, second=0)
+        for begin in (hour, hour - timedelta(hours=1)):
+            want[(begin, r[3])] = want.get((begin, r[3]), 0) + 1
+    assert got == want
