@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import search_tokens
-from corpusloom.plans.reads import _DAY, _FIRST, _with_day, with_canonical
+from corpusloom.plans.reads import _DAY, _FIRST, _TOPICS, _with_day, labelled, with_canonical
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import SQL, items, passages, read_tables, sources
 
@@ -14,7 +14,8 @@ from corpusloom.sources.tables import SQL, items, passages, read_tables, sources
 AUTHORITY = {"primary": 90.0, "secondary": 65.0, "expert": 75.0, "community": 40.0}
 # Fixed values of these bindings: retired topics and where they go (None: dropped).
 MERGED = {"tutorial": "learning", "business": "industry", "policy": "industry", "opinion": None}
-SECTIONS = ["model_release", "product_release", "api_update", "open_source", "research", "security"]
+# The order of sections.
+SECTIONS = ["model_release", "product_release", "api_update", "open_source", "research", "security", "business", "policy", "tutorial", "opinion"]
 
 
 def _mapped(col, values: dict, default):
@@ -194,11 +195,16 @@ _SECTION = _case("content_type", {s: s for s in SECTIONS}, "'other'")
 _ORDER = _case("content_type", {s: k for k, s in enumerate(SECTIONS)}, str(len(SECTIONS)))
 
 
-@query(f"WITH {SQL} SELECT {_SECTION} AS section, {_ORDER} AS section_no, count(*) AS items FROM item GROUP BY 1, 2")
+@query(f"WITH {SQL}, s AS (SELECT {_DAY} AS day, item_id, CASE WHEN item_id % 12 = 7 THEN 'unnamed' ELSE content_type END AS content_type FROM item) SELECT day, item_id, {_SECTION} AS section, dense_rank() OVER (PARTITION BY day ORDER BY {_ORDER}) AS section_no FROM s")
 def e11_sections(spark, sf_dir):
+    """The section of each item of a day: in the fixed order, empty ones left out, what fits none at the end as other."""
     kind = F.col("content_type")
+    rows = _with_day(items(spark, sf_dir)).select("day", "item_id", F.when(F.col("item_id") % 12 == 7, "unnamed").otherwise(kind).alias("content_type"))
     named, place = _mapped(kind, {s: s for s in SECTIONS}, F.lit("other")), _mapped(kind, {s: k for k, s in enumerate(SECTIONS)}, F.lit(len(SECTIONS)))
-    return items(spark, sf_dir).groupBy(named.alias("section"), place.alias("section_no")).agg(F.count("*").alias("items"))
+    rows = rows.select("day", "item_id", named.alias("section"), place.alias("place"))
+    found = rows.select("day", "section", "place").distinct()  # as many rows as a day has sections
+    found = found.withColumn("section_no", F.row_number().over(W.partitionBy("day").orderBy("place")).cast("long"))
+    return rows.join(found.select("day", "section", "section_no"), ["day", "section"]).select("day", "item_id", "section", "section_no")
 
 
 @query(f"""WITH {SQL}, {_PERIODS}, shown AS (SELECT key FROM report WHERE period = 'daily' AND len(reasons) = 0 ORDER BY key DESC LIMIT 10), o AS (SELECT story, count(DISTINCT source_id) AS outlets FROM entry WHERE period = 'daily' GROUP BY 1)
@@ -214,13 +220,11 @@ def e19_report_list(spark, sf_dir):
     return rows.join(F.broadcast(shown), "key").withColumn("position", position).filter("position <= 20").join(outlets, "story").select("key", "item_id", "position", "story", "outlets")
 
 
-@query(f"""WITH {SQL} SELECT item_id, string_agg(topic, ',' ORDER BY length(topic) DESC, topic) AS topics FROM (SELECT DISTINCT item_id, unnest(string_split(lower(title), ' ')) AS topic FROM item)
-  WHERE topic <> '' GROUP BY item_id""")
+@query(f"""WITH {SQL}, {_TOPICS} SELECT item_id, string_agg(topic, ',' ORDER BY confidence DESC NULLS LAST, topic) AS topics FROM labelled GROUP BY item_id""")
 def e20_item_topics(spark, sf_dir):
-    words = F.filter(F.array_distinct(F.split(F.lower("title"), " ")), lambda w: w != "")
-    ranked = F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("order"), w.alias("topic"))))
-    found = items(spark, sf_dir).select("item_id", F.array_join(F.transform(ranked, lambda s: s["topic"]), ",").alias("topics"))
-    return found.filter("topics <> ''")
+    """All topics of an item in one array, the surest first, those without a confidence last."""
+    order = F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("c"), "topic")
+    return labelled(spark, sf_dir).groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["topic"]), ",").alias("topics"))
 
 
 @query(f"WITH {SQL} SELECT DISTINCT source_id, topic FROM (SELECT source_id, {_case('content_type', MERGED, 'content_type')} AS topic FROM item) WHERE topic IS NOT NULL")

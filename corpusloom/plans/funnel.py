@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.operators import retrieval
 from corpusloom.plans.evaluation import _FUSED, _JUDGED, _SPARSE, benchmark_queries, fused, sparse
 from corpusloom.plans.registry import query
-from corpusloom.sources.tables import NOW, SQL, items, read_tables, sources
+from corpusloom.sources.tables import CONTENT_TYPES, SQL, items, read_tables, sources
 
 # The content types of each tab.
 TABS = {
@@ -63,12 +63,20 @@ def second_scores(spark, sf_dir):
 _K = "TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 
-@query(f"SELECT event_id, CASE WHEN {_K} IS NULL THEN 'schema' WHEN event_type NOT IN ('click', 'view', 'purchase', 'signup') THEN 'type' WHEN {_K} NOT BETWEEN 0 AND 90 THEN 'range' ELSE 'valid' END AS outcome FROM events")
+@query(f"""WITH {SQL} SELECT item_id, CASE WHEN item_id % 23 = 7 THEN 'json' WHEN item_id % 13 = 11 THEN 'content_type' WHEN item_id % 120 > 100 THEN 'range' WHEN item_id % 17 = 3 THEN 'entities' WHEN item_id % 19 = 5 THEN 'topics' ELSE 'valid' END AS outcome FROM item""")
 def b7_validate_enrichment(spark, sf_dir):
-    (events,) = read_tables(spark, sf_dir, "events")
-    k = F.from_json("props", "k bigint", {"mode": "PERMISSIVE"})["k"]
-    known = F.col("event_type").isin("click", "view", "purchase", "signup")
-    return events.select("event_id", F.when(k.isNull(), "schema").when(~known, "type").when(~k.between(0, 90), "range").otherwise("valid").alias("outcome"))
+    """Structured labels (made from the items, some of them wrong) against their schema: the first fault of each, or valid."""
+    k, quote = F.col("item_id"), lambda values: F.concat(F.lit("["), F.lit(",".join(f'"{v}"' for v in values)), F.lit("]"))
+    body = F.concat(
+        F.lit('{"content_type":"'), F.when(k % 13 == 11, "rumour").otherwise(F.col("content_type")), F.lit('","relevance":'), (k % 120).cast("string"), F.lit(',"information_gain":'), (k % 101).cast("string"), F.lit(',"entities":'),
+        F.when(k % 17 == 3, quote([f"e{n}" for n in range(26)])).otherwise(quote("ab")), F.lit(',"topics":'), F.when(k % 19 == 5, quote(range(1, 12))).otherwise(quote("x")), F.when(k % 23 == 7, "").otherwise("}"),
+    )
+    kind = "content_type string, relevance double, information_gain double, entities array<string>, topics array<string>, _bad string"
+    rows = items(spark, sf_dir).select("item_id", F.from_json(body, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("x"))
+    inside = lambda c: F.coalesce(c.between(0, 100), F.lit(False))
+    outcome = F.when(F.col("x._bad").isNotNull() | F.col("x").isNull(), "json").when(~F.coalesce(F.col("x.content_type").isin(CONTENT_TYPES), F.lit(False)), "content_type")
+    outcome = outcome.when(~(inside(F.col("x.relevance")) & inside(F.col("x.information_gain"))), "range").when(F.size("x.entities") > 25, "entities").when(F.size("x.topics") > 10, "topics").otherwise("valid")
+    return rows.select("item_id", outcome.alias("outcome"))
 
 
 _PICKED = [(tab, kind) for tab, kinds in TABS.items() for kind in kinds] + [("type:security", "security"), ("research", "research")]
@@ -203,14 +211,23 @@ def g8_set_similarity(spark, sf_dir):
     return rows.select("conv_id", "turn", jaccard.alias("jaccard"), F.when(small < 3, jaccard).otherwise(F.round(shared / F.when(small > 0, small), 6)).alias("containment"))
 
 
-@query(f"WITH {SQL} SELECT item_id, row_number() OVER (ORDER BY coalesce(published_at, observed_at) DESC, item_id DESC) AS rank, 0e0 AS score FROM item JOIN source USING (source_id) WHERE tier = 'primary' AND coalesce(published_at, observed_at) >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY ORDER BY rank LIMIT 40")
+@query(f"""WITH {SQL}, q AS (SELECT item_id AS query_id, TIMESTAMP '2024-01-01' + to_hours(CAST(item_id % 20 AS INTEGER)) AS begin_at, TIMESTAMP '2024-01-02' + to_hours(CAST(item_id % 20 AS INTEGER)) AS end_at, CASE item_id % 3 WHEN 0 THEN regexp_extract_all(text, '[A-Z][a-z]+') END AS entities, item_id % 2 = 0 AS official FROM benchmark),
+i AS (SELECT item_id, coalesce(published_at, observed_at) AS moment, regexp_extract(title, '^([A-Z][a-z]+)', 1) AS subject, tier FROM item JOIN source USING (source_id))
+SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY moment DESC, item_id DESC) AS rank, 0e0 AS score FROM q JOIN i ON moment >= begin_at AND moment < end_at AND (NOT official OR tier = 'primary') AND (entities IS NULL OR (subject <> '' AND list_contains(entities, subject))) QUALIFY rank <= 40""")
 def h4_temporal_topk(spark, sf_dir):
-    """The newest items of a window with a leading source; the limit is taken before places are given."""
-    at = F.coalesce("published_at", "observed_at").cast("timestamp")
-    lead = sources(spark, sf_dir).filter("tier = 'primary'").select("source_id")
-    recent = items(spark, sf_dir).join(F.broadcast(lead), "source_id", "left_semi").select("item_id", at.alias("at")).filter(F.col("at") >= F.lit(NOW).cast("timestamp") - F.expr("INTERVAL 30 DAY"))
-    first = recent.orderBy(F.desc("at"), F.desc("item_id")).limit(40)
-    return first.select("item_id", F.row_number().over(W.orderBy(F.desc("at"), F.desc("item_id"))).cast("long").alias("rank"), F.lit(0.0).alias("score"))
+    """The newest forty items in each question's window, for some only of leading sources or with a subject that the
+    question names. Windows meet items by the days they touch; what meets is verified."""
+    (bench,) = read_tables(spark, sf_dir, "benchmark")
+    k = F.col("item_id")
+    begin, end = (F.lit(d).cast("timestamp") + F.make_interval(hours=(k % 20).cast("int")) for d in ("2024-01-01", "2024-01-02"))
+    asked = bench.select(k.alias("query_id"), begin.alias("begin_at"), end.alias("end_at"), F.when(k % 3 == 0, F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("entities"), (k % 2 == 0).alias("official"))
+    asked = asked.withColumn("day", F.explode(F.sequence(F.to_date("begin_at"), F.to_date("end_at"))))
+    rows = items(spark, sf_dir).join(F.broadcast(sources(spark, sf_dir).select("source_id", "tier")), "source_id")
+    rows = rows.select("item_id", F.coalesce("published_at", "observed_at").cast("timestamp").alias("at"), F.regexp_extract("title", "^([A-Z][a-z]+)", 1).alias("subject"), "tier").withColumn("day", F.to_date("at"))
+    fits = (F.col("at") >= F.col("begin_at")) & (F.col("at") < F.col("end_at")) & (~F.col("official") | (F.col("tier") == "primary"))
+    fits = fits & (F.col("entities").isNull() | ((F.col("subject") != "") & F.array_contains("entities", F.col("subject"))))
+    newest = W.partitionBy("query_id").orderBy(F.desc("at"), F.desc("item_id"))
+    return asked.join(rows, "day").filter(fits).select("query_id", "item_id", F.row_number().over(newest).cast("long").alias("rank"), F.lit(0.0).alias("score")).filter("rank <= 40")
 
 
 @query(f"""WITH {_SPARSE}, {_SECOND} SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= {RERANKED} AND second IS NOT NULL THEN 0 ELSE 1 END, CASE WHEN rank <= {RERANKED} THEN second END DESC NULLS LAST, rank) AS place FROM second""")
@@ -221,36 +238,43 @@ def h8_rerank_with_scores(spark, sf_dir):
     return second_scores(spark, sf_dir).select("query_id", "doc_id", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query(f"""{_RANKED}, e AS (SELECT r.*, epoch(ts) AS moment FROM ranked r LEFT JOIN events ON event_id = doc_id AND doc_id % 6 <> 0),
-m AS (SELECT *, min(score) OVER q AS lo, max(score) OVER q AS hi, min(moment) OVER q AS a, max(moment) OVER q AS z FROM e WINDOW q AS (PARTITION BY query_id))
-SELECT query_id, doc_id, round(0.7e0 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1e0 END + 0.3e0 * coalesce(CASE WHEN z > a THEN (moment - a) / (z - a) END, 0.5e0), 5) AS fit FROM m""")
+@query(f"""{_RANKED}, e AS (SELECT r.*, epoch(ts) AS moment, epoch(TIMESTAMP '2024-01-01') AS a, epoch(TIMESTAMP '2024-01-01') + 86400 * (r.query_id % 4) AS z, r.query_id % 3 > 0 AS fresh FROM ranked r LEFT JOIN events ON event_id = doc_id AND doc_id % 6 <> 0),
+m AS (SELECT *, min(score) OVER q AS lo, max(score) OVER q AS hi FROM e WINDOW q AS (PARTITION BY query_id)), f AS (SELECT query_id, doc_id, rank, fresh, round(0.7e0 * CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1e0 END + 0.3e0 * coalesce(CASE WHEN z > a AND moment IS NOT NULL THEN least(1, greatest(0, (moment - a) / (z - a))) END, 0.5e0), 5) AS fit FROM m)
+SELECT query_id, doc_id, CASE WHEN fresh THEN fit END AS fit, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN fresh THEN -fit ELSE rank END, doc_id) AS place FROM f""")
 def h10_temporal_fit(spark, sf_dir):
-    """Relevance and the place in the window of dates; a candidate without a date is in its middle."""
+    """Relevance and the place in the question's window (none of no length), where freshness matters; else the order stays.
+    A candidate without a date is in the window's middle, one outside at its end."""
     (events,) = read_tables(spark, sf_dir, "events")
     dates = events.filter("event_id % 6 <> 0").select(F.col("event_id").alias("doc_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     own = W.partitionBy("query_id")
     rows = sparse(spark, sf_dir).join(dates, "doc_id", "left")
-    for name, f in (("lo", F.min("score")), ("hi", F.max("score")), ("a", F.min("at")), ("z", F.max("at"))):
-        rows = rows.withColumn(name, f.over(own))
+    begin = F.unix_micros(F.lit("2024-01-01").cast("timestamp")) / 1e6
+    rows = rows.withColumns({"lo": F.min("score").over(own), "hi": F.max("score").over(own), "a": begin, "z": begin + 86_400 * (F.col("query_id") % 4), "fresh": F.col("query_id") % 3 > 0})
     relevance = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-    place = F.coalesce(F.when(F.col("z") > F.col("a"), (F.col("at") - F.col("a")) / (F.col("z") - F.col("a"))), F.lit(0.5))
-    return rows.select("query_id", "doc_id", F.round(0.7 * relevance + 0.3 * place, 5).alias("fit"))
+    inside = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("at") - F.col("a")) / (F.col("z") - F.col("a"))))
+    place = F.coalesce(F.when((F.col("z") > F.col("a")) & F.col("at").isNotNull(), inside), F.lit(0.5))
+    rows = rows.withColumn("fit", F.when(F.col("fresh"), F.round(0.7 * relevance + 0.3 * place, 5)))
+    order = own.orderBy(F.when(F.col("fresh"), -F.col("fit")).otherwise(F.col("rank")), "doc_id")
+    return rows.select("query_id", "doc_id", "fit", F.row_number().over(order).cast("long").alias("place"))
 
 
-_FOLD = f"""{_RANKED}, a AS (SELECT *, row_number() OVER (PARTITION BY query_id, story_id, source_id ORDER BY rank) AS of_source FROM ranked),
-b AS (SELECT *, sum(CASE WHEN of_source = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, story_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS of_story FROM a),
-c AS (SELECT *, of_source = 1 AND of_story <= {PER_STORY} AS kept FROM b), d AS (SELECT *, sum(CASE WHEN kept THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS n FROM c)"""
+_FOLD = f"""{_RANKED}, o AS (SELECT *, doc_id % 37 = 5 AS lost, CASE WHEN doc_id % 8 = 1 THEN 'alone-' || doc_id ELSE 's' || story_id END AS story FROM ranked), a AS (SELECT *, CASE WHEN NOT lost THEN row_number() OVER (PARTITION BY query_id, story, source_id, lost ORDER BY rank) END AS of_source FROM o),
+b AS (SELECT *, sum(CASE WHEN of_source = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, story ORDER BY rank ROWS UNBOUNDED PRECEDING) AS of_story FROM a),
+c AS (SELECT *, coalesce(of_source = 1 AND of_story <= {PER_STORY}, false) AS kept FROM b), d AS (SELECT *, sum(CASE WHEN kept THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS n FROM c)"""
 
 
-@query(f"{_FOLD} SELECT query_id, doc_id, CASE WHEN NOT kept THEN 'story_fold' WHEN n > {KEPT} THEN 'budget' ELSE 'kept' END AS outcome FROM d")
+@query(f"{_FOLD} SELECT query_id, doc_id, CASE WHEN lost THEN 'no_facts' WHEN n - CASE WHEN kept THEN 1 ELSE 0 END >= {KEPT} THEN 'budget' WHEN NOT kept THEN 'story_fold' ELSE 'kept' END AS outcome FROM d")
 def h12_fold_by_story(spark, sf_dir):
-    """One passage per source of a story, a few per story, in order, up to a limit; with what became of each."""
-    story = W.partitionBy("query_id", "story_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    rows = ranked(spark, sf_dir).withColumn("of_source", F.row_number().over(W.partitionBy("query_id", "story_id", "source_id").orderBy("rank")))
-    rows = rows.withColumn("of_story", F.sum((F.col("of_source") == 1).cast("int")).over(story))
-    rows = rows.withColumn("kept", (F.col("of_source") == 1) & (F.col("of_story") <= PER_STORY))
-    n = F.sum(F.col("kept").cast("int")).over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
-    return rows.select("query_id", "doc_id", F.when(~F.col("kept"), "story_fold").when(n > KEPT, "budget").otherwise("kept").alias("outcome"))
+    """One passage per source of a story, three per story, in order, up to ten; with what became of each. Documents
+    without a story (here: every eighth) stay; those without facts (some) don't count."""
+    rows, doc = ranked(spark, sf_dir), F.col("doc_id")
+    rows = rows.withColumns({"lost": doc % 37 == 5, "story": F.when(doc % 8 == 1, F.concat(F.lit("alone-"), doc.cast("string"))).otherwise(F.concat(F.lit("s"), F.col("story_id").cast("string")))})
+    rows = rows.withColumn("of_source", F.when(~F.col("lost"), F.row_number().over(W.partitionBy("query_id", "story", "source_id", "lost").orderBy("rank"))))
+    story = W.partitionBy("query_id", "story").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("of_story", F.sum(F.when(F.col("of_source") == 1, 1).otherwise(0)).over(story))
+    rows = rows.withColumn("kept", F.coalesce((F.col("of_source") == 1) & (F.col("of_story") <= PER_STORY), F.lit(False)))
+    n = F.sum(F.col("kept").cast("int")).over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)) - F.col("kept").cast("int")
+    return rows.select("query_id", "doc_id", F.when(F.col("lost"), "no_facts").when(n >= KEPT, "budget").when(~F.col("kept"), "story_fold").otherwise("kept").alias("outcome"))
 
 
 @query(f"""{_RANKED}, f AS (SELECT *, min(rank) OVER (PARTITION BY query_id, story_id) AS first FROM ranked)
@@ -261,16 +285,6 @@ def h13_main_source_first(spark, sf_dir):
     return ranked(spark, sf_dir).withColumn("first", first).select("query_id", "doc_id", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query(f"""WITH {SQL}, m AS (SELECT item_id, item_id // 10 AS story_id, source_id, coalesce(quality, 50e0) AS q FROM item), s AS (SELECT story_id, count(DISTINCT source_id) AS n, round(max(q) + 20 * ln(count(DISTINCT source_id)), 6) AS heat FROM m GROUP BY 1 HAVING count(*) > 1)
-SELECT item_id, coalesce(heat, 0e0) AS heat, coalesce(n, 1) AS source_count FROM m LEFT JOIN s USING (story_id)""")
-def i6_sync_item_heat(spark, sf_dir):
-    """Members take their story's heat and number of sources; items outside have none, and one."""
-    rows = items(spark, sf_dir).select("item_id", F.floor(F.col("item_id") / 10).alias("story_id"), "source_id", F.coalesce("quality", F.lit(50.0)).alias("q"))
-    n = F.countDistinct("source_id")
-    stories = rows.groupBy("story_id").agg(n.alias("n"), F.round(F.max("q") + 20 * F.log(n), 6).alias("heat"), F.count("*").alias("members")).filter("members > 1")
-    return rows.join(stories, "story_id", "left").select("item_id", F.coalesce("heat", F.lit(0.0)).alias("heat"), F.coalesce("n", F.lit(1)).cast("long").alias("source_count"))
-
-
 @query(f"""WITH {_SPARSE}, {_JUDGED}, t AS (SELECT query_id, score, query_id IN (SELECT query_id FROM held) AS answerable FROM sparse WHERE rank = 1), r AS (SELECT *, row_number() OVER (PARTITION BY answerable ORDER BY score, query_id) AS r, count(*) OVER (PARTITION BY answerable) AS n FROM t)
 SELECT answerable, max(n) AS n, round(avg(score), 5) AS mean, min(score) AS least, max(score) AS most, max(score) FILTER (WHERE r = greatest(1, CAST(round_even(0.1 * n, 0) AS BIGINT))) AS p10, max(score) FILTER (WHERE r = greatest(1, CAST(round_even(0.9 * n, 0) AS BIGINT))) AS p90,
   count(*) FILTER (WHERE CASE WHEN answerable THEN score <= (SELECT max(score) FROM t WHERE NOT answerable) ELSE score >= (SELECT min(score) FROM t WHERE answerable) END) AS overlap FROM r GROUP BY answerable""")

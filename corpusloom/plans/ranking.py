@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
 from corpusloom.plans.evaluation import _FUSED, _JUDGED, _SPARSE, benchmark_queries, fused, judgments, sparse
-from corpusloom.plans.funnel import _SECOND, channels, second_scores
+from corpusloom.plans.funnel import channels, second_scores
 from corpusloom.plans.reads import with_canonical
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import CONTENT_TYPES, TIERS, read_tables

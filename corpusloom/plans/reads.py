@@ -17,23 +17,60 @@ def _with_day(rows):
     return rows.withColumn("day", F.to_date(F.from_utc_timestamp(at, ZONE)).cast("string"))
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query(f"WITH {SQL} SELECT i.item_id, i.title, i.body, i.source_id, s.tier, s.organization, i.content_type, i.quality, strftime(i.observed_at, '%Y-%m-%d %H:%M:%S') AS observed_at, strftime(i.published_at, '%Y-%m-%d %H:%M:%S') AS published_at, (SELECT count(*) FROM passage p WHERE p.item_id = i.item_id) AS passages FROM item i JOIN source s USING (source_id)")
 def a1_read_tables(spark, sf_dir):
-    (docs,) = read_tables(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", "source", "n_chars")
+    """Items with their sources and how many passages they have: all that the other plans read."""
+    counts = passages(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("passages"))
+    rows = items(spark, sf_dir).join(F.broadcast(sources(spark, sf_dir)), "source_id").join(counts, "item_id", "left")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return rows.select("item_id", "title", "body", "source_id", "tier", "organization", "content_type", "quality", at("observed_at"), at("published_at"), F.coalesce("passages", F.lit(0)).alias("passages"))
 
 
-@query("""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""")
-def a3_page_titles(spark, sf_dir):
-    (pages,) = read_tables(spark, sf_dir, "pages")
-    return pages.select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
+_HEADED = """replace(html, '</head>', CASE page_id % 4 WHEN 0 THEN '<link rel="canonical" href="https://example.com/c/' || page_id || '">' WHEN 1 THEN '<meta property="og:url" content="https://example.com/o/' || page_id || '">' ELSE '' END
+  || CASE page_id % 3 WHEN 0 THEN '<meta property="og:title" content="Shared title ' || page_id || '">' ELSE '' END || CASE page_id % 5 WHEN 0 THEN '<script type="application/ld+json">{"@type":"NewsArticle","datePublished":"2024-01-0' || (page_id % 9 + 1) || 'T08:00:00Z"}</script>' ELSE '' END || '</head>')"""
 
 
-@query("""SELECT page_id, link, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS link FROM pages) WHERE length(link) > 1 GROUP BY page_id, link""")
+@query(f"""WITH h AS (SELECT page_id, url, {_HEADED} AS html FROM pages), p AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(?:script|style|nav)[^>]*>.*?</(?:script|style|nav)>', ' ', 'g'), '(?s)<!--.*?-->|<div class="ad">.*?</div>', ' ', 'g'), '(?s)^.*?<body[^>]*>', '') AS main FROM h)
+SELECT page_id, coalesce(nullif(regexp_extract(html, '<link rel="canonical" href="([^"]*)"', 1), ''), nullif(regexp_extract(html, '<meta property="og:url" content="([^"]*)"', 1), ''), url) AS canonical,
+  trim(coalesce(nullif(regexp_extract(html, '<meta property="og:title" content="([^"]*)"', 1), ''), regexp_extract(html, '<title>([^<]*)</title>', 1))) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+  nullif(regexp_extract(html, '"datePublished":"([^"]*)"', 1), '') AS published, md5(trim(regexp_replace(regexp_replace(main, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS body_md5,
+  CAST(length(array_to_string(list_transform(regexp_extract_all(html, '(?s)<a [^>]*>(.*?)</a>', 1), lambda x: regexp_replace(x, '<[^>]+>', '', 'g')), '')) AS BIGINT) AS link_chars FROM p""")
+def a3_page_titles(spark, sf_dir):
+    """What a page says of itself: canonical address, title, language, date of its JSON-LD, its text without marks,
+    menus and advertisements, and how many characters its links have. (Some pages are given such heads first.)"""
+    (pages,) = read_tables(spark, sf_dir, "pages")
+    k, word = F.col("page_id"), F.col("page_id").cast("string")
+    head = F.concat(
+        F.when(k % 4 == 0, F.concat(F.lit('<link rel="canonical" href="https://example.com/c/'), word, F.lit('">'))).when(k % 4 == 1, F.concat(F.lit('<meta property="og:url" content="https://example.com/o/'), word, F.lit('">'))).otherwise(""),
+        F.when(k % 3 == 0, F.concat(F.lit('<meta property="og:title" content="Shared title '), word, F.lit('">'))).otherwise(""),
+        F.when(k % 5 == 0, F.concat(F.lit('<script type="application/ld+json">{"@type":"NewsArticle","datePublished":"2024-01-0'), (k % 9 + 1).cast("string"), F.lit('T08:00:00Z"}</script>'))).otherwise(""), F.lit("</head>"),
+    )
+    rows = pages.select("page_id", "url", F.replace(F.col("html"), F.lit("</head>"), head).alias("html"))
+    told = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
+    main = F.regexp_replace("html", r"(?s)<(?:script|style|nav)[^>]*>.*?</(?:script|style|nav)>", " ")
+    main = F.regexp_replace(F.regexp_replace(main, r'(?s)<!--.*?-->|<div class="ad">.*?</div>', " "), r"(?s)^.*?<body[^>]*>", "")
+    links = F.transform(F.regexp_extract_all("html", F.lit(r"(?s)<a [^>]*>(.*?)</a>"), F.lit(1)), lambda x: F.regexp_replace(x, "<[^>]+>", ""))
+    return rows.select(
+        "page_id", F.coalesce(told('<link rel="canonical" href="([^"]*)"'), told('<meta property="og:url" content="([^"]*)"'), "url").alias("canonical"), F.trim(F.coalesce(told('<meta property="og:title" content="([^"]*)"'), F.regexp_extract("html", "<title>([^<]*)</title>", 1))).alias("title"),
+        F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), told('"datePublished":"([^"]*)"').alias("published"), F.md5(F.trim(F.regexp_replace(F.regexp_replace(main, "<[^>]+>", " "), r"\s+", " "))).alias("body_md5"), F.length(F.array_join(links, "")).cast("long").alias("link_chars"),
+    )
+
+
+_HOST = "lower(regexp_extract(url, '^https?://([^/?#]*)', 1))"
+
+
+@query(f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages), a AS (SELECT page_id, {_HOST} AS host, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || regexp_extract(href, '^([^?#]*)', 1) WHEN regexp_matches(href, '^https?://') THEN regexp_extract(href, '^([^?#]*)', 1) END AS link FROM l)
+SELECT page_id, link, count(*) AS n FROM a WHERE link IS NOT NULL AND lower(regexp_extract(link, '^https?://([^/?#]*)', 1)) = host AND length(regexp_extract(link, '^https?://[^/]*/(.*)$', 1)) > 2 AND NOT regexp_matches(lower(link), '/(tags?|categor(y|ies)|author|page)/|/(search|login|signup|pricing|careers|contact|privacy|terms|rss|feed|about)') GROUP BY page_id, link""")
 def a4_extract_links(spark, sf_dir):
+    """Links of a page that may lead to articles: absolute, of the same host, below its root, to no menu page."""
     (pages,) = read_tables(spark, sf_dir, "pages")
-    links = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"]*)"'), 1)).alias("link"))
-    return links.filter(F.length("link") > 1).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+    links = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("href"))
+    bare = F.regexp_extract("href", "^([^?#]*)", 1)
+    link = F.when(F.col("href").startswith("/"), F.concat(F.regexp_extract("url", "^(https?://[^/?#]*)", 1), bare)).when(F.col("href").rlike("^https?://"), bare)
+    host = lambda c: F.lower(F.regexp_extract(c, "^https?://([^/?#]*)", 1))
+    menu = "/(tags?|categor(y|ies)|author|page)/|/(search|login|signup|pricing|careers|contact|privacy|terms|rss|feed|about)"
+    found = links.select("page_id", "url", link.alias("link")).filter((host("link") == host("url")) & (F.length(F.regexp_extract("link", "^https?://[^/]*/(.*)$", 1)) > 2) & ~F.lower("link").rlike(menu))
+    return found.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
 _FIRST = "SELECT *, min(item_id) OVER (PARTITION BY body) AS canonical_id FROM item"
@@ -46,10 +83,22 @@ def with_canonical(rows):
     return keyed.join(first, "body_key").drop("body_key")
 
 
-@query(f"WITH {SQL}, f AS ({_FIRST}) SELECT item_id, canonical_id, CASE WHEN canonical_id < item_id THEN 'EXACT' END AS kind FROM f")
+_KEYS = """keyed AS (SELECT item_id, 'x' || (CASE WHEN item_id % 10 = 9 THEN item_id - 1 ELSE item_id END) AS external, 'https://example.com/' || (CASE WHEN item_id % 15 = 14 THEN item_id - 2 ELSE item_id END) AS url, sha256(trim(regexp_replace(body, '\\s+', ' ', 'g'))) AS content FROM item)"""
+
+
+@query(f"""WITH {SQL}, {_KEYS}, m AS (SELECT item_id, min(item_id) OVER (PARTITION BY external) AS e, min(item_id) OVER (PARTITION BY url) AS u, min(item_id) OVER (PARTITION BY content) AS c FROM keyed)
+SELECT item_id, least(e, u, c) AS canonical_id, CASE WHEN e < item_id THEN 'external_id' WHEN u < item_id THEN 'url' WHEN c < item_id THEN 'content' END AS kind FROM m""")
 def i1_exact_duplicates(spark, sf_dir):
-    found = with_canonical(items(spark, sf_dir))
-    return found.select("item_id", "canonical_id", F.when(F.col("canonical_id") < F.col("item_id"), "EXACT").alias("kind"))
+    """The earliest item with the same external id, canonical address or normalised text (some of the first two are made equal)."""
+    k = F.col("item_id")
+    rows = items(spark, sf_dir).select(
+        "item_id", F.concat(F.lit("x"), F.when(k % 10 == 9, k - 1).otherwise(k).cast("string")).alias("external"), F.concat(F.lit("https://example.com/"), F.when(k % 15 == 14, k - 2).otherwise(k).cast("string")).alias("url"),
+        F.sha2(F.trim(F.regexp_replace("body", r"\s+", " ")), 256).alias("content"),
+    )
+    for key, first in (("external", "e"), ("url", "u"), ("content", "c")):
+        rows = rows.join(rows.groupBy(key).agg(F.min("item_id").alias(first)), key)
+    kind = F.when(F.col("e") < k, "external_id").when(F.col("u") < k, "url").when(F.col("c") < k, "content")
+    return rows.select("item_id", F.least("e", "u", "c").alias("canonical_id"), kind.alias("kind"))
 
 
 @query(f"""WITH {SQL}, f AS ({_FIRST}) SELECT f.item_id, p.ordinal, s.tier, f.content_type FROM passage p JOIN f USING (item_id) JOIN source s USING (source_id) WHERE f.canonical_id = f.item_id""")
@@ -168,11 +217,21 @@ def e2_first_chunk(spark, sf_dir):
     return found.select("item_id", "first.ordinal", F.col("first.chars").cast("long").alias("chars"))
 
 
-@query(f"""WITH {SQL}, l AS (SELECT item_id, observed_at, row_number() OVER (PARTITION BY content_type ORDER BY quality DESC NULLS LAST, item_id) AS r, content_type, quality FROM item WHERE coalesce(quality, 0) >= 20) SELECT item_id, content_type, quality FROM l WHERE r <= 3""")
+_TOPICS = "labelled AS (SELECT item_id, topic, CASE WHEN length(topic) % 4 > 0 THEN round(0.4e0 + (length(topic) * 7 + item_id) % 60 / 100e0, 2) END AS confidence FROM (SELECT DISTINCT item_id, unnest(string_split(lower(title), ' ')) AS topic FROM item) WHERE topic <> '')"
+
+
+def labelled(spark, sf_dir):
+    """item_id, topic, confidence: the words of a title stand for its topics, some without a confidence."""
+    words = F.explode(F.array_distinct(F.split(F.lower("title"), " "))).alias("topic")
+    size = F.length("topic")
+    return items(spark, sf_dir).select("item_id", words).filter("topic <> ''").withColumn("confidence", F.when(size % 4 > 0, F.round(0.4 + (size * 7 + F.col("item_id")) % 60 / 100.0, 2)))
+
+
+@query(f"WITH {SQL}, {_TOPICS} SELECT item_id, topic, confidence FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY confidence DESC NULLS LAST, topic) AS r FROM labelled WHERE confidence >= 0.6) WHERE r <= 3")
 def e1_top_per_topic(spark, sf_dir):
-    order = W.partitionBy("content_type").orderBy(F.desc_nulls_last("quality"), "item_id")
-    rows = items(spark, sf_dir).filter(F.coalesce("quality", F.lit(0)) >= 20)
-    return rows.withColumn("r", F.row_number().over(order)).filter("r <= 3").select("item_id", "content_type", "quality")
+    """The three topics of an item that are surest, from 0.60 on."""
+    order = W.partitionBy("item_id").orderBy(F.desc_nulls_last("confidence"), "topic")
+    return labelled(spark, sf_dir).filter("confidence >= 0.6").withColumn("r", F.row_number().over(order)).filter("r <= 3").drop("r")
 
 
 @query(f"""WITH {SQL}, r AS (SELECT item_id, row_number() OVER (ORDER BY observed_at DESC, item_id DESC) AS r FROM item), p AS (SELECT c.item_id AS cursor, i.item_id, i.r - c.r AS place FROM r c JOIN r i ON i.r BETWEEN c.r + 1 AND c.r + 21 WHERE c.item_id % 20 = 0)
@@ -204,14 +263,16 @@ def f1_union_targets(spark, sf_dir):
     return vendors.unionByName(items(spark, sf_dir).select(F.lit("topic").alias("kind"), F.col("content_type").alias("target")).distinct())
 
 
-@query(f"""WITH {SQL}, old AS (SELECT item_id, published_at, content_type FROM item WHERE item_id % 3 <> 0), new AS (SELECT item_id, CASE WHEN item_id % 4 <> 0 THEN observed_at END AS published_at, 'security' AS content_type FROM item WHERE item_id % 3 <> 1)
-SELECT item_id, strftime(coalesce(new.published_at, old.published_at), '%Y-%m-%d') AS published, CASE WHEN old.content_type = 'policy' THEN 'policy' ELSE coalesce(new.content_type, old.content_type) END AS content_type FROM old FULL JOIN new USING (item_id)""")
+@query(f"""WITH {SQL}, old AS (SELECT item_id, published_at, 'old ' || item_id AS reason, CASE WHEN item_id % 5 = 0 THEN 'v1' END AS reason_version, CASE WHEN content_type = 'policy' THEN 'WITHDRAWN' ELSE 'ACTIVE' END AS status FROM item WHERE item_id % 3 <> 0), new AS (SELECT item_id, CASE WHEN item_id % 4 <> 0 THEN observed_at END AS published_at, 'new ' || item_id AS reason FROM item WHERE item_id % 3 <> 1)
+SELECT item_id, strftime(coalesce(new.published_at, old.published_at), '%Y-%m-%d') AS published, CASE WHEN reason_version IS NOT NULL THEN old.reason ELSE coalesce(new.reason, old.reason) END AS reason, CASE WHEN status = 'WITHDRAWN' THEN status ELSE 'ACTIVE' END AS status FROM old FULL JOIN new USING (item_id)""")
 def f4_upsert_latest(spark, sf_dir):
-    rows = items(spark, sf_dir)
-    old = rows.filter("item_id % 3 <> 0").select("item_id", F.col("published_at").alias("old_at"), F.col("content_type").alias("old_type"))
-    new = rows.filter("item_id % 3 <> 1").select("item_id", F.when(F.col("item_id") % 4 != 0, F.col("observed_at")).alias("new_at"), F.lit("security").alias("new_type"))
-    kept = F.when(F.col("old_type") == "policy", "policy").otherwise(F.coalesce("new_type", "old_type"))
-    return old.join(new, "item_id", "full").select("item_id", F.date_format(F.coalesce("new_at", "old_at"), "yyyy-MM-dd").alias("published"), kept.alias("content_type"))
+    """New rows over old ones: a missing new time keeps the old one, a written reason stays, what is withdrawn stays so."""
+    rows, k = items(spark, sf_dir), F.col("item_id")
+    old = rows.filter("item_id % 3 <> 0").select("item_id", F.col("published_at").alias("old_at"), F.concat(F.lit("old "), k.cast("string")).alias("old_reason"), F.when(k % 5 == 0, "v1").alias("version"), F.when(F.col("content_type") == "policy", "WITHDRAWN").otherwise("ACTIVE").alias("old_status"))
+    new = rows.filter("item_id % 3 <> 1").select("item_id", F.when(k % 4 != 0, F.col("observed_at")).alias("new_at"), F.concat(F.lit("new "), k.cast("string")).alias("new_reason"))
+    return old.join(new, "item_id", "full").select(
+        "item_id", F.date_format(F.coalesce("new_at", "old_at"), "yyyy-MM-dd").alias("published"), F.when(F.col("version").isNotNull(), F.col("old_reason")).otherwise(F.coalesce("new_reason", "old_reason")).alias("reason"), F.when(F.col("old_status") == "WITHDRAWN", "WITHDRAWN").otherwise("ACTIVE").alias("status")
+    )
 
 
 @query(f"""WITH {SQL}, r AS (SELECT source_id, sha256(title) AS sha, min(item_id) AS first_item FROM item GROUP BY source_id, sha256(title)), n AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY first_item) AS revision_no FROM r)

@@ -60,10 +60,12 @@ def e9_daily_selection(spark, sf_dir):
     return capped_selection(scored(spark, sf_dir)).select("day", "source_id", "item_id", "score", F.col("position").cast("long").alias("position"))
 
 
-@query(f"""WITH {SQL}, {_HEAT_SQL} SELECT day, item_id, organization FROM (SELECT *, row_number() OVER (PARTITION BY day, organization ORDER BY score DESC, item_id) AS r FROM scored) WHERE r = 1""")
+@query(f"""WITH {SQL}, {_HEAT_SQL}, s AS (SELECT day, item_id, score, CASE WHEN item_id % 7 > 1 THEN item_id // 5 END AS story FROM scored) SELECT day, item_id, story FROM (SELECT *, row_number() OVER (PARTITION BY day, story ORDER BY score DESC, item_id) AS r FROM s) WHERE r = 1 OR story IS NULL""")
 def e10_collapse_by_story(spark, sf_dir):
-    best = W.partitionBy("day", "organization").orderBy(F.desc("score"), "item_id")
-    return scored(spark, sf_dir).withColumn("r", F.row_number().over(best)).filter("r = 1").select("day", "item_id", "organization")
+    """The best item of each story a day; items without a story stay."""
+    rows = scored(spark, sf_dir).select("day", "item_id", "score", F.when(F.col("item_id") % 7 > 1, F.floor(F.col("item_id") / 5)).alias("story"))
+    best = rows.filter("story is not null").groupBy("day", "story").agg(F.max_by("item_id", F.struct("score", -F.col("item_id"))).alias("item_id"))
+    return best.select("day", "item_id", "story").union(rows.filter("story is null").select("day", "item_id", "story"))
 
 
 @query(f"""WITH {SQL}, {_HEAT_SQL}, days AS (SELECT DISTINCT day FROM scored) SELECT day, lag(day) OVER (ORDER BY day) AS previous, lead(day) OVER (ORDER BY day) AS next FROM days""")

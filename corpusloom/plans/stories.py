@@ -280,6 +280,17 @@ def i4_story_products(spark, sf_dir):
     return found.withColumns({"occurred": F.date_format("occurred", "yyyy-MM-dd"), "heat": F.round("heat", 1)})
 
 
+@query(f"""WITH {_FIVE}, g AS (SELECT story, min(first) AS f, count(DISTINCT coalesce(organization, source_id)) AS outlets, min(published_at) AS occurred, max(coalesce(nullif(quality, 0), 50e0)) AS good FROM s WHERE item_id % 6 > 0 GROUP BY story),
+h AS (SELECT g.story, g.outlets, round(round(pow(0.5e0, greatest(coalesce(epoch(TIMESTAMP '{NOW}') - epoch(g.occurred), 0), 0) / 3600 / 18) * {_HEAT.replace("content_type", "p.content_type")} * (CASE p.tier WHEN 'primary' THEN 30e0 WHEN 'expert' THEN 18 WHEN 'secondary' THEN 12 ELSE 6 END + 20 * ln(g.outlets) + 0.15e0 * g.good), 3), 1) AS heat FROM g JOIN s p ON p.first = g.f)
+SELECT item_id, CASE WHEN item_id % 6 > 0 THEN heat END AS heat, CASE WHEN item_id % 6 > 0 THEN outlets ELSE 1 END AS source_count FROM s LEFT JOIN h USING (story)""")
+def i6_sync_item_heat(spark, sf_dir):
+    """Members take their story's heat and number of sources; items outside (here: every sixth) keep none, and one."""
+    rows = items(spark, sf_dir).join(F.broadcast(sources(spark, sf_dir).select("source_id", "tier", "organization")), "source_id").withColumn("story", F.floor(F.col("item_id") / 5))
+    inside = F.col("item_id") % 6 > 0
+    heat = story_products(rows.filter(inside)).select("story", F.round("heat", 1).alias("story_heat"), "outlets")
+    return rows.select("item_id", "story").join(heat, "story", "left").select("item_id", F.when(inside, F.col("story_heat")).alias("heat"), F.when(inside, F.col("outlets")).otherwise(1).cast("long").alias("source_count"))
+
+
 @query(f"""WITH {SQL}, old AS (SELECT item_id, item_id // 5 AS story, item_id // 5 % 3 = 0 AS locked FROM item WHERE item_id % 11 > 0), new AS (SELECT item_id, item_id // 4 AS story FROM item)
 SELECT item_id, 'old-' || story AS story FROM old WHERE locked UNION ALL SELECT item_id, 'new-' || story FROM new WHERE item_id NOT IN (SELECT item_id FROM old WHERE locked)""")
 def i5_exclude_locked(spark, sf_dir):
