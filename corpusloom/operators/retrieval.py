@@ -46,7 +46,9 @@ def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFra
             for begin in range(0, batch.num_rows, size):
                 part = batch.slice(begin, size)
                 part = part.filter(pa.compute.and_(part.column(0).is_valid(), part.column(1).is_valid()))
-                v = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                if not part.num_rows:
+                    continue
+                v = np.array(part.column(1).to_pylist(), np.float64)
                 length = np.linalg.norm(v, axis=1)
                 kept = length > 0
                 if kept.any():
@@ -108,11 +110,13 @@ def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, tables:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 part = batch.filter(pa.compute.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
-                v = np.array(part.column(1).to_pylist(), np.float64).reshape(part.num_rows, -1)
+                if not part.num_rows:
+                    continue
+                v = np.array(part.column(1).to_pylist(), np.float64)
                 length = np.linalg.norm(v, axis=1)
                 kept = np.flatnonzero(length > 0)
                 v = v[kept] / length[kept, None]
-                signs = (v @ planes.T > 0).reshape(len(kept), tables, bits) @ (1 << np.arange(bits)) if len(kept) else np.zeros((0, tables), int)
+                signs = (v @ planes.T > 0).reshape(len(kept), tables, bits) @ (1 << np.arange(bits))
                 keys = signs + np.arange(tables) * (1 << bits)
                 ids = np.repeat(part.column(0).to_numpy()[kept], tables)
                 unit = pa.array([u.tobytes() for u in v], pa.binary()).take(pa.array(np.repeat(np.arange(len(kept)), tables)))
@@ -123,7 +127,7 @@ def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, tables:
     near = keyed(queries, "query_id", "vector").withColumnsRenamed({"id": "query_id", "unit": "query_unit"}).join(keyed(vectors, id_col, vector_col), "key").dropDuplicates(["query_id", "id"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b for b in batches if b.num_rows):
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist())).reshape(batch.num_rows, -1) for c in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round((x * y).sum(1), 6))], names=["query_id", "id", "score"])
 

@@ -45,7 +45,7 @@ def incremental(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 def spend(events: DataFrame, zone: str, limit: int, late: str = "1 hour") -> DataFrame:
     """Tokens of each local day, and whether they are over the limit (0: none)."""
-    local = events.withWatermark("ts", late).withColumn("local", F.from_utc_timestamp("ts", zone))
+    local = events.withColumn("local", F.from_utc_timestamp("ts", zone))
     sums = local.withWatermark("local", late).groupBy(F.window("local", "1 day")).agg(F.sum("tokens").alias("tokens"))
     return sums.select(F.to_date("window.start").alias("day"), "tokens", ((F.col("tokens") > limit) & F.lit(limit > 0)).alias("over_limit"))
 
