@@ -63,7 +63,7 @@ def staged(spark, sf_dir):
 _STAGED = f"""staged AS (SELECT event_id, event_type, unnest(['total', 'retrieve', 'rerank']) AS stage, unnest([value, value * ({_K} % 50 + 1) / 100, value * 0.25e0]) AS ms, value FROM events)"""
 
 
-@query(f"""WITH {_STAGED} SELECT event_type, stage, count(*) AS calls, round(quantile_cont(ms, 0.5), 5) AS p50, round(quantile_cont(ms, 0.95), 5) AS p95, round(quantile_cont(ms, 0.99), 5) AS p99, round(max(ms), 5) AS worst, round(quantile_cont(ms / value, 0.5) FILTER (WHERE value > 0), 5) AS median_share,
+@query(f"""WITH {_STAGED} SELECT event_type, stage, count(*) AS calls, round(quantile_cont(ms, 0.5), 4) AS p50, round(quantile_cont(ms, 0.95), 4) AS p95, round(quantile_cont(ms, 0.99), 4) AS p99, round(max(ms), 5) AS worst, round(quantile_cont(ms / value, 0.5) FILTER (WHERE value > 0), 5) AS median_share,
   CASE WHEN stage = 'total' THEN CASE WHEN count(*) < 20 THEN 'TOO_FEW' WHEN quantile_cont(ms, 0.95) > 100 THEN 'BREACHED' ELSE 'MET' END END AS slo FROM staged GROUP BY event_type, stage""")
 def d12_latency_summary(spark, sf_dir):
     """Quantiles of times and shares by operation and stage; whether the objective is met, from twenty calls on."""
@@ -75,7 +75,7 @@ def d12_latency_summary(spark, sf_dir):
     p = lambda q: quantile(q, F.col("ms"), F.col("r"), F.col("n"))
     slo = F.when(F.count("*") < 20, "TOO_FEW").when(p(0.95) > 100, "BREACHED").otherwise("MET")
     found = placed.groupBy(*keys).agg(
-        F.count("*").alias("calls"), *[F.round(p(q), 5).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.round(F.max("ms"), 5).alias("worst"),
+        F.count("*").alias("calls"), *[F.round(p(q), 4).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.round(F.max("ms"), 5).alias("worst"),
         F.round(quantile(0.5, F.col("share"), F.col("s") - nulls, F.col("m")), 5).alias("median_share"), slo.alias("slo"),
     )
     return found.withColumn("slo", F.when(F.col("stage") == "total", F.col("slo")))
@@ -83,7 +83,7 @@ def d12_latency_summary(spark, sf_dir):
 
 @query(f"""WITH {_STAGED}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type, stage ORDER BY ms, event_id) AS r, count(*) OVER (PARTITION BY event_type, stage) AS n FROM staged),
 m AS (SELECT event_type, avg(ms) AS whole FROM staged WHERE stage = 'total' GROUP BY 1)
-SELECT event_type, stage, round(max(ms) FILTER (WHERE r = greatest(1, CAST(round_even(0.95 * n, 0) AS BIGINT))), 5) AS p95, round(avg(ms) / max(whole), 5) AS stage_share FROM r JOIN m USING (event_type) GROUP BY event_type, stage""")
+SELECT event_type, stage, round(max(ms) FILTER (WHERE r = greatest(1, CAST(round_even(0.95 * n, 0) AS BIGINT))), 4) AS p95, round(avg(ms) / max(whole), 5) AS stage_share FROM r JOIN m USING (event_type) GROUP BY event_type, stage""")
 def d14_nearest_rank_latency(spark, sf_dir):
     """The nearest-rank quantile of each stage, and its mean as a part of the whole's."""
     keys = ["event_type", "stage"]
