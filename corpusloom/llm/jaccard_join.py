@@ -130,7 +130,8 @@ def sets_of(rows: DataFrame, wanted: DataFrame, own: DataFrame, size: int) -> Da
     their texts are split; the join does the rest.
     """
     place = F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_BITS))
-    ids = own.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"))
+    # summed before they are joined: all copies of a text are one row
+    ids = own.groupBy("node").agg(F.min("id").alias("id")).join(wanted.select("node").distinct(), "node", "left_semi")
     bits = ids.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))).alias("mask")).toArrow()
     table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     table[bits["word"].to_numpy()] = bits["mask"].to_numpy()
