@@ -8,13 +8,13 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import backoff_lm, decontamination, jaccard_join, language_id, licenses, sentence_spans, sentencepieces, telephony, token_counts, url_filter
+from . import backoff_lm, conversations, decontamination, jaccard_join, language_id, licenses, packing, sentence_spans, sentencepieces, spelling, telephony, token_counts, url_filter
 
 
-def tokenizer(name: str = "piece_bpe_32k.model") -> str:
+def tokenizer(name: str = "piece_bpe_32k.model", variable: str = "CORPUSLOOM_TOKENIZER") -> str:
     import public_tokenizers
 
-    return os.environ.get("CORPUSLOOM_TOKENIZER") or public_tokenizers.path(name)
+    return os.environ.get(variable) or public_tokenizers.path(name)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,6 +62,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.misspelt_documents(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_repairs(read(spark, sf_dir, "conversations"))
+
+
+def op13_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json", "CORPUSLOOM_BYTE_TOKENIZER"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +87,9 @@ QUERIES = {
         op8_token_counts,
         op9_sentence_spans,
         op10_language_id,
+        op11_spelling_variants,
+        op12_conversation_repair,
+        op13_mixture_packing,
     )
 }
 
