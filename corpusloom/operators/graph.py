@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,5 +68,73 @@ def earliest_independent(nodes: DataFrame, links: DataFrame, rounds: Rounds) ->
         state = rounds.save(state.join(told, "node", "left").select("node", F.coalesce("kept", verdict).alias("kept")), f"state-{step}")
         if not state.filter("kept is null").limit(1).count():
             break
+    else:
+        raise RuntimeError("the choice did not settle")
     best = earlier.join(state.filter("kept").select(F.col("node").alias("other")), "other").groupBy("node").agg(F.max_by("other", "other_place").alias("canonical"))
     return state.join(best, "node", "left").select("node", F.when(~F.col("kept"), F.col("canonical")).alias("canonical"))
+
+
+def greedy_cliques(nodes: DataFrame, links: DataFrame, rounds: Rounds) -> DataFrame:
+    """node, story for every node: in order of ``place`` a node joins the first story all of whose members it is linked
+    with, at least one of them by a near link; else it begins one. A story is named by the node that began it.
+
+    nodes: node (long), place (distinct). links: a, b (longs, in either direction, once), near.
+
+    The story of a node that begins one depends on its own links alone once nobody before it can claim what it is linked
+    with. In each round all nodes of which that holds make their stories: their links are read in order, and what is held
+    of a story is its members. A node without a link to any that is open begins its own.
+    """
+    at = nodes.select("node", "place")
+    both = links.select("a", "b", "near").union(links.select("b", "a", "near"))
+    both = both.join(at.withColumnsRenamed({"node": "a", "place": "pa"}), "a").join(at.withColumnsRenamed({"node": "b", "place": "pb"}), "b").filter("pa < pb")
+    live = rounds.save(both.select(F.col("a").alias("m"), F.col("pa").alias("pm"), F.col("b").alias("z"), F.col("pb").alias("pz"), "near"), "live-0")
+    told = None
+    for step in range(1, 100_000):
+        claims = live.groupBy("z").agg(F.min("pm").alias("first"))
+        free = live.join(claims, "z").groupBy("m").agg(F.min(F.col("first") == F.col("pm")).alias("free")).filter("free")
+        seeds = free.select(F.col("m").alias("seed")).join(live.select(F.col("z").alias("seed")), "seed", "left_anti")
+        own = live.join(seeds, live.m == seeds.seed).select("seed", "z", "pz", "m", "pm", "near")
+        inside = own.select("seed", F.col("z").alias("m")).join(live, "m").join(own.select("seed", "z"), ["seed", "z"], "left_semi")
+        read = own.unionByName(inside.select("seed", "z", "pz", "m", "pm", "near"))
+        taken = rounds.save(_stories(read), f"taken-{step}")
+        told = taken if told is None else told.union(taken)
+        done = taken.select("node")
+        live = live.join(done.withColumnRenamed("node", "m"), "m", "left_anti").join(done.withColumnRenamed("node", "z"), "z", "left_anti")
+        live = rounds.save(live.select("m", "pm", "z", "pz", "near"), f"live-{step}")
+        if step % 20 == 0:  # a short plan
+            told = rounds.save(told, f"told-{step}")
+        if not live.limit(1).count():
+            return at.select("node").join(told, "node", "left").select("node", F.coalesce("story", "node").alias("story"))
+    raise RuntimeError("the stories did not settle")
+
+
+def _stories(read: DataFrame) -> DataFrame:
+    """node, story from links (seed, z, pz, m, pm, near): z linked with m, both linked with the seed or m the seed itself."""
+    dealt = read.repartition("seed").sortWithinPartitions("seed", "pz", "pm").select("seed", "z", "m", "near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members: set[int] = set()
+        seed = node = None
+        linked, near, out = 0, False, []
+
+        def decide() -> None:
+            if node is not None and near and linked == len(members):
+                members.add(node)
+                out.append((node, seed))
+
+        for batch in batches:
+            for s, z, m, close in zip(*[c.to_pylist() for c in batch.columns]):
+                if (s, z) != (seed, node):
+                    decide()
+                    if s != seed:
+                        members = {s}
+                        out.append((s, s))
+                    seed, node, linked, near = s, z, 0, False
+                if m in members:
+                    linked, near = linked + 1, near or close
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["node", "story"])
+            out.clear()
+        decide()
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["node", "story"])
+
+    return dealt.mapInArrow(run, "node long, story long")

@@ -207,45 +207,40 @@ def c10_story_pairs(spark, sf_dir):
     return story_pairs(members(spark, sf_dir)).drop("hours")
 
 
+def newest_first(rows):
+    """node, place of items: the newest first, those without a time last."""
+    time = F.coalesce(-F.col("at").cast("timestamp").cast("double"), F.lit(float("inf")))
+    return rows.select(F.col("item_id").alias("node"), F.struct(time.alias("t"), F.col("item_id").alias("id")).alias("place"))
+
+
 def clustered(rows, rounds):
     """item_id, story (its newest item's id): newest first, an item joins the first story all of whose members it
-    matches without a veto, if one of them lies within 72 hours; else it begins one.
-
-    Items meet only through pairs that reach ``SUGGEST``, so components of those pairs are independent:
-    each is one group of a grouped function and holds its pairs alone. A component's size is bounded by
-    how far such chains reach, not by the corpus.
-    """
+    matches without a veto, if one of them lies within 72 hours; else it begins one."""
     pairs = rounds.save(story_pairs(rows), "pairs")
-    roots = graph.components(pairs.select("a", "b"), rounds)
-    side = lambda c: roots.select(F.col("node").alias(c), "root")
-    of = pairs.join(side("a"), "a")
-    times = rows.select(F.col("item_id").alias("node"), F.col("at").cast("timestamp").cast("double").alias("at")).join(roots, "node")
-    both = times.select("root", "node", "at", *[F.lit(None).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("total", "double"), ("veto", "string"), ("hours", "double"))])
-    both = both.union(of.select("root", F.lit(None).cast("long"), F.lit(None).cast("double"), "a", "b", "total", "veto", "hours"))
-
-    def greedy(group: pd.DataFrame) -> pd.DataFrame:
-        links = {}
-        for r in group[group.node.isna()].itertuples():
-            links[(r.a, r.b)] = links[(r.b, r.a)] = (r.total, r.veto, r.hours)
-        nodes = group[group.node.notna()].sort_values(["at", "node"], ascending=[False, True], na_position="last")
-        stories: list[list] = []
-        out = []
-        for node, at in zip(nodes.node, nodes["at"]):
-            found = None
-            for story in stories:
-                known = [links.get((node, m)) for m, _ in story]
-                if all(k and k[0] >= MERGE and k[1] is None for k in known) and any(k[2] < HOURS for k in known):
-                    found = story
-                    break
-            if found is None:
-                found = []
-                stories.append(found)
-            found.append((node, at))
-            out.append((int(node), int(found[0][0])))
-        return pd.DataFrame(out, columns=["item_id", "story"])
-
-    found = both.groupBy("root").applyInPandas(greedy, "item_id long, story long")
-    return rows.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("story", "item_id").alias("story"))
+    return cliques_of(rows, pairs, rounds)
+
+
+def cliques_of(rows, pairs, rounds):
+    links = pairs.filter((F.col("total") >= MERGE) & F.col("veto").isNull()).select("a", "b", F.coalesce(F.col("hours") < HOURS, F.lit(True)).alias("near"))
+    return graph.greedy_cliques(newest_first(rows), links, rounds).withColumnRenamed("node", "item_id")
+
+
+def suggestions(rows, pairs, stories):
+    """story, item_id, total: items that a story had nearly taken when they were looked at, before the one that they are in:
+    their weakest pair with its members till then reaches ``SUGGEST``, but not ``MERGE``, and none has a veto."""
+    place = newest_first(rows).join(stories.withColumnRenamed("item_id", "node"), "node")
+    other = place.select(F.col("node").alias("b"), F.col("place").alias("pb"), F.col("story"))
+    open_ = pairs.filter("veto is null").select("a", "b", "total", "hours")
+    both = open_.union(open_.select("b", "a", "total", "hours")).join(other, "b").join(place.select(F.col("node").alias("a"), F.col("place").alias("pa"), F.col("story").alias("own")), "a")
+    before = both.filter("pb < pa and story <> own").groupBy("a", "pa", "own", "story").agg(
+        F.count("*").alias("known"), F.min("total").alias("total"), F.max(F.coalesce(F.col("hours") < HOURS, F.lit(True))).alias("near")
+    )
+    before = before.filter((F.col("total") < MERGE) & F.col("near"))
+    members = place.select("story", F.col("place").alias("pm"))  # few of a story: no two of one source
+    sizes = before.join(members, "story").filter("pm < pa").groupBy("a", "own", "story", "known", "total").agg(F.count("*").alias("size"))
+    first = lambda c: place.filter("node = story").select(F.col("node").alias(c), F.col("place").alias(f"p_{c}"))
+    found = sizes.filter("known = size").join(first("story"), "story").join(first("own"), "own").filter("p_story < p_own")
+    return found.select("story", F.col("a").alias("item_id"), "total")
 
 
 @query()
@@ -253,6 +248,13 @@ def i3_story_cluster(spark, sf_dir):
     return clustered(members(spark, sf_dir), graph.Rounds(spark, "stories"))
 
 
+@query()
+def i3_story_suggestions(spark, sf_dir):
+    rounds, rows = graph.Rounds(spark, "stories"), members(spark, sf_dir)
+    pairs = rounds.save(story_pairs(rows), "pairs")
+    return suggestions(rows, pairs, rounds.save(cliques_of(rows, pairs, rounds), "stories"))
+
+
 _RANK = "CASE tier WHEN 'primary' THEN 0 WHEN 'secondary' THEN 2 WHEN 'expert' THEN 3 ELSE 4 END"
 _FIVE = f"""{SQL}, s AS (SELECT i.*, i.item_id // 5 AS story, s.tier, s.organization, ({_RANK}, CASE WHEN content_type IN {_KIND} THEN 0 ELSE 1 END, -coalesce(quality, 0), item_id) AS first FROM item i JOIN source s USING (source_id))"""
 

@@ -77,20 +77,23 @@ def test_near_pairs_and_assignment(spark, tmp_path):
 
 
 def greedy(rows, pairs):
-    """The whole corpus at once."""
+    """The whole corpus at once: each item's story, and what stories had nearly taken."""
     links = {frozenset((r.a, r.b)): (r.total, r.veto, r.hours) for r in pairs}
-    out, told = [], {}
+    out, told, nearly = [], {}, set()
     for r in sorted(rows, key=lambda r: (-r.at.timestamp(), r.item_id)):
         for story in out:
             known = [links.get(frozenset((r.item_id, m))) for m in story]
-            if all(k and k[0] >= stories.MERGE and k[1] is None for k in known) and any(k[2] < 72 for k in known):
+            near = any(k and k[2] < 72 for k in known)
+            if all(k and k[0] >= stories.MERGE and k[1] is None for k in known) and near:
                 story.append(r.item_id)
                 break
+            if all(k and k[1] is None for k in known) and near:
+                nearly.add((story[0], r.item_id, min(k[0] for k in known)))
         else:
             story = [r.item_id]
             out.append(story)
         told[r.item_id] = story[0]
-    return told
+    return told, nearly
 
 
 def test_stories(spark):
@@ -104,12 +107,42 @@ def test_stories(spark):
     df = spark.createDataFrame(rows, schema)
     pairs = stories.story_pairs(df).collect()
     got = {r.item_id: r.story for r in stories.clustered(df, graph.Rounds(spark, "t")).collect()}
-    assert got == greedy(df.collect(), pairs) and len(set(got.values())) < 40
+    want, nearly = greedy(df.collect(), pairs)
+    assert got == want and len(set(got.values())) < 40
     veto = {(r.a, r.b): r.veto for r in pairs}
     assert veto[(1, 3)] == "version_conflict" and veto[(1, 7)] == "same_source"
     assert all(rows[a][1] != rows[b][1] for a, b in got.items() if a != b)
 
 
+def test_stories_and_suggestions_of_items(spark):
+    rows = stories.members(spark, "/root/testdata/sf0.001").cache()
+    rounds = graph.Rounds(spark, "t")
+    pairs = rounds.save(stories.story_pairs(rows), "pairs")
+    found = rounds.save(stories.cliques_of(rows, pairs, rounds), "stories")
+    told, nearly = greedy(rows.collect(), pairs.collect())
+    assert {r.item_id: r.story for r in found.collect()} == told
+    assert {tuple(r) for r in stories.suggestions(rows, pairs, found).collect()} == nearly and nearly
+
+
+def test_cliques_equal_one_by_one(spark):
+    rng = random.Random(7)
+    for n, share in ((30, 0.5), (60, 0.15), (40, 0.9)):
+        links = {(a, b): rng.random() < 0.8 for a in range(n) for b in range(a) if rng.random() < share}
+        rows = [(a, b, near) if rng.random() < 0.5 else (b, a, near) for (a, b), near in links.items()]
+        nodes = spark.createDataFrame([(k, k * 7 % n) for k in range(n)], "node long, place long")
+        got = graph.greedy_cliques(nodes, spark.createDataFrame(rows, "a long, b long, near boolean"), graph.Rounds(spark, "t"))
+        out, told = [], {}
+        for k in sorted(range(n), key=lambda k: k * 7 % n):
+            known = lambda m: links.get((max(k, m), min(k, m)))  # noqa: B023, E731
+            story = next((s for s in out if all(known(m) is not None for m in s) and any(known(m) for m in s)), None)
+            if story is None:
+                story = []
+                out.append(story)
+            story.append(k)
+            told[k] = story[0]
+        assert {r.node: r.story for r in got.collect()} == told
+
+
 def test_daily_choice(spark):
     rng = random.Random(2)
     rows = [(f"d{k % 3}", k, rng.choice("abcdefg"), rng.choice(["research", "policy", "research", "business"]), float(rng.randint(0, 60))) for k in range(300)]
