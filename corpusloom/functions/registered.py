@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from corpusloom.functions.text import CJK, TRACKING, WORD
-from corpusloom.operators import chunks
+from corpusloom.operators import chunks, near
 
 _PAIRS = "array_distinct(flatten(transform(regexp_extract_all({0}, '(" + CJK + "{{2,}})', 1), r -> transform(sequence(1, length(r) - 1), k -> substring(r, k, 2)))))"
 _OTHERS = f"length(regexp_replace(t, '{CJK}', ''))"
@@ -34,5 +34,5 @@ def register(spark: SparkSession) -> None:
     """Makes the functions known to a session's SQL."""
     for head, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
-    spark.udf.register("simhash64", chunks.simhash64)
+    spark.udf.register("simhash64", near.simhash64)
     spark.udtf.register("chunk_document", ChunkDocument)

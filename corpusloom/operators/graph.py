@@ -49,31 +49,6 @@ def components(links: DataFrame, rounds: Rounds) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def earliest_independent(nodes: DataFrame, links: DataFrame, rounds: Rounds) -> DataFrame:
-    """node, canonical (null for those that are kept): in order of ``place`` a node is kept unless a kept
-    earlier neighbour exists; its canonical is the kept neighbour with the greatest place.
-
-    nodes: node, place (distinct). links: a, b, in either direction. In each round a node with an earlier
-    kept neighbour becomes a copy, and one whose earlier neighbours are all copies is kept.
-    """
-    at = nodes.select("node", "place")
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    both = both.join(at.withColumnsRenamed({"node": "a", "place": "pa"}), "a").join(at.withColumnsRenamed({"node": "b", "place": "pb"}), "b")
-    earlier = rounds.save(both.filter("pb < pa").select(F.col("a").alias("node"), F.col("b").alias("other"), F.col("pb").alias("other_place")), "earlier")
-    state = rounds.save(at.join(earlier.select("node").distinct().withColumn("open", F.lit(True)), "node", "left").select("node", F.when(F.col("open"), None).otherwise(F.lit(True)).alias("kept")), "state-0")
-    for step in range(1, 10_000):
-        seen = earlier.join(state.filter("kept is null").select("node"), "node", "left_semi").join(state.select(F.col("node").alias("other"), F.col("kept").alias("other_kept")), "other")
-        told = seen.groupBy("node").agg(F.max(F.coalesce("other_kept", F.lit(False))).alias("copy"), F.count_if(F.col("other_kept").isNull()).alias("open"))
-        verdict = F.when(F.col("copy"), F.lit(False)).when(F.col("open") == 0, F.lit(True))
-        state = rounds.save(state.join(told, "node", "left").select("node", F.coalesce("kept", verdict).alias("kept")), f"state-{step}")
-        if not state.filter("kept is null").limit(1).count():
-            break
-    else:
-        raise RuntimeError("the choice did not settle")
-    best = earlier.join(state.filter("kept").select(F.col("node").alias("other")), "other").groupBy("node").agg(F.max_by("other", "other_place").alias("canonical"))
-    return state.join(best, "node", "left").select("node", F.when(~F.col("kept"), F.col("canonical")).alias("canonical"))
-
-
 def greedy_cliques(nodes: DataFrame, links: DataFrame, rounds: Rounds) -> DataFrame:
     """node, story for every node: in order of ``place`` a node joins the first story all of whose members it is linked
     with, at least one of them by a near link; else it begins one. A story is named by the node that began it.

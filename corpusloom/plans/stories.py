@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import scores
 from corpusloom.functions.text import cjk_bigrams, title_tokens
-from corpusloom.operators import chunks, graph
+from corpusloom.operators import chunks, graph, near
 from corpusloom.plans.registry import query
 from corpusloom.plans.scoring import _HEAT, _HEAT_SQL, scored
 from corpusloom.sources.tables import NOW, SQL, items, passages, read_tables, sources
@@ -29,7 +29,7 @@ def g4_cjk_bigrams(spark, sf_dir):
 @query()
 def g3_simhash64(spark, sf_dir):
     (docs,) = read_tables(spark, sf_dir, "documents")
-    return docs.select("doc_id", chunks.simhash64("text").alias("simhash"))
+    return docs.select("doc_id", near.simhash64("text").alias("simhash"))
 
 
 @query()
@@ -42,27 +42,23 @@ def g2_chunk_document(spark, sf_dir):
 
 def prints(spark, sf_dir):
     rows = items(spark, sf_dir)
-    return rows.select(F.col("item_id").alias("id"), F.col("observed_at").alias("at"), chunks.simhash64("body").alias("simhash"))
+    return rows.select(F.col("item_id").alias("id"), F.col("observed_at").alias("at"), near.simhash64("body").alias("simhash"))
 
 
 @query()
 def c9_near_duplicates(spark, sf_dir):
-    """Pairs that differ in at most three bits and 14 days between the first of all equal ones, and who stands for whom (bits 0)."""
+    """Pairs of bursts of equal fingerprints that differ in at most three bits and 14 days somewhere, and which items a burst holds (bits 0)."""
     rounds = graph.Rounds(spark, "near")
-    copies = rounds.save(chunks.copies_of(prints(spark, sf_dir)), "copies")
+    copies = rounds.save(near.copies_of(prints(spark, sf_dir)), "copies")
     members = copies.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(0).alias("bits"))
-    return chunks.near_pairs(copies).unionByName(members)
+    return near.near_pairs(copies).unionByName(members)
 
 
 def canonical_items(spark, sf_dir):
     """id, canonical of every item with a fingerprint: itself, or the kept item that it nearly repeats."""
     rounds = graph.Rounds(spark, "near")
-    copies = rounds.save(chunks.copies_of(prints(spark, sf_dir)), "copies")
-    pairs = rounds.save(chunks.near_pairs(copies), "pairs")
-    nodes = copies.filter("id = first").select(F.col("id").alias("node"), F.struct("at", "id").alias("place"))
-    told = graph.earliest_independent(nodes, pairs, rounds)
-    told = told.select(F.col("node").alias("first"), F.coalesce("canonical", "node").alias("canonical"))
-    return copies.join(told, "first").select("id", "canonical")
+    copies = rounds.save(near.copies_of(prints(spark, sf_dir)), "copies")
+    return near.assigned(copies, rounds.save(near.near_pairs(copies), "pairs"), rounds)
 
 
 @query()

@@ -5,14 +5,14 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 
-from corpusloom.operators import chunks, graph
+from corpusloom.operators import chunks, graph, near
 from corpusloom.plans import stories
 
 
 def test_headings_and_fences():
     text = "# Title\n\nIntro words here.\n\n## One\n\nFirst part.\n\n```\ncode\n\n## no heading\n```\n\n## Two\n\nSecond part.\n"
     blocks = chunks.blocks_of(text)
-    assert [(b[0], b[1]) for b in blocks] == [("Intro words here.", ("Title",)), ("First part.", ("Title", "One")), ("```\ncode\n\n## no heading\n```", ("Title", "One")), ("Second part.", ("Title", "Two"))]
+    assert [(text[b.low : b.high], b.headings) for b in blocks] == [("Intro words here.", ("Title",)), ("First part.", ("Title", "One")), ("```\ncode\n\n## no heading\n```", ("Title", "One")), ("Second part.", ("Title", "Two"))]
     found = chunks.chunks_of(text)
     # sisters under a heading are merged where short, a parent's own text stays apart
     assert [c[1] for c in found] == [("Title",), ("Title",)] and "Second part." in found[1][0]
@@ -27,53 +27,77 @@ def test_sizes_and_places():
     assert all(a[3] <= b[3] for a, b in zip(found, found[1:]))
     carried = max(chunks.tokens_in(s) for s in text.split("\n\n")[:30])
     assert all(c[2] <= chunks.HARD + carried and c[2] == chunks.tokens_in(c[0]) for c in found)
-    assert "".join(chunks.cut_line("x" * 9000)) == "x" * 9000 and max(map(chunks.tokens_in, chunks.cut_line("字" * 5000 + "a b " * 3000))) <= chunks.HARD
+    for line in ("x" * 9000, "字" * 5000 + "a b " * 3000, "short\n" + "y" * 12000 + "\nend " * 3000):
+        parts = chunks.cuts(line, chunks.widths(line), 0, len(line))
+        assert [a for a, _ in parts] == [0, *(b for _, b in parts[:-1])] and parts[-1][1] == len(line)
+        assert max(chunks.tokens_in(line[a:b]) for a, b in parts) <= chunks.HARD
     assert chunks.tail_of("One. Two. " + "x" * 400 + ".").startswith("x")
 
 
 def test_simhash(spark):
-    assert chunks.simhash("") == chunks.simhash(None) == chunks.simhash("...") == 0
-    one = chunks.simhash("the quick brown fox jumps over the lazy dog again and again")
-    assert one == chunks.simhash("The quick brown fox jumps over the lazy dog again and AGAIN!") and one != chunks.simhash("an other text")
+    assert near.simhash("") == near.simhash(None) == near.simhash("...") == 0
+    one = near.simhash("the quick brown fox jumps over the lazy dog again and again")
+    assert one == near.simhash("The quick brown fox jumps over the lazy dog again and AGAIN!") and one != near.simhash("an other text")
     import hashlib
 
     token = int.from_bytes(hashlib.blake2b(b"word", digest_size=8).digest(), "big")
-    assert chunks.simhash("word") & (1 << 64) - 1 == token
-    got = spark.createDataFrame([(1, "word"), (2, None)], "id long, text string").select(chunks.simhash64("text").alias("s")).collect()
+    assert near.simhash("word") & (1 << 64) - 1 == token
+    got = spark.createDataFrame([(1, "word"), (2, None)], "id long, text string").select(near.simhash64("text").alias("s")).collect()
     assert [r.s & (1 << 64) - 1 for r in got] == [token, 0]
 
 
-def test_near_pairs_and_assignment(spark, tmp_path):
+def test_passages_of_listings_and_long_lines():
+    code = "\n".join(f"line_{k} = f({k})" for k in range(40))
+    found = chunks.chunks_of(f"## Example\n\nWords before it.\n\n```python\n{code}\n```\n")
+    assert len(found) == 1 and "line_0 " in found[0].text and "line_39 " in found[0].text
+    giant = "word " * 9000
+    found = chunks.chunks_of(giant)
+    assert "".join(p.text for p in found) == giant.rstrip() and all(p.tokens <= chunks.HARD for p in found)
+    parts = chunks.chunks_of("# Top\n\n" + "A word of it. " * 40 + "\n\n# Other\n\nShort.")
+    assert [p.headings for p in parts] == [("Top",), ("Other",)]
+    merged = chunks.chunks_of("# C\n\n## v1\n\nOne fix.\n\n## v2\n\nTwo fixes.\n")
+    assert len(merged) == 1 and merged[0].headings == ("C",)
+
+
+def test_near_pairs_and_assignment(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(12)]
     rows = []
-    for k in range(300):
+    for k in range(400):
         h = rng.choice(base)
-        for bit in rng.sample(range(64), rng.randint(0, 3)):
+        for bit in rng.sample(range(64), rng.choice([0, 0, 0, 1, 2, 3])):
             h ^= 1 << bit
-        rows.append((k, datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 24 * 40)), h - (1 << 64) if h >> 63 else h))
-    rows.append((900, datetime(2024, 1, 1), 0))
+        rows.append((k, datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 24 * 90)), h - (1 << 64) if h >> 63 else h))
+    # equal ones on days 0, 13 and 20: a chain, though its ends are too far apart
+    rows += [(1000 + d, datetime(2024, 1, 1) + timedelta(days=d), 12345) for d in (0, 13, 20)]
+    rows += [(900, datetime(2024, 1, 1), 0), (901, None, 7)]
     rounds = graph.Rounds(spark, "t")
-    copies = rounds.save(chunks.copies_of(spark.createDataFrame(rows, "id long, at timestamp, simhash long")), "c").cache()
-    first = {r.first: (r.at, r.simhash) for r in copies.filter("id = first").collect()}
-    got = {(r.a, r.b, r.bits) for r in chunks.near_pairs(copies).collect()}
+    copies = rounds.save(near.copies_of(spark.createDataFrame(rows, "id long, at timestamp, simhash long")), "c").cache()
+    pairs = rounds.save(near.near_pairs(copies), "p")
+    burst = {r.id: r.first for r in copies.collect()}
+    linked = {(r.a, r.b): r.bits for r in pairs.collect()}
+    known = {r[0]: r for r in rows if r[2] and r[1]}
+    assert set(burst) == set(known) and burst[1020] == burst[1013] == 1000
     bits = lambda x, y: bin((x ^ y) & (1 << 64) - 1).count("1")
-    want = {(a, b, bits(first[a][1], first[b][1])) for a in first for b in first if a < b and bits(first[a][1], first[b][1]) <= 3 and abs(first[a][0] - first[b][0]) <= timedelta(days=14)}
-    assert got == want and 900 not in first
-    near = {k: set() for k in first}
-    for a, b, _ in want:
-        near[a].add(b)
-        near[b].add(a)
-    kept, told = [], {}
-    for k in sorted(first, key=lambda k: (first[k][0], k)):
-        before = [o for o in kept if o in near[k]]
-        told[k] = max(before, key=lambda o: (first[o][0], o)) if before else None
+    close = {k: set() for k in known}
+    meet = set()
+    for a in known:
+        for b in known:
+            if a < b and bits(known[a][2], known[b][2]) <= 3 and abs(known[a][1] - known[b][1]) <= timedelta(days=14):
+                close[a].add(b)
+                close[b].add(a)
+                if burst[a] != burst[b]:
+                    meet.add((min(burst[a], burst[b]), max(burst[a], burst[b])))
+                    assert linked[min(burst[a], burst[b]), max(burst[a], burst[b])] == bits(known[a][2], known[b][2])
+    assert set(linked) == meet
+    place = lambda k: (known[k][1], k)
+    told, kept = {}, set()
+    for k in sorted(known, key=place):  # every row, not only those that stand for others
+        before = [o for o in close[k] if o in kept and place(o) < place(k)]
+        told[k] = max(before, key=place) if before else k
         if not before:
-            kept.append(k)
-    from pyspark.sql import functions as F
-
-    nodes = copies.filter("id = first").select(F.col("id").alias("node"), F.struct("at", "id").alias("place"))
-    assert {r.node: r.canonical for r in graph.earliest_independent(nodes, chunks.near_pairs(copies), rounds).collect()} == told
+            kept.add(k)
+    assert {r.id: r.canonical for r in near.assigned(copies, pairs, rounds).collect()} == told
 
 
 def greedy(rows, pairs):
