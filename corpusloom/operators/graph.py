@@ -1,4 +1,4 @@
-"""Connected components and greedy choices over links, in rounds that are written down."""
+"""Connected components and stories over links, in rounds that are written down."""
 
 from __future__ import annotations
 
