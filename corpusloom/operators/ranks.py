@@ -27,10 +27,50 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str = "r")
     return both.select(*[F.col(f"x.{c}") for c in rows.columns], (F.col("__before") + F.col("__inside")).cast("long").alias(name))
 
 
-def quantile(q: float, value: Column, place: Column, n: Column) -> Column:
-    """An aggregate: the continuous quantile of values whose places and number are known."""
-    at = F.lit(q) * (n - 1) + 1
-    low = F.max(F.when(place == F.floor(at), value))
-    high = F.max(F.when(place == F.ceil(at), value))
-    share = F.max(at - F.floor(at))
-    return low + (high - low) * share
+CELLS, LEVELS = 1024, 2
+
+
+def values_at(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """keys, rank, value: the values at places (keys, rank from 1) in the order of each key's values; null values don't count.
+
+    Nothing is sorted: rows are counted by cells between the least and the greatest value, and only the rows of cells
+    that hold a place are looked at again, in finer cells; at last equal values are counted. Counts are
+    summed where the rows are, and a key has at most ``CELLS`` of them for each place.
+    """
+    rows = rows.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
+    same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
+    ends = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
+    open_ = wanted.select(*keys, "rank").distinct().alias("w").join(ends.alias("e"), same("w", "e", keys))
+    open_ = open_.select(*[F.col(f"w.{c}") for c in (*keys, "rank")], "__low", "__high", F.lit(0).cast("long").alias("__before"))
+
+    def counted(cell: Column) -> DataFrame:
+        spans = open_.select(*keys, "__low", "__high").distinct()
+        inside = rows.alias("r").join(spans.alias("s"), [*same("r", "s", keys), F.col("__v").between(F.col("__low"), F.col("__high"))])
+        inside = inside.select(*[F.col(f"r.{c}") for c in (*keys, "__v")], "__low", cell.alias("__cell"))
+        found = inside.groupBy(*keys, "__low", "__cell").agg(F.count("*").alias("__n"), F.min("__v").alias("__from"), F.max("__v").alias("__to"))
+        upto = W.partitionBy(*keys, "__low").orderBy("__cell").rowsBetween(W.unboundedPreceding, 0)
+        found = found.withColumn("__upto", F.sum("__n").over(upto))
+        place = F.col("rank") - F.col("__before")
+        hit = open_.alias("o").join(found.alias("f"), [*same("o", "f", [*keys, "__low"]), place > F.col("__upto") - F.col("__n"), place <= F.col("__upto")])
+        return hit.select(*[F.col(f"o.{c}") for c in (*keys, "rank")], F.col("__from").alias("__low"), F.col("__to").alias("__high"), (F.col("__before") + F.col("__upto") - F.col("__n")).alias("__before"))
+
+    for _ in range(levels):
+        width = F.col("__high") - F.col("__low")
+        open_ = counted(F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("__v") - F.col("__low")) / width * CELLS))).otherwise(0).cast("double"))
+    return counted(F.col("__v")).select(*keys, "rank", F.col("__low").alias("value"))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, parts: dict[str, float], sizes: DataFrame) -> DataFrame:
+    """keys and a column for each continuous quantile asked; sizes: (keys, n), how many values a key has."""
+    at = lambda q: F.lit(q) * (F.col("n") - 1) + 1
+    places = F.explode(F.array(*[f(at(q)).cast("long") for q in parts.values() for f in (F.floor, F.ceil)])).alias("rank")
+    known = sizes.filter("n > 0")
+    found = values_at(rows, keys, value, known.select(*keys, places))
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keys]
+    both = found.alias("f").join(known.alias("n"), same)
+
+    def told(q: float) -> Column:
+        low, high = (F.max(F.when(F.col("rank") == f(at(q)), F.col("value"))) for f in (F.floor, F.ceil))
+        return low + (high - low) * F.max(at(q) - F.floor(at(q)))
+
+    return both.groupBy(*[F.col(f"f.{c}") for c in keys]).agg(*[told(q).alias(name) for name, q in parts.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,8 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 40, most: float =
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFrame:
-    """ids, vectors (unit length, packed): up to ``size`` rows in one; null and zero vectors are left out."""
+def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int, group_col: str | None = None) -> DataFrame:
+    """ids, vectors (unit length), groups, all packed: up to ``size`` rows in one; null and zero vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,36 +53,97 @@ def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int) -> DataFra
                 length = np.linalg.norm(v, axis=1)
                 kept = length > 0
                 if kept.any():
-                    ids, v = part.column(0).to_numpy()[kept], v[kept] / length[kept, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["ids", "vectors"])
-
-    return rows.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>")).mapInArrow(run, "ids binary, vectors binary")
-
-
-def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 60, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+                    ids, groups, v = part.column(0).to_numpy()[kept], part.column(2).to_numpy()[kept], v[kept] / length[kept, None]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, v, groups)], names=["ids", "vectors", "groups"])
+
+    group = F.coalesce(F.col(group_col).cast("long"), F.lit(-1).cast("long")) if group_col else F.lit(0).cast("long")
+    return rows.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), group.alias("g")).mapInArrow(run, "ids binary, vectors binary, groups binary")
+
+
+def sketch_bits(n: int) -> int:
+    """Signs of projections that tell n vectors apart: more for more vectors, in whole words of 64."""
+    return 64 * max(2, math.ceil(0.75 * math.log2(n + 1)))
+
+
+def dense_topk(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int = 60,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    group_col: str | None = None,
+    earlier: bool = False,
+    least: float | None = None,
+    sketches: bool = False,
+    slack: float = 0.6,
+    seed: int = 5,
+) -> DataFrame:
     """query_id, vec_id, score, rank by cosine; ties go to the smaller id.
 
     Each block of queries meets each block of vectors once, inside the plan; of that a task
     keeps its best k for each query, and only those are shuffled. No queries, or no vectors, give no rows.
+    group_col (a whole number): only vectors of the query's group count; earlier: only smaller ids; least: the least score.
+
+    sketches: vectors are first compared by the signs of random projections (their number grows with the number of
+    vectors): 64 in one operation. In order of their distance a few are compared in full; then only those whose distance
+    isn't ``slack`` standard deviations above what the k-th best score so far would have. The column
+    ``compared`` says how many of a query's full comparisons its tasks made.
     """
-    asked = _packed(queries, "query_id", "vector", QUERY_BLOCK).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
-    pairs = _packed(vectors, id_col, vector_col, VECTOR_BLOCK).crossJoin(asked)
+    planes = None
+    if sketches:
+        first = vectors.filter(F.col(vector_col).isNotNull()).select(F.size(vector_col).alias("n")).limit(1).collect()
+        planes = np.random.default_rng(seed).normal(size=(sketch_bits(vectors.count()), first[0].n if first else 1))
+    asked = _packed(queries, "query_id", "vector", QUERY_BLOCK, group_col).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors", "groups": "query_groups"})
+    pairs = _packed(vectors, id_col, vector_col, VECTOR_BLOCK, group_col).crossJoin(asked)
+
+    def signs(v: np.ndarray) -> np.ndarray:
+        return np.packbits(v @ planes.T > 0, axis=1).view(np.uint64)
+
+    def likely(q: np.ndarray, v: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Scores of the vectors that can be among the best k, by the sketches; -inf for the others."""
+        a, b, bits = signs(q), signs(v), len(planes)
+        apart = np.zeros((len(q), len(v)), np.int32)
+        for word in range(a.shape[1]):
+            apart += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
+        s = np.full(apart.shape, -np.inf)
+        n = min(2 * k, len(v))
+        near = np.argpartition(apart, n - 1, axis=1)[:, :n]
+        for r, few in enumerate(near):
+            s[r, few] = v[few] @ q[r]
+            best = max(floor[r], np.sort(s[r, few])[-min(k, n)])
+            share = np.arccos(np.clip(best, -1, 1)) / np.pi
+            rest = np.flatnonzero(apart[r] <= bits * share + slack * np.sqrt(bits * share * (1 - share)))
+            s[r, rest] = v[rest] @ q[r]
+        return s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        made: dict[bytes, np.ndarray] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
             for names, (ids, s) in best.items():
-                q = np.frombuffer(names, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, ids.shape[1])), pa.array(ids.reshape(-1)), pa.array(s.reshape(-1))], names=["query_id", "id", "score"])
+                q, n = np.frombuffer(names, np.int64), ids.shape[1]
+                told = [np.repeat(q, n), ids.reshape(-1), s.reshape(-1), np.where(np.arange(n) == 0, made[names][:, None], 0).reshape(-1)]
+                kept = np.isfinite(told[2]) | (told[3] > 0)
+                yield pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in told], names=["query_id", "id", "score", "compared"])
             best.clear()
+            made.clear()
 
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, v, names, q = (batch.column(c)[r].as_py() for c in range(4))
-                ids, n = np.frombuffer(ids, np.int64), len(names) // 8
-                v, q = np.frombuffer(v).reshape(len(ids), -1), np.frombuffer(q).reshape(n, -1)
-                s = np.round(q @ v.T, 6)
+                ids, v, groups, names, q, of = (batch.column(c)[r].as_py() for c in range(6))
+                ids, asked_ids = np.frombuffer(ids, np.int64), np.frombuffer(names, np.int64)
+                v, q = np.frombuffer(v).reshape(len(ids), -1), np.frombuffer(q).reshape(len(asked_ids), -1)
+                floor = best[names][1][:, -1] if names in best and best[names][1].shape[1] == k else np.full(len(q), -1.0)
+                s = likely(q, v, floor) if sketches else q @ v.T
+                made[names] = made.get(names, 0) + np.isfinite(s).sum(1)
+                s = np.round(s, 6)
+                if group_col:
+                    s[np.frombuffer(of, np.int64)[:, None] != np.frombuffer(groups, np.int64)] = -np.inf
+                if earlier:
+                    s[asked_ids[:, None] <= ids] = -np.inf
+                if least is not None:
+                    s[s < least] = -np.inf
                 ids = np.broadcast_to(ids, s.shape)
                 if names in best:
                     ids, s = np.concatenate([best[names][0], ids], 1), np.concatenate([best[names][1], s], 1)
@@ -91,49 +153,16 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 60, id_col: str
                     yield from rows()
         yield from rows()
 
-    found = pairs.select("ids", "vectors", "query_ids", "query_vectors").mapInArrow(run, "query_id long, id long, score double")
+    found = pairs.select("ids", "vectors", "groups", "query_ids", "query_vectors", "query_groups").mapInArrow(run, "query_id long, id long, score double, compared long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
+    found = found.withColumns({"rank": F.row_number().over(order), "compared": F.sum("compared").over(W.partitionBy("query_id"))})
+    found = found.filter((F.col("rank") <= k) & (F.col("score") > float("-inf"))).withColumnRenamed("id", id_col)
+    return found if sketches else found.drop("compared")
 
 
-def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, tables: int = 12, bits: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 5) -> DataFrame:
-    """query_id, vec_id, score, rank as ``dense_topk``, among the vectors that share the signs of ``bits`` random
-    projections with the query in one of ``tables`` tables. Every vector is indexed; recall depends on the tables.
-
-    A bucket with very many vectors is split by Spark's skewed join; nothing is left out of it.
-    """
-    width = vectors.filter(F.col(vector_col).isNotNull()).select(F.size(vector_col).alias("n")).limit(1).collect()
-    rng = np.random.default_rng(seed)
-    planes = rng.normal(size=(tables * bits, width[0].n if width else 1))
-
-    def keyed(rows: DataFrame, own: str, vector: str) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                part = batch.filter(pa.compute.and_(batch.column(0).is_valid(), batch.column(1).is_valid()))
-                if not part.num_rows:
-                    continue
-                v = np.array(part.column(1).to_pylist(), np.float64)
-                length = np.linalg.norm(v, axis=1)
-                kept = np.flatnonzero(length > 0)
-                v = v[kept] / length[kept, None]
-                signs = (v @ planes.T > 0).reshape(len(kept), tables, bits) @ (1 << np.arange(bits))
-                keys = signs + np.arange(tables) * (1 << bits)
-                ids = np.repeat(part.column(0).to_numpy()[kept], tables)
-                unit = pa.array([u.tobytes() for u in v], pa.binary()).take(pa.array(np.repeat(np.arange(len(kept)), tables)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(ids), unit], names=["key", "id", "unit"])
-
-        return rows.select(F.col(own).cast("long"), F.col(vector).cast("array<double>")).mapInArrow(run, "key long, id long, unit binary")
-
-    near = keyed(queries, "query_id", "vector").withColumnsRenamed({"id": "query_id", "unit": "query_unit"}).join(keyed(vectors, id_col, vector_col), "key").dropDuplicates(["query_id", "id"])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b for b in batches if b.num_rows):
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist())).reshape(batch.num_rows, -1) for c in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.round((x * y).sum(1), 6))], names=["query_id", "id", "score"])
-
-    found = near.select("query_id", "id", "query_unit", "unit").mapInArrow(score, "query_id long, id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
+def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int = 10, **more) -> DataFrame:
+    """``dense_topk`` by sketches: every vector is indexed, few are compared in full."""
+    return dense_topk(queries, vectors, k, sketches=True, **more)
 
 
 def holders(docs: DataFrame, passages: DataFrame, words: int = 4) -> DataFrame:

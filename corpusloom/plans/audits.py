@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,9 +59,9 @@ def c7_latest_published_per_subscriber(spark, sf_dir):
     daily = days.filter(F.day("d") % 5 > 0).select(F.lit("daily").alias("period"), F.date_format("d", "yyyy-MM-dd").alias("key"), (F.col("d") + F.expr("INTERVAL 22 HOUR")).alias("published_at"))
     week = F.concat(F.extract(F.lit("YEAROFWEEK"), F.col("d")).cast("string"), F.lit("-W"), F.lpad(F.weekofyear("d").cast("string"), 2, "0"))
     weekly = days.select(F.lit("weekly").alias("period"), week.alias("key"), (F.date_trunc("week", "d") + F.expr("INTERVAL 7 DAY")).alias("published_at")).distinct()
-    # a report a day and week: keys rise with the time of publication, so a subscriber's newest is the last of those since
-    fits = due.join(daily.union(weekly), "period").filter(F.col("published_at") >= F.col("confirmed_at"))
-    latest = fits.groupBy("subscription_id", "period").agg(F.max("key").alias("key"))
+    # a report a day and week: keys rise with the time of publication, so only the newest of a period can be a subscriber's
+    newest = daily.union(weekly).groupBy("period").agg(F.max(F.struct("key", "published_at")).alias("r")).select("period", "r.*")
+    latest = due.join(newest, "period").filter(F.col("published_at") >= F.col("confirmed_at")).select("subscription_id", "period", "key")
     sent = people.filter(k % 4 == 1).select(k.alias("subscription_id"), F.lit("daily").alias("period"))
     return latest.join(sent, ["subscription_id", "period"], "left_anti")
 
@@ -101,22 +103,39 @@ def j12_relation_metrics(spark, sf_dir):
 DRAWS = 1000
 
 
+def poisson_counts(rows, draws: int = DRAWS, seed: int = 1):
+    """lang, predicted, quality, draw, times of rows (lang, predicted, quality, doc_id): how often each kind of row is drawn.
+
+    Each row draws for itself how often it is in every resample (a Poisson number, as in a large resample),
+    by a generator seeded with its id; a task sums these numbers by kind, so a row is read once and never copied.
+    """
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for *kind, doc_id in zip(*[c.to_pylist() for c in batch.columns]):
+                drawn = np.random.Generator(np.random.Philox(key=[seed, doc_id & (1 << 64) - 1])).poisson(1.0, draws)
+                sums[tuple(kind)] = sums.get(tuple(kind), 0) + drawn
+        kinds = [*zip(*sums)] or [(), (), ()]
+        types = (pa.string(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([*[pa.array(k, t) for k, t in zip(kinds, types)], pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], names=["lang", "predicted", "quality", "drawn"])
+
+    rows = rows.select("lang", "predicted", F.col("quality").cast("long").alias("quality"), F.col("doc_id").cast("long").alias("doc_id"))
+    found = rows.mapInArrow(run, "lang string, predicted boolean, quality long, drawn array<long>")
+    return found.select("lang", "predicted", "quality", F.posexplode("drawn").alias("draw", "times")).groupBy("lang", "predicted", "quality", "draw").agg(F.sum("times").alias("times"))
+
+
 @query()
 def j13_bootstrap_ci(spark, sf_dir):
-    """The middle 95 % of precision and recall over a thousand resamples of each language's reviewed rows, drawn within their
-    strata by a hash of draw, stratum and place."""
-    rows = sampled(spark, sf_dir).filter("quality is not null").select("doc_id", "lang", "predicted", "quality", "population")
-    placed = ranked(rows, ["lang", "predicted"], ["doc_id"])
-    sizes = rows.groupBy("lang", "predicted").agg(F.count("*").alias("m"))
-    placed = placed.join(F.broadcast(sizes), ["lang", "predicted"])
-    draws = placed.select("lang", "predicted", "m", "r", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))).alias("draw"))
-    draws = draws.select("lang", "predicted", "draw", (F.pmod(F.xxhash64("lang", "predicted", "draw", "r", F.lit("bootstrap-v1")), "m") + 1).alias("r"))
-    counts = draws.groupBy("lang", "predicted", "r", "draw").agg(F.count("*").alias("times"))
-    found = counts.join(placed, ["lang", "predicted", "r"])
-    weight = F.col("times") * F.col("population") / F.col("m")
-    part = lambda p, q: F.sum(F.when(p & (F.col("quality") == q), weight).otherwise(0.0))
+    """The middle 95 % of precision and recall over a thousand resamples of each language's reviewed rows, weighted
+    within their strata."""
+    rows = sampled(spark, sf_dir).filter("quality is not null")
+    strata = rows.groupBy("lang", "predicted").agg(F.max("population").alias("population"))
+    counts = poisson_counts(rows.select("lang", "predicted", "quality", "doc_id"))
+    told = counts.join(strata, ["lang", "predicted"]).withColumn("share", F.col("population") / F.sum("times").over(W.partitionBy("lang", "predicted", "draw")))
+    part = lambda p, q: F.sum(F.when(p & (F.col("quality") == q), F.col("times") * F.col("share")).otherwise(0.0))
     yes = F.col("predicted")
-    told = found.groupBy("lang", "draw").agg(part(yes, 1).alias("tp"), part(yes, 0).alias("fp"), part(~yes, 1).alias("fn"))
+    told = told.groupBy("lang", "draw").agg(part(yes, 1).alias("tp"), part(yes, 0).alias("fp"), part(~yes, 1).alias("fn"))
     told = told.select("lang", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).alias("recall"))
     ends = [F.round(F.percentile(c, F.lit(q)), 6).alias(f"{c}_{name}") for c in ("precision", "recall") for name, q in (("low", 0.025), ("high", 0.975))]
     return told.groupBy("lang").agg(*ends)

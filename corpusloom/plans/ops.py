@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators.ranks import quantile, ranked
+from corpusloom.operators.ranks import quantiles, values_at
 from corpusloom.plans.reads import with_canonical
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import NOW, SQL, ZONE, items, read_tables, sources
@@ -69,16 +69,12 @@ def d12_latency_summary(spark, sf_dir):
     """Quantiles of times and shares by operation and stage; whether the objective is met, from twenty calls on."""
     keys = ["event_type", "stage"]
     rows = staged(spark, sf_dir)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count("share").alias("m"))
-    placed = ranked(ranked(rows, keys, ["ms", "event_id"]), keys, ["share", "event_id"], "s").join(F.broadcast(sizes), keys)
-    nulls = F.col("n") - F.col("m")  # missing shares come first
-    p = lambda q: quantile(q, F.col("ms"), F.col("r"), F.col("n"))
-    slo = F.when(F.count("*") < 20, "TOO_FEW").when(p(0.95) > 100, "BREACHED").otherwise("MET")
-    found = placed.groupBy(*keys).agg(
-        F.count("*").alias("calls"), *[F.round(p(q), 4).alias(name) for name, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.round(F.max("ms"), 5).alias("worst"),
-        F.round(quantile(0.5, F.col("share"), F.col("s") - nulls, F.col("m")), 5).alias("median_share"), slo.alias("slo"),
-    )
-    return found.withColumn("slo", F.when(F.col("stage") == "total", F.col("slo")))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("calls"), F.count("ms").alias("n"), F.count("share").alias("m"), F.round(F.max("ms"), 5).alias("worst"))
+    times = quantiles(rows, keys, "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, sizes.select(*keys, "n"))
+    shares = quantiles(rows, keys, "share", {"median_share": 0.5}, sizes.select(*keys, F.col("m").alias("n")))
+    found = sizes.join(times, keys, "left").join(shares, keys, "left")
+    slo = F.when(F.col("stage") != "total", None).when(F.col("calls") < 20, "TOO_FEW").when(F.col("p95") > 100, "BREACHED").otherwise("MET")
+    return found.select(*keys, "calls", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")], "worst", F.round("median_share", 5).alias("median_share"), slo.alias("slo"))
 
 
 @query(f"""WITH {_STAGED}, r AS (SELECT *, row_number() OVER (PARTITION BY event_type, stage ORDER BY ms, event_id) AS r, count(*) OVER (PARTITION BY event_type, stage) AS n FROM staged),
@@ -91,8 +87,8 @@ def d14_nearest_rank_latency(spark, sf_dir):
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ms").alias("mean"))
     sizes = sizes.join(sizes.filter("stage = 'total'").select("event_type", F.col("mean").alias("whole")), "event_type")
     at = F.greatest(F.lit(1), F.bround(F.lit(0.95) * F.col("n"), 0).cast("long"))
-    placed = ranked(rows, keys, ["ms", "event_id"]).join(F.broadcast(sizes), keys).filter(F.col("r") == at)
-    return placed.select(*keys, F.round("ms", 5).alias("p95"), F.round(F.col("mean") / F.col("whole"), 5).alias("stage_share"))
+    placed = values_at(rows, keys, "ms", sizes.select(*keys, at.alias("rank"))).join(sizes, keys)
+    return placed.select(*keys, F.round("value", 5).alias("p95"), F.round(F.col("mean") / F.col("whole"), 5).alias("stage_share"))
 
 
 @query(f"""WITH {SQL}, runs AS (SELECT user_id, count(*) AS runs, count(*) FILTER (WHERE event_type <> 'error') AS ok, strftime(max(ts), '%Y-%m-%d %H') AS last_run FROM events WHERE user_id % 4 > 0 GROUP BY user_id),
@@ -118,10 +114,16 @@ def d9_source_health_daily(spark, sf_dir):
     rows = with_canonical(items(spark, sf_dir)).join(events.select(F.col("event_id").alias("item_id"), "event_type", "value"), "item_id")
     rate = lambda hit: F.round(F.avg(hit.cast("double")), 6)
     size = F.length("body")
-    return rows.groupBy("source_id", F.date_format("observed_at", "yyyy-MM-dd").alias("day")).agg(
+    keys = ["source_id", "day"]
+    rows = rows.withColumns({"day": F.date_format("observed_at", "yyyy-MM-dd"), "chars": size})
+    found = rows.groupBy(*keys).agg(
         F.count("*").alias("found"), rate(F.col("event_type") != "error").alias("discovery_rate"), rate(F.length(F.trim("body")) > 0).alias("fetch_rate"), rate(size >= 300).alias("parse_rate"),
-        F.round(F.percentile(size, F.lit(0.5)), 3).alias("median_chars"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95_lag"), rate(F.col("canonical_id") < F.col("item_id")).alias("copy_rate"),
+        rate(F.col("canonical_id") < F.col("item_id")).alias("copy_rate"), F.count("chars").alias("sized"), F.count("value").alias("lags"),
     )
+    sizes = quantiles(rows, keys, "chars", {"median_chars": 0.5}, found.select(*keys, F.col("sized").alias("n")))
+    lags = quantiles(rows, keys, "value", {"p95_lag": 0.95}, found.select(*keys, F.col("lags").alias("n")))
+    both = found.drop("sized", "lags").join(sizes, keys, "left").join(lags, keys, "left")
+    return both.withColumns({"median_chars": F.round("median_chars", 3), "p95_lag": F.round("p95_lag", 6)})
 
 
 @query(f"SELECT day, tokens, tokens > ceiling AND ceiling > 0 AS over_limit FROM (SELECT CAST(CAST(timezone('{ZONE}', timezone('UTC', ts)) AS DATE) AS VARCHAR) AS day, sum({_K}) AS tokens, CASE WHEN day(CAST(timezone('{ZONE}', timezone('UTC', ts)) AS DATE)) % 3 > 0 THEN 15000 ELSE 0 END AS ceiling FROM events GROUP BY ALL)")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -153,39 +152,27 @@ def select_evidence(rows):
     """query_id, doc_id, outcome of ranked candidates (query_id, doc_id, rank, item_id, source, story, exempt).
 
     Of the first sixty at most two of a document and three of a source (exempt ones of any number) go on, thirty at
-    most; of those at most three of a story, one a source, ten in all. A query's group has at most sixty rows.
+    most; of those at most three of a story, one a source, ten in all. Documents of an item have one source.
     """
 
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        items, sources, capped, out = {}, {}, [], {}
-        for r in group.sort_values("rank").itertuples():
-            if len(capped) >= CAPPED:
-                break
-            if items.get(r.item_id, 0) >= PER_ITEM:
-                out[r.doc_id] = "document_cap"
-                continue
-            if not r.exempt:
-                if sources.get(r.source, 0) >= PER_SOURCE:
-                    out[r.doc_id] = "source_cap"
-                    continue
-                sources[r.source] = sources.get(r.source, 0) + 1
-            items[r.item_id] = items.get(r.item_id, 0) + 1
-            capped.append(r)
-        told, kept = {}, 0
-        for r in capped:
-            here = told.setdefault(r.story, set())
-            if kept >= SHOWN:
-                out[r.doc_id] = "budget"
-            elif len(here) >= PER_STORY or r.source in here:
-                out[r.doc_id] = "story_fold"
-            else:
-                here.add(r.source)
-                kept += 1
-                out[r.doc_id] = "evidence"
-        return pd.DataFrame([(group.query_id.iloc[0], d, o) for d, o in out.items()], columns=["query_id", "doc_id", "outcome"])
-
-    few = rows.filter(F.col("rank") <= POOL).select("query_id", "doc_id", "rank", "item_id", "source", "story", "exempt")
-    return few.groupBy("query_id").applyInPandas(choose, "query_id long, doc_id long, outcome string")
+    rows = rows.filter(F.col("rank") <= POOL).select("query_id", "doc_id", "rank", "item_id", "source", "story", "exempt")
+    upto = lambda *keys: W.partitionBy("query_id", *keys).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
+    number = lambda hit, *keys: F.sum(hit.cast("int")).over(upto(*keys))
+    # a source is full at the rank of its third row; from there on only exempt rows of it count
+    counts = (F.row_number().over(upto("item_id").rowsBetween(W.unboundedPreceding, 0)) <= PER_ITEM) & ~F.col("exempt")
+    rows = rows.withColumn("counts", counts)
+    rows = rows.withColumn("full", F.when(F.col("counts") & (number(F.col("counts"), "source") == PER_SOURCE), F.col("rank")))
+    rows = rows.withColumn("full", F.min("full").over(W.partitionBy("query_id", "source")))
+    rows = rows.withColumn("inside", F.col("exempt") | F.col("full").isNull() | (F.col("rank") <= F.col("full")))
+    rows = rows.withColumn("open", F.col("inside") & (number(F.col("inside"), "item_id") <= PER_ITEM))
+    rows = rows.withColumns({"n": number(F.col("open")), "of_item": number(F.col("open"), "item_id")})
+    rows = rows.filter((F.col("n") < CAPPED) | ((F.col("n") == CAPPED) & F.col("open")))
+    rows = rows.withColumn("new", F.col("open") & (number(F.col("open"), "story", "source") == 1))
+    rows = rows.withColumn("fits", F.col("new") & (number(F.col("new"), "story") <= PER_STORY))
+    shown = number(F.col("fits")) - F.col("fits").cast("int")
+    capped = F.when(F.col("of_item") >= PER_ITEM, "document_cap").otherwise("source_cap")
+    outcome = F.when(~F.col("open"), capped).when(shown >= SHOWN, "budget").when(F.col("fits"), "evidence").otherwise("story_fold")
+    return rows.select("query_id", "doc_id", outcome.alias("outcome"))
 
 
 _WIDE = _FUSED.replace("WHERE rank <= 40", "WHERE rank <= 60")
@@ -232,7 +219,7 @@ def h15_retrieve_batch(spark, sf_dir):
 
 @query()
 def h2_dense_topk_lsh(spark, sf_dir):
-    """The ten nearest vectors by hyperplane tables, and whether the exact search has each; ``test_retrieval`` measures the recall."""
+    """The ten nearest vectors by sketches of signs, and whether the exact search has each; ``test_retrieval`` measures the recall."""
     (vectors,) = read_tables(spark, sf_dir, "embeddings")
     ask = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     exact = retrieval.dense_topk(ask, vectors, 10).select("query_id", "vec_id").withColumn("exact", F.lit(True))
@@ -249,13 +236,9 @@ def h16_semantic_question_dedup(spark, sf_dir):
     """For each question asked (ids divisible by 50) the most similar earlier one of its fingerprint (label), if it is similar
     enough: 0.97 for questions, 0.27 for the test vectors, of which none are that close."""
     (vectors,) = read_tables(spark, sf_dir, "embeddings")
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.sqrt(F.aggregate(F.transform("embedding", lambda y: y.cast("double") * y.cast("double")), F.lit(0.0), lambda a, y: a + y)))
-    rows = vectors.select("vec_id", "label", unit.alias("u"))
-    ask = rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("u").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "u", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    near = ask.join(rows, "label").filter(F.col("vec_id") < F.col("query_id")).select("query_id", "vec_id", F.round(dot, 6).alias("similarity"))
-    best = near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("vec_id")).alias("v"))).alias("b"))
-    return best.select("query_id", (-F.col("b.v")).alias("vec_id"), F.col("b.similarity").alias("similarity")).filter(F.col("similarity") >= SAME_QUESTION - 0.7)
+    ask = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    best = retrieval.dense_topk(ask, vectors, 1, group_col="label", earlier=True, least=SAME_QUESTION - 0.7)
+    return best.select("query_id", "vec_id", F.col("score").alias("similarity"))
 
 
 # ---- sweeps and comparisons

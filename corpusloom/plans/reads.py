@@ -95,8 +95,11 @@ def i1_exact_duplicates(spark, sf_dir):
         "item_id", F.concat(F.lit("x"), F.when(k % 10 == 9, k - 1).otherwise(k).cast("string")).alias("external"), F.concat(F.lit("https://example.com/"), F.when(k % 15 == 14, k - 2).otherwise(k).cast("string")).alias("url"),
         F.sha2(F.trim(F.regexp_replace("body", r"\s+", " ")), 256).alias("content"),
     )
-    for key, first in (("external", "e"), ("url", "u"), ("content", "c")):
-        rows = rows.join(rows.groupBy(key).agg(F.min("item_id").alias(first)), key)
+    keyed = rows.select("item_id", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col(c).alias("key")) for n, c in (("e", "external"), ("u", "url"), ("c", "content"))])).alias("x")).select("item_id", "x.*")
+    first = keyed.groupBy("kind", "key").agg(F.min("item_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # only what shares a key with another is joined back
+    told = keyed.join(first, ["kind", "key"]).groupBy("item_id").agg(*[F.min(F.when(F.col("kind") == n, F.col("first"))).alias(n) for n in "euc"])
+    rows = rows.select("item_id").join(told, "item_id", "left").select("item_id", *[F.coalesce(n, "item_id").alias(n) for n in "euc"])
     kind = F.when(F.col("e") < k, "external_id").when(F.col("u") < k, "url").when(F.col("c") < k, "content")
     return rows.select("item_id", F.least("e", "u", "c").alias("canonical_id"), kind.alias("kind"))
 

@@ -4,11 +4,13 @@ import random
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import questions as Q
 from corpusloom.functions.text import canonical_url, clean_title
 from corpusloom.operators import ranks, retrieval
+from corpusloom.plans import audits, ranking
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -34,8 +36,28 @@ def test_dense_topk(spark, monkeypatch):
     assert retrieval.dense_topk(asked.limit(0), df).count() == 0 and retrieval.dense_topk(asked, df.limit(0)).count() == 0
     near = {(r.query_id, r.vec_id) for r in retrieval.dense_topk_lsh(asked, df, 5).collect()}
     exact = {(q, v) for (q, _), v in got.items()}
-    assert len(near & exact) >= 0.9 * len(exact)  # the recall of the default tables
-    assert retrieval.dense_topk_lsh(asked.limit(0), df).count() == 0
+    assert len(near & exact) >= 0.9 * len(exact)
+    assert retrieval.dense_topk_lsh(asked.limit(0), df).count() == 0 and retrieval.dense_topk_lsh(asked, df.limit(0)).count() == 0
+    grouped = df.withColumn("g", F.col("vec_id") % 3)
+    one = retrieval.dense_topk(asked.withColumn("g", F.col("query_id") % 3), grouped, 1, group_col="g", earlier=True, least=0.5)
+    want = {}
+    for q in range(0, 300, 10):
+        best = [(-s[q][v], v) for v in range(q) if v % 3 == q % 3 and s[q][v] >= 0.5]
+        want |= {q: min(best)[1]} if best else {}
+    assert {r.query_id: r.vec_id for r in one.collect()} == want
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_sketches_of_the_tables(spark, size):
+    df = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet")
+    asked = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = {(r.query_id, r.vec_id) for r in retrieval.dense_topk(asked, df, 10).collect()}
+    found = retrieval.dense_topk_lsh(asked, df, 10).collect()
+    assert len(exact & {(r.query_id, r.vec_id) for r in found}) >= 0.9 * len(exact)
+    compared = sum({r.query_id: r.compared for r in found}.values())
+    share = compared / (asked.count() * df.count())
+    print(size, "compared", share, "recall", len(exact & {(r.query_id, r.vec_id) for r in found}) / len(exact))
+    assert share < 0.1
 
 
 def test_holders(spark):
@@ -59,6 +81,63 @@ def test_ranked(spark):
     assert ranks.ranked(spark.createDataFrame(rows, "g string, v long, k long").limit(0), ["g"], ["v"]).count() == 0
 
 
+def test_values_at_places(spark):
+    rng = random.Random(6)
+    kinds = {"a": lambda: rng.gauss(0, 1), "b": lambda: float(rng.randint(0, 3)), "c": lambda: rng.random() ** 40 * 1e9, None: lambda: rng.choice([None, 7.5, rng.random()])}
+    rows = [(k, f()) for k, f in kinds.items() for _ in range(700)] + [("one", 4.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    sizes = df.groupBy("k").agg(F.count("v").alias("n"))
+    parts = {"low": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "high": 1.0}
+    got = {r.k: r for r in ranks.quantiles(df, ["k"], "v", parts, sizes).collect()}
+    for k in (*kinds, "one"):
+        v = [x for n, x in rows if n == k and x is not None]
+        assert [got[k][name] for name in parts] == pytest.approx([np.quantile(v, q) for q in parts.values()], abs=1e-12)
+    assert "none" not in got
+
+
+def test_evidence_equals_one_by_one(spark):
+    rng = random.Random(8)
+    rows = []
+    for q in range(30):
+        for rank in range(1, 70):
+            source = rng.choice("abcdefghijklmnop"[: 4 + q % 12])
+            rows.append((q, q * 100 + rank, rank, f"{source}{rng.randint(0, 3)}", source, rng.randint(0, 6), q % 3 == 0 and rng.random() < 0.3))
+    schema = "query_id long, doc_id long, rank int, item_id string, source string, story long, exempt boolean"
+    got = {(r.query_id, r.doc_id): r.outcome for r in ranking.select_evidence(spark.createDataFrame(rows, schema)).collect()}
+    want = {}
+    for q in range(30):
+        items, sources, stories, capped, kept = {}, {}, {}, [], 0
+        for _, doc, rank, item, source, story, exempt in [r for r in rows if r[0] == q and r[2] <= 60]:
+            if len(capped) == 30:
+                break
+            full = not exempt and sources.get(source, 0) == 3
+            if items.get(item, 0) == 2 or full:
+                want[q, doc] = "document_cap" if items.get(item, 0) == 2 else "source_cap"
+                continue
+            items[item] = items.get(item, 0) + 1
+            sources[source] = sources.get(source, 0) + (not exempt)
+            capped.append((doc, story, source))
+        for doc, story, source in capped:
+            here = stories.setdefault(story, [])
+            fits = kept < 10 and len(here) < 3 and source not in here
+            want[q, doc] = "budget" if kept == 10 else "evidence" if fits else "story_fold"
+            kept += fits
+            here += [source] * fits
+    assert got == want and len(set(want.values())) == 5
+
+
+def test_bootstrap(spark):
+    rng = np.random.default_rng(2)
+    rows = [("en", bool(k % 2), int(rng.random() < (0.8 if k % 2 else 0.2)), k) for k in range(2000)]
+    df = spark.createDataFrame(rows, "lang string, predicted boolean, quality long, doc_id long").repartition(3)
+    counts = audits.poisson_counts(df, 400).groupBy("draw").pivot("quality").agg(F.sum(F.when(F.col("predicted"), F.col("times")))).toPandas()
+    share = counts["1"] / (counts["0"] + counts["1"])
+    real = np.mean([q for _, p, q, _ in rows if p])
+    spread = (real * (1 - real) / 1000) ** 0.5
+    assert len(share) == 400 and abs(share.mean() - real) < spread / 3 and 0.85 < share.std() / spread < 1.15
+    assert counts.equals(audits.poisson_counts(df.repartition(5), 400).groupBy("draw").pivot("quality").agg(F.sum(F.when(F.col("predicted"), F.col("times")))).toPandas().set_index("draw").loc[counts.draw].reset_index())
+
+
 def test_windows(spark):
     at = datetime(2024, 3, 31, 18, 30)  # 02:30 on 1 April in Shanghai, a Monday
     asked = ["今天", "昨天", "上周", "this week", "上月", "本月", "过去 2 周", "last 10 days", "最近", "有哪些新动作", "how"]
