@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from corpusloom.functions.text import search_tokens
 
 WEIGHTS = {"dense": 1.0, "sparse": 0.6, "temporal": 0.15, "entity_temporal": 1.0}
 QUERY_BLOCK, VECTOR_BLOCK, QUERY_BLOCKS_HELD = 1_000, 4_096, 16
+#: a time before all others; a vector without one has it
+NEVER = -(1 << 62)
 
 
 def document_frequency(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,8 +41,8 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, k: int = 40, most: float =
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int, group_col: str | None = None) -> DataFrame:
-    """ids, vectors (unit length), groups, all packed: up to ``size`` rows in one; null and zero vectors are left out."""
+def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int, facts: list[Column]) -> DataFrame:
+    """ids, vectors (unit length), facts (whole numbers), all packed: up to ``size`` rows in one; null and zero vectors are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,11 +55,12 @@ def _packed(rows: DataFrame, id_col: str, vector_col: str, size: int, group_col:
                 length = np.linalg.norm(v, axis=1)
                 kept = length > 0
                 if kept.any():
-                    ids, groups, v = part.column(0).to_numpy()[kept], part.column(2).to_numpy()[kept], v[kept] / length[kept, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, v, groups)], names=["ids", "vectors", "groups"])
+                    ids, v = part.column(0).to_numpy()[kept], v[kept] / length[kept, None]
+                    told = np.array([part.column(c).to_numpy()[kept] for c in range(2, part.num_columns)], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, v, told)], names=["ids", "vectors", "facts"])
 
-    group = F.coalesce(F.col(group_col).cast("long"), F.lit(-1).cast("long")) if group_col else F.lit(0).cast("long")
-    return rows.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), group.alias("g")).mapInArrow(run, "ids binary, vectors binary, groups binary")
+    named = [c.cast("long").alias(f"fact{k}") for k, c in enumerate(facts)]
+    return rows.select(F.col(id_col).cast("long"), F.col(vector_col).cast("array<double>"), *named).mapInArrow(run, "ids binary, vectors binary, facts binary")
 
 
 def sketch_bits(n: int) -> int:
@@ -74,6 +77,7 @@ def dense_topk(
     group_col: str | None = None,
     earlier: bool = False,
     least: float | None = None,
+    windows: bool = False,
     sketches: bool = False,
     slack: float = 0.6,
     seed: int = 5,
@@ -83,6 +87,7 @@ def dense_topk(
     Each block of queries meets each block of vectors once, inside the plan; of that a task
     keeps its best k for each query, and only those are shuffled. No queries, or no vectors, give no rows.
     group_col (a whole number): only vectors of the query's group count; earlier: only smaller ids; least: the least score.
+    windows: only vectors with a time ``at`` in the query's half-open window (begin_at, end_at; null: none) count.
 
     sketches: vectors are first compared by the signs of random projections (their number grows with the number of
     vectors): 64 in one operation. In order of their distance a few are compared in full; then only those whose distance
@@ -93,8 +98,11 @@ def dense_topk(
     if sketches:
         first = vectors.filter(F.col(vector_col).isNotNull()).select(F.size(vector_col).alias("n")).limit(1).collect()
         planes = np.random.default_rng(seed).normal(size=(sketch_bits(vectors.count()), first[0].n if first else 1))
-    asked = _packed(queries, "query_id", "vector", QUERY_BLOCK, group_col).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors", "groups": "query_groups"})
-    pairs = _packed(vectors, id_col, vector_col, VECTOR_BLOCK, group_col).crossJoin(asked)
+    group = [F.coalesce(F.col(group_col), F.lit(-1))] if group_col else [F.lit(0)]
+    bound = lambda c, none: F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(none))
+    ends = [bound("begin_at", NEVER), bound("end_at", -NEVER)] if windows else []
+    asked = _packed(queries, "query_id", "vector", QUERY_BLOCK, group + ends).withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors", "facts": "query_facts"})
+    pairs = _packed(vectors, id_col, vector_col, VECTOR_BLOCK, group + ([bound("at", NEVER)] if windows else [])).crossJoin(asked)
 
     def signs(v: np.ndarray) -> np.ndarray:
         return np.packbits(v @ planes.T > 0, axis=1).view(np.uint64)
@@ -131,15 +139,18 @@ def dense_topk(
 
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, v, groups, names, q, of = (batch.column(c)[r].as_py() for c in range(6))
+                ids, v, facts, names, q, of = (batch.column(c)[r].as_py() for c in range(6))
                 ids, asked_ids = np.frombuffer(ids, np.int64), np.frombuffer(names, np.int64)
                 v, q = np.frombuffer(v).reshape(len(ids), -1), np.frombuffer(q).reshape(len(asked_ids), -1)
                 floor = best[names][1][:, -1] if names in best and best[names][1].shape[1] == k else np.full(len(q), -1.0)
                 s = likely(q, v, floor) if sketches else q @ v.T
                 made[names] = made.get(names, 0) + np.isfinite(s).sum(1)
                 s = np.round(s, 6)
+                of, facts = np.frombuffer(of, np.int64).reshape(-1, len(q)), np.frombuffer(facts, np.int64).reshape(-1, len(v))
                 if group_col:
-                    s[np.frombuffer(of, np.int64)[:, None] != np.frombuffer(groups, np.int64)] = -np.inf
+                    s[of[0][:, None] != facts[0]] = -np.inf
+                if windows:
+                    s[(facts[1] < of[1][:, None]) | (facts[1] >= of[2][:, None])] = -np.inf
                 if earlier:
                     s[asked_ids[:, None] <= ids] = -np.inf
                 if least is not None:
@@ -153,7 +164,7 @@ def dense_topk(
                     yield from rows()
         yield from rows()
 
-    found = pairs.select("ids", "vectors", "groups", "query_ids", "query_vectors", "query_groups").mapInArrow(run, "query_id long, id long, score double, compared long")
+    found = pairs.select("ids", "vectors", "facts", "query_ids", "query_vectors", "query_facts").mapInArrow(run, "query_id long, id long, score double, compared long")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = found.withColumns({"rank": F.row_number().over(order), "compared": F.sum("compared").over(W.partitionBy("query_id"))})
     found = found.filter((F.col("rank") <= k) & (F.col("score") > float("-inf"))).withColumnRenamed("id", id_col)

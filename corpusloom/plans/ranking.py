@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
 from corpusloom.plans.evaluation import _FUSED, _JUDGED, _SPARSE, benchmark_queries, fused, judgments, sparse
-from corpusloom.plans.funnel import channels, second_scores
+from corpusloom.plans.funnel import channels
 from corpusloom.plans.reads import with_canonical
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import CONTENT_TYPES, TIERS, read_tables
@@ -49,16 +49,18 @@ def question_type():
     return F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("query_id") % 5 + 1).cast("int"))
 
 
-def boosted(rows, known, asked):
+def boosted(rows, known, asked, window=WINDOW, kind=None):
     """``rows`` (query_id, doc_id, score) with the score on [0, 1] and what each candidate's facts add to it, each once."""
+    kind = question_type() if kind is None else kind
+    begin, end = (F.lit(b).cast("timestamp") if isinstance(b, str) else b for b in window)
     own = W.partitionBy("query_id")
     low, high = F.min("score").over(own), F.max("score").over(own)
     base = F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0)
     both = rows.withColumn("base", base).join(known, "doc_id").join(asked, "query_id")
     add = lambda hit, worth: F.when(F.coalesce(hit, F.lit(False)), worth).otherwise(0.0)
-    inside = (F.col("at") >= F.lit(WINDOW[0]).cast("timestamp")) & (F.col("at") < F.lit(WINDOW[1]).cast("timestamp"))
+    inside = (F.col("at") >= begin) & (F.col("at") < end)
     subject = (F.col("subject") != "") & F.array_contains("entities", F.col("subject"))
-    opinion = (F.col("content_type") == "opinion") & (question_type() == "fact_check")
+    opinion = (F.col("content_type") == "opinion") & (kind == "fact_check")
     extra = add(F.col("tier") == "primary", 0.08) + add(inside, 0.05) + add(subject, 0.05) + add(F.col("is_copy"), -0.10) + add(opinion, -0.15)
     return both.withColumn("boosted", F.round(F.col("base") + extra, 6))
 
@@ -194,29 +196,6 @@ def h11_select_evidence(spark, sf_dir):
     return select_evidence(rows.withColumns({"item_id": F.concat_ws("-", "source", F.floor(F.col("doc_id") / 60).cast("string")), "story": F.floor(F.col("doc_id") / 10), "exempt": F.lit(False)}))
 
 
-@query()
-def h15_retrieve_batch(spark, sf_dir):
-    """All questions through channels, fusion, boosts, the depth of their type, a second score, dimensions and
-    freshness, and selection; each candidate with its ranks on the way and what became of it."""
-    known, ask = facts(spark, sf_dir), asked(spark, sf_dir)
-    rows = boosted(fused(spark, sf_dir, 60).select("query_id", "doc_id", "score"), known, ask)
-    place = lambda by: F.row_number().over(W.partitionBy("query_id").orderBy(*by, "doc_id"))
-    rows = rows.withColumns({"fused_rank": place([F.desc("score")]), "boosted_rank": place([F.desc("boosted")])})
-    kind = question_type()
-    depth = F.when(kind.isin("comparison", "recent_updates"), 20).otherwise(40)
-    second = second_scores(spark, sf_dir).select("query_id", "doc_id", "second")
-    head = rows.filter(F.col("boosted_rank") <= depth).join(second, ["query_id", "doc_id"], "left").withColumn("score", F.coalesce("second", F.lit(0.0)) + F.col("boosted"))
-    head = with_dimensions(head, kind)
-    adjusted = F.col("relevance") + 0.1 * F.col("directness") + 0.08 * F.col("fit")
-    moment, begin, end = (F.unix_micros(c) for c in (F.col("at"), F.lit(WINDOW[0]).cast("timestamp"), F.lit(WINDOW[1]).cast("timestamp")))
-    recency = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (moment - begin) / (end - begin))), F.lit(0.5))
-    final = F.when(kind.isin(FRESH), 0.7 * adjusted + 0.3 * recency).otherwise(adjusted)
-    ranked = head.withColumn("final", F.round(final, 6)).withColumn("rank", place([F.desc("final")]))
-    chosen = select_evidence(ranked.withColumns({"item_id": F.concat_ws("-", "source", F.floor(F.col("doc_id") / 60).cast("string")), "story": F.floor(F.col("doc_id") / 10), "exempt": F.lit(False)}))
-    trace = rows.select("query_id", "doc_id", "fused_rank", "boosted_rank").join(ranked.select("query_id", "doc_id", F.col("rank").alias("final_rank")), ["query_id", "doc_id"], "left").join(chosen, ["query_id", "doc_id"], "left")
-    return trace.withColumn("outcome", F.coalesce("outcome", F.when(F.col("final_rank").isNull(), "beyond_depth").otherwise("not_reached")))
-
-
 @query()
 def h2_dense_topk_lsh(spark, sf_dir):
     """The ten nearest vectors by sketches of signs, and whether the exact search has each; ``test_retrieval`` measures the recall."""
