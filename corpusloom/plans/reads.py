@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators import pages
 from corpusloom.operators.ranks import ranked
 from corpusloom.plans.registry import query
 from corpusloom.sources.tables import CONTENT_TYPES, SQL, ZONE, items, passages, read_tables, sources
@@ -73,6 +74,20 @@ def a4_extract_links(spark, sf_dir):
     return found.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
+@query()
+def a3_parse_pages(spark, sf_dir):
+    """Articles of all pages: address, title, language, date, main text and how much of it is links."""
+    (rows,) = read_tables(spark, sf_dir, "pages")
+    return pages.articles(rows)
+
+
+@query()
+def a4_article_links(spark, sf_dir):
+    """Addresses of articles that pages name, in their JSON-LD or by links in any form."""
+    (rows,) = read_tables(spark, sf_dir, "pages")
+    return pages.article_links(rows)
+
+
 _FIRST = "SELECT *, min(item_id) OVER (PARTITION BY body) AS canonical_id FROM item"
 
 
