@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Window as W
@@ -104,25 +106,26 @@ DRAWS = 1000
 
 
 def poisson_counts(rows, draws: int = DRAWS, seed: int = 1):
-    """lang, predicted, quality, draw, times of rows (lang, predicted, quality, doc_id): how often each kind of row is drawn.
+    """lang, predicted, quality, draw, times, n of rows (lang, predicted, quality, doc_id): how often each kind of row is drawn, and how many rows it has.
 
     Each row draws for itself how often it is in every resample (a Poisson number, as in a large resample),
     by a generator seeded with its id; a task sums these numbers by kind, so a row is read once and never copied.
     """
 
     def run(batches):
-        sums = {}
+        sums, sizes = {}, Counter()
         for batch in batches:
             for *kind, doc_id in zip(*[c.to_pylist() for c in batch.columns]):
                 drawn = np.random.Generator(np.random.Philox(key=[seed, doc_id & (1 << 64) - 1])).poisson(1.0, draws)
                 sums[tuple(kind)] = sums.get(tuple(kind), 0) + drawn
+                sizes[tuple(kind)] += 1
         kinds = [*zip(*sums)] or [(), (), ()]
         types = (pa.string(), pa.bool_(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*[pa.array(k, t) for k, t in zip(kinds, types)], pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], names=["lang", "predicted", "quality", "drawn"])
+        yield pa.RecordBatch.from_arrays([*[pa.array(k, t) for k, t in zip(kinds, types)], pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64())), pa.array([sizes[k] for k in sums], pa.int64())], names=["lang", "predicted", "quality", "drawn", "n"])
 
     rows = rows.select("lang", "predicted", F.col("quality").cast("long").alias("quality"), F.col("doc_id").cast("long").alias("doc_id"))
-    found = rows.mapInArrow(run, "lang string, predicted boolean, quality long, drawn array<long>")
-    return found.select("lang", "predicted", "quality", F.posexplode("drawn").alias("draw", "times")).groupBy("lang", "predicted", "quality", "draw").agg(F.sum("times").alias("times"))
+    found = rows.mapInArrow(run, "lang string, predicted boolean, quality long, drawn array<long>, n long")
+    return found.select("lang", "predicted", "quality", "n", F.posexplode("drawn").alias("draw", "times")).groupBy("lang", "predicted", "quality", "draw").agg(F.sum("times").alias("times"), F.sum("n").alias("n"))
 
 
 @query()
@@ -132,7 +135,9 @@ def j13_bootstrap_ci(spark, sf_dir):
     rows = sampled(spark, sf_dir).filter("quality is not null")
     strata = rows.groupBy("lang", "predicted").agg(F.max("population").alias("population"))
     counts = poisson_counts(rows.select("lang", "predicted", "quality", "doc_id"))
-    told = counts.join(strata, ["lang", "predicted"]).withColumn("share", F.col("population") / F.sum("times").over(W.partitionBy("lang", "predicted", "draw")))
+    # a small stratum of which nothing was drawn counts as it is
+    drawn, every = (F.sum(c).over(W.partitionBy("lang", "predicted", "draw")) for c in ("times", "n"))
+    told = counts.join(strata, ["lang", "predicted"]).withColumns({"share": F.col("population") / F.when(drawn > 0, drawn).otherwise(every), "times": F.when(drawn > 0, F.col("times")).otherwise(F.col("n"))})
     part = lambda p, q: F.sum(F.when(p & (F.col("quality") == q), F.col("times") * F.col("share")).otherwise(0.0))
     yes = F.col("predicted")
     told = told.groupBy("lang", "draw").agg(part(yes, 1).alias("tp"), part(yes, 0).alias("fp"), part(~yes, 1).alias("fn"))

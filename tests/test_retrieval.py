@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import questions as Q
 from corpusloom.functions.text import canonical_url, clean_title
 from corpusloom.operators import ranks, retrieval
-from corpusloom.plans import audits, ranking
+from corpusloom.plans import audits, ranking, registry
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -138,6 +138,11 @@ def test_bootstrap(spark):
     assert counts.equals(audits.poisson_counts(df.repartition(5), 400).groupBy("draw").pivot("quality").agg(F.sum(F.when(F.col("predicted"), F.col("times")))).toPandas().set_index("draw").loc[counts.draw].reset_index())
 
 
+def test_bootstrap_of_small_strata(spark):
+    found = registry.queries()["j13_bootstrap_ci"](spark, "/root/testdata/sf0.001").collect()
+    assert found and all(r[f"{c}_low"] is None or 0 <= r[f"{c}_low"] <= r[f"{c}_high"] <= 1 for r in found for c in ("precision", "recall"))
+
+
 def test_windows(spark):
     at = datetime(2024, 3, 31, 18, 30)  # 02:30 on 1 April in Shanghai, a Monday
     asked = ["今天", "昨天", "上周", "this week", "上月", "本月", "过去 2 周", "last 10 days", "最近", "有哪些新动作", "how"]
