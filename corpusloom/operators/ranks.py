@@ -42,6 +42,8 @@ def values_at(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, l
     ends = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
     open_ = wanted.select(*keys, "rank").distinct().alias("w").join(ends.alias("e"), same("w", "e", keys))
     open_ = open_.select(*[F.col(f"w.{c}") for c in (*keys, "rank")], "__low", "__high", F.lit(0).cast("long").alias("__before"))
+    rounds = Rounds(rows.sparkSession, "places")
+    open_ = rounds.save(open_, "level-0")  # a row for each place: written, so that a level doesn't repeat those before it
 
     def counted(cell: Column) -> DataFrame:
         spans = open_.select(*keys, "__low", "__high").distinct()
@@ -54,9 +56,10 @@ def values_at(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, l
         hit = open_.alias("o").join(found.alias("f"), [*same("o", "f", [*keys, "__low"]), place > F.col("__upto") - F.col("__n"), place <= F.col("__upto")])
         return hit.select(*[F.col(f"o.{c}") for c in (*keys, "rank")], F.col("__from").alias("__low"), F.col("__to").alias("__high"), (F.col("__before") + F.col("__upto") - F.col("__n")).alias("__before"))
 
-    for _ in range(levels):
+    for level in range(levels):
         width = F.col("__high") - F.col("__low")
-        open_ = counted(F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("__v") - F.col("__low")) / width * CELLS))).otherwise(0).cast("double"))
+        cells = counted(F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("__v") - F.col("__low")) / width * CELLS))).otherwise(0).cast("double"))
+        open_ = rounds.save(cells, f"level-{level + 1}")
     return counted(F.col("__v")).select(*keys, "rank", F.col("__low").alias("value"))
 
 
