@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,53 +29,77 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str = "r")
     return both.select(*[F.col(f"x.{c}") for c in rows.columns], (F.col("__before") + F.col("__inside")).cast("long").alias(name))
 
 
-CELLS, LEVELS = 1024, 2
+#: cells of a doubling of values in the first count, and of a cell in the second
+DOUBLING, CELLS = 128, 1024
+#: no double has a logarithm (base 2) beyond these
+LEAST_LOG, MOST_LOG = -1075, 1025
+
+
+def coarse_cell(v: Column) -> Column:
+    """A number that doesn't fall where ``v`` grows: each doubling has ``DOUBLING`` of them, whatever the values are; null for null.
+    Infinite values and NaN, the greatest for Spark, share the last."""
+    far = lambda x: F.floor((F.least(F.log2(x), F.lit(float(MOST_LOG))) - LEAST_LOG) * DOUBLING) + 1
+    return F.when(v > 0, far(v)).when(v < 0, -far(-v)).when(v == 0, 0)
+
+
+def fine_cell(v: Column, low: Column, high: Column) -> Column:
+    width = high - low
+    return F.when((width > 0) & (width < float("inf")), F.least(F.lit(CELLS - 1), F.floor((v - low) / width * CELLS))).otherwise(0)
+
+
+def _counted(rows: DataFrame, names: list[str], cell: Column) -> DataFrame:
+    return rows.groupBy(*names, cell.alias("__cell")).agg(F.count("*").alias("__n"), F.min("__v").alias("__from"), F.max("__v").alias("__to"))
+
+
+def _same(a: str, b: str, names: list[str]) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
+
+
+def _holding(counts: DataFrame, open_: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """keys, rank and the cell that holds it: its ends and how many values of the key lie before it."""
+    upto = W.partitionBy(*names).orderBy("__cell").rowsBetween(W.unboundedPreceding, 0)
+    place = F.col("rank") - F.col("__before")
+    hit = [*_same("o", "f", names), place > F.col("__upto") - F.col("__n"), place <= F.col("__upto")]
+    both = open_.alias("o").join(counts.withColumn("__upto", F.sum("__n").over(upto)).alias("f"), hit)
+    return both.select(*[F.col(f"o.{c}") for c in (*keys, "rank")], F.col("__from").alias("__low"), F.col("__to").alias("__high"), (F.col("__before") + F.col("__upto") - F.col("__n")).alias("__before"))
 
 
-def values_at(rows: DataFrame, keys: list[str], value: str, wanted: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """keys, rank, value: the values at places (keys, rank from 1) in the order of each key's values; null values don't count.
+def values_at(rows: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], list[Column]]) -> tuple[DataFrame, DataFrame]:
+    """(keys, rank, value) and (keys, rows, n, most): the values at the places ``ranks`` of n, and the sizes of all keys.
 
-    Nothing is sorted: rows are counted by cells between the least and the greatest value, and only the rows of cells
-    that hold a place are looked at again, in finer cells; at last equal values are counted. Counts are
-    summed where the rows are, and a key has at most ``CELLS`` of them for each place.
+    ``ranks`` gives places from 1 in the order of a key's ``n`` values; null values have no place, but count as rows.
+    Nothing is sorted. Rows are counted by cells whose bounds depend on no data, then those of the cells that
+    hold a place again by finer ones, at last equal values: the rows are read three times, however many
+    places are asked. Counts are summed where the rows are; what a key has of them doesn't grow with its rows.
     """
-    rows = rows.select(*keys, F.col(value).cast("double").alias("__v")).filter("__v is not null")
-    same = lambda a, b, names: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names]
-    ends = rows.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"))
-    open_ = wanted.select(*keys, "rank").distinct().alias("w").join(ends.alias("e"), same("w", "e", keys))
-    open_ = open_.select(*[F.col(f"w.{c}") for c in (*keys, "rank")], "__low", "__high", F.lit(0).cast("long").alias("__before"))
     rounds = Rounds(rows.sparkSession, "places")
-    open_ = rounds.save(open_, "level-0")  # a row for each place: written, so that a level doesn't repeat those before it
-
-    def counted(cell: Column) -> DataFrame:
-        spans = open_.select(*keys, "__low", "__high").distinct()
-        inside = rows.alias("r").join(spans.alias("s"), [*same("r", "s", keys), F.col("__v").between(F.col("__low"), F.col("__high"))])
-        inside = inside.select(*[F.col(f"r.{c}") for c in (*keys, "__v")], "__low", cell.alias("__cell"))
-        found = inside.groupBy(*keys, "__low", "__cell").agg(F.count("*").alias("__n"), F.min("__v").alias("__from"), F.max("__v").alias("__to"))
-        upto = W.partitionBy(*keys, "__low").orderBy("__cell").rowsBetween(W.unboundedPreceding, 0)
-        found = found.withColumn("__upto", F.sum("__n").over(upto))
-        place = F.col("rank") - F.col("__before")
-        hit = open_.alias("o").join(found.alias("f"), [*same("o", "f", [*keys, "__low"]), place > F.col("__upto") - F.col("__n"), place <= F.col("__upto")])
-        return hit.select(*[F.col(f"o.{c}") for c in (*keys, "rank")], F.col("__from").alias("__low"), F.col("__to").alias("__high"), (F.col("__before") + F.col("__upto") - F.col("__n")).alias("__before"))
-
-    for level in range(levels):
-        width = F.col("__high") - F.col("__low")
-        cells = counted(F.when(width > 0, F.least(F.lit(CELLS - 1), F.floor((F.col("__v") - F.col("__low")) / width * CELLS))).otherwise(0).cast("double"))
-        open_ = rounds.save(cells, f"level-{level + 1}")
-    return counted(F.col("__v")).select(*keys, "rank", F.col("__low").alias("value"))
-
-
-def quantiles(rows: DataFrame, keys: list[str], value: str, parts: dict[str, float], sizes: DataFrame) -> DataFrame:
-    """keys and a column for each continuous quantile asked; sizes: (keys, n), how many values a key has."""
+    rows = rows.select(*keys, F.col(value).cast("double").alias("__v"))
+    coarse = rounds.save(_counted(rows, keys, coarse_cell(F.col("__v"))), "coarse")
+    known = F.when(F.col("__cell").isNotNull(), F.col("__n")).otherwise(0)
+    sizes = coarse.groupBy(*keys).agg(F.sum("__n").alias("rows"), F.sum(known).alias("n"), F.max("__to").alias("most"))
+    asked = sizes.filter("n > 0").select(*keys, F.explode(F.array_distinct(F.array(*ranks(F.col("n"))))).alias("rank"), F.lit(0).cast("long").alias("__before"))
+    open_ = rounds.save(_holding(coarse.filter("__cell is not null"), asked, keys, keys), "held")
+    # written, so that Spark knows how few they are
+    spans = rounds.save(open_.select(*keys, "__low", "__high").distinct(), "spans")
+
+    def inside(spans: DataFrame, cell: Column) -> DataFrame:
+        hit = rows.alias("r").join(spans.alias("s"), [*_same("r", "s", keys), F.col("__v").between(F.col("__low"), F.col("__high"))])
+        return _counted(hit.select(*[F.col(f"r.{c}") for c in (*keys, "__v")], "__low", cell.alias("__c")), [*keys, "__low"], F.col("__c"))
+
+    names = [*keys, "__low"]
+    open_ = rounds.save(_holding(inside(spans, fine_cell(F.col("__v"), F.col("__low"), F.col("__high"))), open_, names, keys), "finer")
+    found = _holding(inside(open_.select(*keys, "__low", "__high").distinct(), F.col("__v")), open_, names, keys)
+    return found.select(*keys, "rank", F.col("__low").alias("value")), sizes
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, parts: dict[str, float]) -> DataFrame:
+    """keys, rows, n (those with a value), most, and a column for each continuous quantile asked; null without values."""
     at = lambda q: F.lit(q) * (F.col("n") - 1) + 1
-    places = F.explode(F.array(*[f(at(q)).cast("long") for q in parts.values() for f in (F.floor, F.ceil)])).alias("rank")
-    known = sizes.filter("n > 0")
-    found = values_at(rows, keys, value, known.select(*keys, places))
-    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"n.{c}")) for c in keys]
-    both = found.alias("f").join(known.alias("n"), same)
+    found, sizes = values_at(rows, keys, value, lambda n: [f(at(q)).cast("long") for q in parts.values() for f in (F.floor, F.ceil)])
 
     def told(q: float) -> Column:
         low, high = (F.max(F.when(F.col("rank") == f(at(q)), F.col("value"))) for f in (F.floor, F.ceil))
         return low + (high - low) * F.max(at(q) - F.floor(at(q)))
 
-    return both.groupBy(*[F.col(f"f.{c}") for c in keys]).agg(*[told(q).alias(name) for name, q in parts.items()])
+    both = sizes.alias("n").join(found.alias("f"), _same("n", "f", keys), "left")
+    return both.groupBy(*[F.col(f"n.{c}") for c in keys], "rows", "n", "most").agg(*[told(q).alias(name) for name, q in parts.items()])

@@ -69,11 +69,11 @@ _STAGED = f"""staged AS (SELECT event_id, event_type, unnest(['total', 'retrieve
 def d12_latency_summary(spark, sf_dir):
     """Quantiles of times and shares by operation and stage; whether the objective is met, from twenty calls on."""
     keys = ["event_type", "stage"]
-    rows = Rounds(spark, "latency").save(staged(spark, sf_dir).select(*keys, "ms", "share"), "times")  # traces are parsed once
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("calls"), F.count("ms").alias("n"), F.count("share").alias("m"), F.round(F.max("ms"), 5).alias("worst"))
-    times = quantiles(rows, keys, "ms", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, sizes.select(*keys, "n"))
-    shares = quantiles(rows, keys, "share", {"median_share": 0.5}, sizes.select(*keys, F.col("m").alias("n")))
-    found = sizes.join(times, keys, "left").join(shares, keys, "left")
+    both = F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("amount")) for c in ("ms", "share")]))
+    rows = Rounds(spark, "latency").save(staged(spark, sf_dir).select(*keys, both), "amounts")  # traces are parsed once
+    told = quantiles(rows, [*keys, "kind"], "amount", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    shares = told.filter("kind = 'share'").select(*keys, F.col("p50").alias("median_share"))
+    found = told.filter("kind = 'ms'").select(*keys, F.col("rows").alias("calls"), F.round("most", 5).alias("worst"), "p50", "p95", "p99").join(shares, keys)
     slo = F.when(F.col("stage") != "total", None).when(F.col("calls") < 20, "TOO_FEW").when(F.col("p95") > 100, "BREACHED").otherwise("MET")
     return found.select(*keys, "calls", *[F.round(c, 4).alias(c) for c in ("p50", "p95", "p99")], "worst", F.round("median_share", 5).alias("median_share"), slo.alias("slo"))
 
@@ -84,11 +84,11 @@ SELECT event_type, stage, round(max(ms) FILTER (WHERE r = greatest(1, CAST(round
 def d14_nearest_rank_latency(spark, sf_dir):
     """The nearest-rank quantile of each stage, and its mean as a part of the whole's."""
     keys = ["event_type", "stage"]
-    rows = staged(spark, sf_dir)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ms").alias("mean"))
-    sizes = sizes.join(sizes.filter("stage = 'total'").select("event_type", F.col("mean").alias("whole")), "event_type")
-    at = F.greatest(F.lit(1), F.bround(F.lit(0.95) * F.col("n"), 0).cast("long"))
-    placed = values_at(rows, keys, "ms", sizes.select(*keys, at.alias("rank"))).join(sizes, keys)
+    rows = Rounds(spark, "latency").save(staged(spark, sf_dir).select(*keys, "ms"), "times")
+    means = rows.groupBy(*keys).agg(F.avg("ms").alias("mean"))
+    means = means.join(means.filter("stage = 'total'").select("event_type", F.col("mean").alias("whole")), "event_type")
+    found, _ = values_at(rows, keys, "ms", lambda n: [F.greatest(F.lit(1), F.bround(F.lit(0.95) * n, 0).cast("long"))])
+    placed = found.join(means, keys)
     return placed.select(*keys, F.round("value", 5).alias("p95"), F.round(F.col("mean") / F.col("whole"), 5).alias("stage_share"))
 
 
@@ -117,13 +117,14 @@ def d9_source_health_daily(spark, sf_dir):
     size = F.length("body")
     keys = ["source_id", "day"]
     rows = rows.withColumns({"day": F.date_format("observed_at", "yyyy-MM-dd"), "chars": size})
+    known = rows.select(*keys, "event_type", (F.length(F.trim("body")) > 0).alias("fetched"), "chars", "value", (F.col("canonical_id") < F.col("item_id")).alias("is_copy"))
+    rows = Rounds(spark, "health").save(known, "known")
     found = rows.groupBy(*keys).agg(
-        F.count("*").alias("found"), rate(F.col("event_type") != "error").alias("discovery_rate"), rate(F.length(F.trim("body")) > 0).alias("fetch_rate"), rate(size >= 300).alias("parse_rate"),
-        rate(F.col("canonical_id") < F.col("item_id")).alias("copy_rate"), F.count("chars").alias("sized"), F.count("value").alias("lags"),
+        F.count("*").alias("found"), rate(F.col("event_type") != "error").alias("discovery_rate"), rate(F.col("fetched")).alias("fetch_rate"), rate(F.col("chars") >= 300).alias("parse_rate"), rate(F.col("is_copy")).alias("copy_rate"),
     )
-    sizes = quantiles(rows, keys, "chars", {"median_chars": 0.5}, found.select(*keys, F.col("sized").alias("n")))
-    lags = quantiles(rows, keys, "value", {"p95_lag": 0.95}, found.select(*keys, F.col("lags").alias("n")))
-    both = found.drop("sized", "lags").join(sizes, keys, "left").join(lags, keys, "left")
+    sizes = quantiles(rows, keys, "chars", {"median_chars": 0.5}).select(*keys, "median_chars")
+    lags = quantiles(rows, keys, "value", {"p95_lag": 0.95}).select(*keys, "p95_lag")
+    both = found.join(sizes, keys, "left").join(lags, keys, "left")
     return both.withColumns({"median_chars": F.round("median_chars", 3), "p95_lag": F.round("p95_lag", 6)})
 
 

@@ -86,13 +86,17 @@ def test_values_at_places(spark):
     kinds = {"a": lambda: rng.gauss(0, 1), "b": lambda: float(rng.randint(0, 3)), "c": lambda: rng.random() ** 40 * 1e9, None: lambda: rng.choice([None, 7.5, rng.random()])}
     rows = [(k, f()) for k, f in kinds.items() for _ in range(700)] + [("one", 4.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double")
-    sizes = df.groupBy("k").agg(F.count("v").alias("n"))
     parts = {"low": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "high": 1.0}
-    got = {r.k: r for r in ranks.quantiles(df, ["k"], "v", parts, sizes).collect()}
+    got = {r.k: r for r in ranks.quantiles(df, ["k"], "v", parts).collect()}
     for k in (*kinds, "one"):
         v = [x for n, x in rows if n == k and x is not None]
         assert [got[k][name] for name in parts] == pytest.approx([np.quantile(v, q) for q in parts.values()], abs=1e-12)
-    assert "none" not in got
+        assert (got[k].n, got[k].rows, got[k].most) == (len(v), sum(n == k for n, _ in rows), max(v))
+    assert (got["none"].n, got["none"].rows, got["none"].p50) == (0, 1, None)
+    far = [float("-inf"), -1.7e308, -5e-324, -0.0, 0.0, 5e-324, 1.7e308, float("inf")]
+    found, _ = ranks.values_at(spark.createDataFrame([("k", v) for v in far] * 3, "k string, v double"), ["k"], "v", lambda n: [F.lit(3 * i + 2).cast("long") for i in range(len(far))])
+    assert {r["rank"]: r.value for r in found.collect()} == {3 * i + 2: v for i, v in enumerate(far)}
+    assert ranks.quantiles(df.limit(0), ["k"], "v", parts).count() == 0
 
 
 def test_evidence_equals_one_by_one(spark):
