@@ -1,6 +1,6 @@
 """Substring dedup by sliding sentence spans, extended word by word.
 
-A span is a run of two sentences, or one sentence of at least 20 words; longer runs are
+A span is a run of two sentences, or one sentence of at least 8 words; longer runs are
 covered by the spans in them. Spans are hashed and joined over all documents. Where one
 that isn't the first of its kind borders on a sentence that no span covers, the words of
 that sentence are compared with those beside the first one, so that a passage may begin
@@ -24,8 +24,6 @@ from .common import Scratch, extended, fresh, released, small_batches, words
 END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 WORD = re.compile(r"[^\t-\r ]+")
 RUN, LEAST_WORDS, ALONE_WORDS = 2, 20, 8
-#: numbers of words are packed to this many bits; no sentence has more
-BITS = 21
 
 
 def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
@@ -68,27 +66,28 @@ def own_repeats(found: list[tuple[int, int, bytes]]) -> tuple[list[tuple[int, in
 
 
 def span_table(rows: DataFrame, run: int, alone: int) -> DataFrame:
-    """k1, k2 (the hash), id, place (first * 2 ** 32 + last), near of the spans of each row
-    (id, text). ``near`` packs the words of the sentence before, the span and the sentence behind."""
-    schema = f"k1 long, k2 long, id {rows.schema['id'].dataType.simpleString()}, place long, near long"
-    most = (1 << BITS) - 1
+    """k1, k2 (the hash), id, place (first * 2 ** 32 + last) of the spans of each row (id, text), and the
+    words of the sentence before, the span and the sentence behind."""
+    names = ["k1", "k2", "id", "place", "before", "own", "behind"]
+    schema = f"k1 long, k2 long, id {rows.schema['id'].dataType.simpleString()}, place long, before int, own int, behind int"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 1000):
-                part, keys, owner, place, near = batch.slice(begin, 1000), [], [], [], []
+                part, keys, owner, place, near = batch.slice(begin, 1000), [], [], [], ([], [], [])
                 for k in range(part.num_rows):
                     text = part.column(1)[k].as_py()
                     found = sentences(text) if text else []
-                    n = [0, *[min(s[3], most) for s in found], 0]
+                    n = [0, *[s[3] for s in found], 0]
                     for a, b, h in own_repeats(spans(found, run, alone))[0]:
                         keys.append(h)
                         owner.append(k)
                         place.append(a << 32 | b)
-                        near.append(n[a] << 2 * BITS | min(sum(n[a + 1 : b + 2]), most) << BITS | n[b + 2])
+                        for column, words_ in zip(near, (n[a], sum(n[a + 1 : b + 2]), n[b + 2])):
+                            column.append(words_)
                 both = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                columns = [pa.array(both[:, 0]), pa.array(both[:, 1]), part.column(0).take(pa.array(owner, pa.int32())), pa.array(place, pa.int64()), pa.array(near, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["k1", "k2", "id", "place", "near"])
+                columns = [pa.array(both[:, 0]), pa.array(both[:, 1]), part.column(0).take(pa.array(owner, pa.int32())), pa.array(place, pa.int64()), *[pa.array(c, pa.int32()) for c in near]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.select("id", "text").mapInArrow(released(split), schema)
 
@@ -96,7 +95,7 @@ def span_table(rows: DataFrame, run: int, alone: int) -> DataFrame:
 def open_edges(hits: DataFrame, least: int) -> DataFrame:
     """id, place, k1, k2, side (0: before, 1: behind), need of the spans beside a sentence that
     none covers, and that sentence's words; not where even with all of these it is too short."""
-    most, names = (1 << BITS) - 1, ["id", "place", "k1", "k2", "side", "need"]
+    names = ["id", "place", "k1", "k2", "side", "need"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +106,9 @@ def open_edges(hits: DataFrame, least: int) -> DataFrame:
                     if s is None or s["place"] >> 32 > last + 1:
                         if group:
                             first = group[0]["place"] >> 32
-                            left = [(g, 0, g["near"] >> 2 * BITS) for g in group if g["place"] >> 32 == first]
-                            right = [(g, 1, g["near"] & most) for g in group if g["place"] & 0xFFFFFFFF == last]
-                            if sum(g["near"] >> BITS & most for g in group) + left[0][2] + right[0][2] >= least:
+                            left = [(g, 0, g["before"]) for g in group if g["place"] >> 32 == first]
+                            right = [(g, 1, g["behind"]) for g in group if g["place"] & 0xFFFFFFFF == last]
+                            if sum(g["own"] for g in group) + left[0][2] + right[0][2] >= least:
                                 out += [(id_, g["place"], g["k1"], g["k2"], side, need) for g, side, need in left + right if need]
                         group, last = [], -2
                     if s is not None:
@@ -118,7 +117,7 @@ def open_edges(hits: DataFrame, least: int) -> DataFrame:
             columns = [pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * len(names)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    grouped = hits.groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "place", "near")).alias("spans"))
+    grouped = hits.groupBy("id").agg(F.collect_list(F.struct("k1", "k2", "place", "before", "own", "behind")).alias("spans"))
     return grouped.mapInArrow(released(run), ", ".join(f"{c} long" for c in names))
 
 
@@ -228,23 +227,25 @@ def remove_repeats(
     """The documents with repeated passages taken out of the text, and how many sentences lost words.
 
     The first of equal spans is the one in the smallest id (of ids that are no integers:
-    in the smallest hash), then the one nearest to the text's start. Rows of one id are one document: neither is a repeat of the other. Null
-    ids count as the largest, null texts stay null. Letters' ASCII case and white space
+    in the smallest hash), then the one nearest to the text's start. Rows of one id are one document: neither is a repeat of the other. A null
+    id is replaced by a hash of the text from 2 ** 62 on, behind all smaller ids, so that rows without one are
+    told apart by their texts and gather in no group; those of equal texts are one document. Null texts stay null. Letters' ASCII case and white space
     don't tell sentences apart. Other columns stay as they are. Hot spans are summed
     before the shuffle; the spans are joined to the few that repeat, where Spark
     splits what is skewed. Each document's own list of places is all that is gathered.
     """
     scratch = Scratch(docs.sparkSession, "spans")
-    # an id that sorts behind all others stands for null; other ids than integers go by a hash
+    # other ids than integers go by a hash
     integral = docs.schema[id_col].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    own = F.coalesce(F.col(id_col) if integral else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col)), F.lit(2**63 - 1)).cast("long")
+    unnamed = F.xxhash64(F.lit("no id"), text_col).bitwiseAND(F.lit(2**62 - 1)).bitwiseOR(F.lit(2**62))
+    own = F.coalesce((F.col(id_col) if integral else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))).cast("long"), unnamed)
     rows = small_batches(docs).select(own.alias("id"), F.col(text_col).alias("text"))
     table = scratch.save(span_table(rows, run, alone), "table")
     repeated = table.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("k1", "k2", "first")
     repeated = scratch.save(repeated, "repeated")
     found = scratch.save(table.join(repeated, ["k1", "k2"]), "found")
     scratch.drop("table")
-    hits = found.filter("id > first").select("k1", "k2", "id", "place", "near")
+    hits = found.filter("id > first").select("k1", "k2", "id", "place", "before", "own", "behind")
     edges = scratch.save(open_edges(hits, least), "edges")
     # each first span's words are read once, however many wait for them
     wanted = edges.groupBy("k1", "k2", "side").agg(F.max("need").alias("need"))

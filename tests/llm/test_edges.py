@@ -114,6 +114,22 @@ def test_string_ids_in_spans(spark):
     assert sorted(r.n_removed for r in sentence_spans.remove_repeats(docs).collect()) == [0, 2, 2]
 
 
+def test_rows_without_an_id_in_spans(spark):
+    word = lambda p, n: " ".join(f"{p}{k}" for k in range(n))
+    passage = f"{word('a', 14)}. {word('b', 15)}!"
+    docs = [(7, f"One. {passage}"), (None, f"Two. {passage}"), (None, f"Three {word('c', 30)}. So."), (None, f"Four {word('d', 9)}. Three {word('c', 30)}. So."), (None, "Five."), (None, "Five."), (None, None)]
+    got = sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in got) == [0, 0, 0, 0, 0, 2, 2]  # of rows without an id, one keeps the passage
+    assert {r.text for r in got if r.doc_id == 7} == {docs[0][1]} and "Two. " in {r.text for r in got}
+
+
+def test_a_sentence_of_millions_of_words(spark):
+    head, long_ = "Here begin words that never come to end.", " ".join(f"w{k % 97}" for k in range(2_200_000))
+    docs = [(1, f"{head} {long_} one"), (2, f"{head} {long_} two")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in sentence_spans.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] == (docs[0][1], 0) and got[2] == ("two", 2)
+
+
 def test_spans_cover_all_runs(spark):
     """What runs of sentences that an earlier document has cover goes, from twenty words on, and nothing that occurs once."""
     rng = np.random.default_rng(8)
