@@ -65,6 +65,24 @@ def selection(age: Column, tier: Column, content_type: Column, quality: Column,
     )
 
 
+# What is said of an item for each factor of its selection score, in the order in which equal factors are named.
+REASONS = {"quality": "内容质量高", "source_tier": "一手/权威来源", "content_type": "属于关键变更类型", "freshness": "发布时间新", "body_depth": "正文信息量充足", "corroboration": "多家独立信源报道"}
+
+
+def selection_reasons(age: Column, tier: Column, content_type: Column, quality: Column, chars: Column, sources: Column, most: int = 3) -> Column:
+    """The labels of the ``most`` greatest factors of the selection score, each of 0 to 100, without those of 0."""
+    factors = {
+        "quality": F.coalesce(quality, F.lit(50.0)),
+        "source_tier": looked_up(tier, SELECTION_TIERS, 0.5) * 100,
+        "content_type": looked_up(content_type, SELECTION_TYPES, 0.6) * 100,
+        "freshness": F.greatest(F.lit(0.0), 100.0 - age / 72.0 * 100.0),
+        "body_depth": F.least(chars / 4000.0, F.lit(1.0)) * 100,
+        "corroboration": F.least(F.log1p(F.greatest(sources - 1, F.lit(0))) / math.log(4), F.lit(1.0)) * 100,
+    }
+    ranked = F.array_sort(F.array(*[F.struct((-factors[name]).alias("v"), F.lit(k).alias("k"), F.lit(label).alias("label")) for k, (name, label) in enumerate(REASONS.items())]))
+    return F.array_join(F.transform(F.filter(F.slice(ranked, 1, most), lambda f: f["v"] < 0), lambda f: f["label"]), "、")
+
+
 def gate_quality(accepted: Column, chars: Column, density: Column) -> Column:
     found = 0.5 + 0.5 * F.least(chars / 4000.0, F.lit(1.0)) - F.greatest(density - 0.1, F.lit(0.0))
     return F.when(accepted, F.greatest(F.lit(0.0), F.least(F.lit(0.9999), found))).otherwise(0.0)

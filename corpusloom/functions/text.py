@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Query parameters that carry no identity.
 TRACKING = ["ref", "referrer", "source", "fbclid", "gclid", "mc_cid", "mc_eid", "igshid", "spm", "scm", "from", "share_source"]
@@ -63,6 +67,20 @@ def search_tokens(text: Column) -> Column:
     return F.array_union(F.regexp_extract_all(lowered, F.lit(f"({WORD})"), 1), cjk_bigrams(lowered))
 
 
+@F.arrow_udf(T.StringType())
+def _nfkc(title: pa.Array) -> pa.Array:
+    # Arrow's own normalisation leaves what it has taken apart uncomposed
+    return pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in title.to_pylist()], pa.string())
+
+
+def folded_title(title: Column) -> Column:
+    """A title in lower case with compatibility forms (full width, ligatures, circled numbers) replaced by what
+    they stand for, without blanks around it; null is empty. Titles in ASCII have no such forms and are not sent to Python
+    but as nulls."""
+    wide = F.when(F.octet_length(title) > F.length(title), title)
+    return F.trim(F.lower(F.coalesce(_nfkc(wide), title, F.lit(""))))
+
+
 def title_tokens(title: Column, stop: list[str]) -> Column:
     """Words of two and more Latin letters or digits, the parts of compound ones that aren't numbers, pairs of
     CJK characters; without those that say nothing. The title is in lower case, full-width forms folded."""

@@ -41,6 +41,23 @@ def g11_selection_score(spark, sf_dir):
     return scored(spark, sf_dir).select("item_id", F.round("score", 1).alias("score"))
 
 
+_FACTORS = {
+    "quality": "coalesce(quality, 50e0)", "source_tier": "100 * CASE tier WHEN 'primary' THEN 1e0 WHEN 'expert' THEN 0.85e0 WHEN 'secondary' THEN 0.7e0 ELSE 0.5e0 END",
+    "content_type": "100 * CASE content_type " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in scores.SELECTION_TYPES.items()) + " ELSE 0.6e0 END",
+    "freshness": f"greatest(0e0, 100e0 - (epoch(TIMESTAMP '{NOW}') - epoch(coalesce(published_at, observed_at))) / 3600e0 / 72e0 * 100e0)",
+    "body_depth": "100 * least(length(body) / 4000e0, 1e0)", "corroboration": "100 * least(ln(1 + item_id % 4) / ln(4), 1e0)",
+}
+_RANKED = "[" + ", ".join(f"{{'v': -({_FACTORS[name]}), 'k': {k}, 'label': '{label}'}}" for k, (name, label) in enumerate(scores.REASONS.items())) + "]"
+
+
+@query(f"WITH {SQL}, {_HEAT_SQL} SELECT item_id, array_to_string(list_transform(list_filter(list_sort({_RANKED})[1:3], lambda f: f.v < 0), lambda f: f.label), '、') AS reasons FROM scored")
+def g11_selection_reasons(spark, sf_dir):
+    """What speaks most for each item: its three greatest factors."""
+    age, outlets = scores.hours_before(F.lit(NOW), F.coalesce("published_at", "observed_at")), F.col("item_id") % 4 + 1
+    reasons = scores.selection_reasons(age, F.col("tier"), F.col("content_type"), F.col("quality"), F.length("body"), outlets)
+    return items(spark, sf_dir).join(F.broadcast(sources(spark, sf_dir)), "source_id").select("item_id", reasons.alias("reasons"))
+
+
 @query(f"WITH {SQL}, {_HEAT_SQL} SELECT item_id, content_type, heat FROM scored ORDER BY heat DESC, item_id LIMIT 20")
 def e6_hot_list(spark, sf_dir):
     return scored(spark, sf_dir).select("item_id", "content_type", "heat").orderBy(F.desc("heat"), "item_id").limit(20)

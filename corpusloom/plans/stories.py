@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scores
-from corpusloom.functions.text import cjk_bigrams, title_tokens
+from corpusloom.functions.text import cjk_bigrams, folded_title, title_tokens
 from corpusloom.operators import chunks, graph, near
 from corpusloom.plans.registry import query
 from corpusloom.plans.scoring import _HEAT, _HEAT_SQL, scored
@@ -128,10 +128,22 @@ def g6_title_tokens(spark, sf_dir):
     return members(spark, sf_dir).select("item_id", F.array_join(F.array_sort("tokens"), " ").alias("tokens"))
 
 
+#: printable ASCII but the blank, and the same in full width
+_NARROW = "".join(map(chr, range(33, 127)))
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _NARROW)
+
+
+@query(f"WITH {SQL} SELECT item_id, array_to_string(list_sort({_WORDS}), ' ') AS tokens FROM (SELECT item_id, regexp_extract_all(lower(title), '[a-z0-9][a-z0-9._-]*') AS w FROM item)")
+def g6_wide_titles(spark, sf_dir):
+    """Tokens of titles of which every second is written in full width: they are those of the plain titles."""
+    title = F.when(F.col("item_id") % 2 == 1, F.translate("title", _NARROW, _WIDE)).otherwise(F.col("title"))
+    return items(spark, sf_dir).select("item_id", F.array_join(F.array_sort(title_tokens(folded_title(title), STOP)), " ").alias("tokens"))
+
+
 def members(spark, sf_dir):
     """Items with the sets that stories are made from."""
     k = F.col("item_id")
-    title = F.concat(F.lower("title"), F.when(k % 4 == 0, F.concat(F.lit(" v1."), (k % 3).cast("string"))).when(k % 4 == 1, " alpha-beta").otherwise(""))
+    title = F.concat(folded_title(F.col("title")), F.when(k % 4 == 0, F.concat(F.lit(" v1."), (k % 3).cast("string"))).when(k % 4 == 1, " alpha-beta").otherwise(""))
     none = F.array().cast("array<string>")
     return items(spark, sf_dir).select(
         "item_id", "source_id", "content_type", "quality", F.col("observed_at").alias("at"), F.array_distinct(F.regexp_extract_all("title", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("entities"),

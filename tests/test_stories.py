@@ -1,10 +1,13 @@
 """Passages, fingerprints, near duplicates, stories and the daily choice against brute force and golden cases."""
 
 import random
+import unicodedata
 from datetime import datetime, timedelta
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from corpusloom.functions import scores, text
 from corpusloom.operators import chunks, graph, near
 from corpusloom.plans import stories
 
@@ -167,6 +170,24 @@ def test_cliques_equal_one_by_one(spark):
         assert {r.node: r.story for r in got.collect()} == told
 
 
+def test_titles_in_other_forms(spark):
+    titles = ["ＧＰＴ－５．２ 発表", "ﬁne ① ｶﾞ", "  Plain Title ", "", None, "Ｃａｆé e\u0301 ℌ", "𝐁𝐨𝐥𝐝 １．０", "ΑΣ ²"]
+    df = spark.createDataFrame(list(enumerate(titles)), "k long, title string")
+    got = {r.k: r.t for r in df.select("k", text.folded_title(F.col("title")).alias("t")).collect()}
+    assert got == {k: unicodedata.normalize("NFKC", t or "").lower().strip() for k, t in enumerate(titles)}
+    tokens = df.filter("k in (0, 2)").select(text.title_tokens(text.folded_title(F.col("title")), stories.STOP).alias("t")).collect()
+    assert "gpt-5.2" in tokens[0].t and set(tokens[1].t) == {"plain", "title"}
+
+
+def test_reasons_of_selection(spark):
+    rows = [(0.0, "primary", "model_release", 100.0, 9000, 4), (90.0, "community", "opinion", 0.0, 0, 1), (36.0, None, None, None, 2000, 2)]
+    df = spark.createDataFrame(rows, "age double, tier string, kind string, quality double, chars int, sources int")
+    got = [r.r for r in df.select(scores.selection_reasons(*[F.col(c) for c in df.columns]).alias("r")).collect()]
+    label = scores.REASONS
+    # equal factors are named in a fixed order; of 36 hours, quality, tier, freshness, depth and two outlets give 50 each
+    assert got == ["、".join(label[k] for k in ("quality", "source_tier", "content_type")), "、".join((label["source_tier"], label["content_type"])), "、".join(label[k] for k in ("content_type", "quality", "source_tier"))]
+
+
 def test_daily_choice(spark):
     rng = random.Random(2)
     rows = [(f"d{k % 3}", k, rng.choice("abcdefg"), rng.choice(["research", "policy", "research", "business"]), float(rng.randint(0, 60))) for k in range(300)]
