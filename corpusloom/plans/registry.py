@@ -23,7 +23,7 @@ def query(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpusloom.plans import answers, audits, evaluation, feeds, funnel, landed, ops, ranking, reads, retrieve, scoring, stories, streams, texts, topics  # noqa: F401  they register themselves
+    from corpusloom.plans import answers, audits, evaluation, feeds, funnel, landed, ops, ranking, reads, reports, retrieve, scoring, stories, streams, texts, topics  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
