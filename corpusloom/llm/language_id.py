@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import extended, fold, fresh, released, small_batches, text_of
+from .common import Scratch, extended, fold, fresh, mixed, released, small_batches, text_of
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -40,6 +40,11 @@ class Network:
             "out_bias": np.zeros(len(languages), np.float32),
         }
 
+    def copy(self) -> Network:
+        out = object.__new__(Network)
+        out.__dict__ |= self.__dict__ | {"p": {k: v.copy() for k, v in self.p.items()}}
+        return out
+
     def pooled(self, x: np.ndarray, keep: bool = False):
         """(n, WINDOW + span - 1) bytes -> the largest response of each filter."""
         n, span = len(x), max(WIDTHS)
@@ -60,38 +65,51 @@ class Network:
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
+    def gradient(self, xb: np.ndarray, yb: np.ndarray, shares: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the cross-entropy; ``shares`` are the logarithms of the languages' frequencies in
+        the rows. Added here and not when predicting, they keep rare languages from being named too seldom."""
+        h, top, at, cols = self.pooled(xb, keep=True)
+        z = h @ self.p["out"] + self.p["out_bias"]
+        if shares is not None:
+            z = z + shares
+        z = np.exp(z - z.max(1, keepdims=True))
+        d = z / z.sum(1, keepdims=True)
+        d[np.arange(len(d)), yb] -= 1
+        d /= len(d)
+        dh = (d @ self.p["out"].T) * (top > 0)
+        picked = cols[np.arange(len(xb))[:, None], at]  # (n, filters, span * dim)
+        de = (dh[:, :, None] * self.p["conv"].T[None]).reshape(-1, self.dim)
+        bytes_at = xb[np.arange(len(xb))[:, None, None], at[:, :, None] + np.arange(max(WIDTHS))].reshape(-1)
+        return {
+            "out": h.T @ d,
+            "out_bias": d.sum(0),
+            "bias": dh.sum(0),
+            "conv": np.einsum("nfd,nf->df", picked, dh) * self.mask,
+            "embed": np.stack([np.bincount(bytes_at, de[:, k], 256) for k in range(self.dim)], 1).astype(np.float32),
+        }
+
     def train(self, x: np.ndarray, y: np.ndarray, steps: int = 500, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
-        rng = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
+        rng, descent = np.random.default_rng(seed), Descent(self, rate)
         order = np.concatenate([rng.permutation(len(x)) for _ in range(-(-steps * batch // len(x)))])
         for k in range(steps):
             rows = order[k * batch : (k + 1) * batch]
-            xb, yb = x[rows], y[rows]
-            h, top, at, cols = self.pooled(xb, keep=True)
-            z = h @ self.p["out"] + self.p["out_bias"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            d = z / z.sum(1, keepdims=True)
-            d[np.arange(len(d)), yb] -= 1
-            d /= len(d)
-            dh = (d @ self.p["out"].T) * (top > 0)
-            picked = cols[np.arange(len(xb))[:, None], at]  # (n, filters, span * dim)
-            grad = {
-                "out": h.T @ d,
-                "out_bias": d.sum(0),
-                "bias": dh.sum(0),
-                "conv": np.einsum("nfd,nf->df", picked, dh) * self.mask,
-            }
-            de = (dh[:, :, None] * self.p["conv"].T[None]).reshape(len(xb), at.shape[1], -1, self.dim)
-            bytes_at = xb[np.arange(len(xb))[:, None, None], at[:, :, None] + np.arange(max(WIDTHS))]
-            grad["embed"] = np.zeros_like(self.p["embed"])
-            np.add.at(grad["embed"], bytes_at.reshape(-1), de.reshape(-1, self.dim))
-            step += 1
-            for name, g in grad.items():
-                first[name] = 0.9 * first[name] + 0.1 * g
-                second[name] = 0.999 * second[name] + 0.001 * g * g
-                self.p[name] -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+            descent.step(x[rows], y[rows])
+
+
+class Descent:
+    """Adam on a network, a batch at a time."""
+
+    def __init__(self, network: Network, rate: float, shares: np.ndarray | None = None):
+        self.network, self.rate, self.shares, self.steps = network, rate, shares, 0
+        self.first = {k: np.zeros_like(v) for k, v in network.p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in network.p.items()}
+
+    def step(self, xb: np.ndarray, yb: np.ndarray) -> None:
+        self.steps += 1
+        for name, g in self.network.gradient(xb, yb, self.shares).items():
+            first = self.first[name] = 0.9 * self.first[name] + 0.1 * g
+            second = self.second[name] = 0.999 * self.second[name] + 0.001 * g * g
+            self.network.p[name] -= self.rate * (first / (1 - 0.9**self.steps)) / (np.sqrt(second / (1 - 0.999**self.steps)) + 1e-8)
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -131,35 +149,125 @@ def drawn(rows: DataFrame, per_text: int = 4) -> DataFrame:
     return small_batches(rows).select("text", "lang").mapInArrow(released(run), "lang string, window binary")
 
 
+def dealt(rows: DataFrame, languages: list[str], shards: int) -> DataFrame:
+    """shard, key, lang, window of (id, text, lang): all windows of the texts with a letter, each
+    dealt by a hash of its row's id and text and its place there; ``lang`` is a number."""
+    place = {lang: k for k, lang in enumerate(languages)}
+    names = ["shard", "key", "lang", "window"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                h, texts, langs = (c.to_pylist() for c in batch.slice(begin, 256).columns)
+                real = [k for k, text in enumerate(texts) if has_letter(text)]
+                if not real:
+                    continue
+                found = [windows(texts[k])[0] for k in real]
+                size = np.array([len(f) for f in found])
+                nth = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                with np.errstate(over="ignore"):
+                    base = np.array([h[k] for k in real], np.int64).astype(np.uint64)
+                    key = mixed(np.repeat(base, size) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                x = np.concatenate(found)
+                held = pa.FixedSizeBinaryArray.from_buffers(pa.binary(x.shape[1]), len(x), [None, pa.py_buffer(x)]).cast(pa.binary())
+                lang = np.repeat(np.array([place[langs[k]] for k in real], np.int32), size)
+                yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(shards)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(lang), held], names=names)
+
+    rows = small_batches(rows).select(F.xxhash64("id", "text"), "text", "lang")
+    return rows.mapInArrow(released(run), "shard int, key long, lang int, window binary")
+
+
+def learnt(shards: DataFrame, network: Network, shares: np.ndarray, batch_size: int = 128, rate: float = 0.001) -> DataFrame:
+    """shard, n, weights: what the network becomes by going through each shard's n windows
+    once, in the order of their keys. Rows of a shard must follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, n, descent, x, y = None, 0, None, None, None
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if descent:
+                if len(x):
+                    descent.step(x, y)
+                weights = np.concatenate([descent.network.p[name].reshape(-1) for name in network.p])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([weights.tobytes()], pa.binary())], names=["shard", "n", "weights"])
+
+        for batch in batches:
+            of, langs = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            held = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(of), -1)
+            for rows in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
+                if not len(rows):
+                    continue
+                if of[rows[0]] != shard:
+                    yield from ended()
+                    shard, n, descent = int(of[rows[0]]), 0, Descent(network.copy(), rate, shares)
+                    x, y = held[:0], langs[:0]
+                n += len(rows)
+                x, y = np.concatenate([x, held[rows]]), np.concatenate([y, langs[rows]])
+                whole = len(x) // batch_size * batch_size
+                for k in range(0, whole, batch_size):
+                    descent.step(x[k : k + batch_size], y[k : k + batch_size])
+                x, y = x[whole:], y[whole:]
+        yield from ended()
+
+    return shards.select("shard", "key", "lang", "window").mapInArrow(released(run), "shard int, n long, weights binary")
+
+
+#: windows of a shard, and how many shards at most: their networks are averaged on the driver
+SHARD, SHARDS = 1 << 15, 256
+
+
 def fit(docs: DataFrame, sample: int = 6_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """A network fitted on windows of at most ``sample`` labelled texts.
+    """A network fitted on all windows of all labelled texts.
 
-    The sample is dealt by a hash of the ids: per language an equal share, one text at
-    least, over all languages (with more than ``sample``, the most frequent so many). Rows
-    with a null text, id or language are left out. None if nothing is labelled. Only
-    languages and at most four windows of 195 bytes a text reach the driver.
+    It begins as ``started`` on at most ``sample`` texts. From there every shard of the windows
+    is gone through once, each by a network of its own, and these are averaged by their
+    numbers of windows. Shards depend on the rows alone, not on how these are partitioned.
+    Rows with a null text, id or language are left out. None if no text with a letter is labelled. Only
+    languages, a start's windows and at most ``SHARDS`` networks reach the driver.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()]
-    if not langs:
+    # as many windows as ``windows`` cuts
+    counted = rows.groupBy("lang").agg(F.count("*").alias("texts"), F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("windows"))
+    counts = {r.lang: (r.texts, r.windows) for r in counted.collect()}
+    languages, total = sorted(counts), sum(n for _, n in counts.values())
+    if not total:
+        return None
+    network = started(rows, {lang: n for lang, (n, _) in counts.items()}, sample)
+    shares = np.log(np.array([max(1, counts[lang][1]) for lang in languages]) / total).astype(np.float32)
+    shards = min(SHARDS, -(-total // SHARD))
+    parts = dealt(rows, languages, shards).repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "lang")
+    found = learnt(parts, network, shares).toArrow().sort_by("shard")
+    if not found.num_rows:
         return None
+    share = found["n"].to_numpy() / sum(found["n"].to_pylist())
+    mean = sum(w * np.frombuffer(b, np.float32) for w, b in zip(share, found["weights"].to_pylist()))
+    ends = np.cumsum([v.size for v in network.p.values()])
+    network.p = {k: part.reshape(v.shape).astype(np.float32) for (k, v), part in zip(network.p.items(), np.split(mean, ends[:-1]))}
+    return network
+
+
+def started(rows: DataFrame, counts: dict[str, int], sample: int) -> Network:
+    """A network fitted on the driver on a few windows of some texts of (id, text, lang).
+
+    They are dealt by a hash of the ids: per language an equal share, one text at least (with
+    more languages than ``sample``, of the most frequent so many). Untrained if no text drawn has a letter.
+    """
+    names = sorted(counts)
+    share = max(1, sample // len(names))
     # ids alone are ranked; their texts are fetched by the join afterwards
-    share = sample // len(langs)
     kept = rows.select("id", "lang", F.xxhash64("id").alias("h"))
-    counts = kept.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample)
+    often = sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:sample]
+    often = rows.sparkSession.createDataFrame(often, "lang string, n long")
     # an even threshold on the hash leaves about twice the share before the exact cut
     lot = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    kept = kept.join(F.broadcast(counts), "lang").filter(lot < (2.0 * share + 20) / F.col("n"))
+    kept = kept.join(F.broadcast(often), "lang").filter(lot < (2.0 * share + 20) / F.col("n"))
     kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).filter(F.col("rank") <= share)
     chosen = F.broadcast(kept.select("id", "lang").distinct())  # at most ``sample`` rows
     found = drawn(rows.join(chosen, ["id", "lang"]).dropDuplicates(["id", "lang"])).toArrow()
-    if not found.num_rows:
-        return None
-    names = sorted(set(langs))
-    place = {lang: k for k, lang in enumerate(names)}
+    network, place = Network(names), {lang: k for k, lang in enumerate(names)}
     pairs = sorted(zip(found["lang"].to_pylist(), found["window"].to_pylist()))
-    network = Network(names)
-    network.train(np.frombuffer(b"".join(w for _, w in pairs), np.uint8).reshape(len(pairs), -1), np.array([place[lang] for lang, _ in pairs]))
+    if pairs:
+        network.train(np.frombuffer(b"".join(w for _, w in pairs), np.uint8).reshape(len(pairs), -1), np.array([place[lang] for lang, _ in pairs]))
     return network
 
 
@@ -207,25 +315,37 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return predict(rows, network).drop("text")
 
 
-def calibrated(docs: DataFrame, network: Network, loss: float = 0.001, sample: int = 4_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
-    """The score that all but a share of ``loss`` of labelled texts reach, by about ``sample``
-    of them, dealt by a hash of the ids; 0 without any. Only scores reach the driver."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    lot = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = rows.filter(lot < float(sample) / max(1, rows.count())).select("text")
-    found = predict(drawn, network).filter(F.col("lang_pred") != UNKNOWN).select("score").toArrow()["score"].to_numpy()
-    # the margin is for sums in another order
-    return float(np.quantile(found, loss, method="lower")) - 1e-6 if len(found) else 0.0
+def calibrated(scores: DataFrame, loss: float = 0.001) -> float:
+    """The score that all but a share of ``loss`` of the rows reach; 0 without rows.
+
+    It is one of the scores, by counts over all of them: of cells of equal width, then of
+    those of the cell that holds the rank, until that has one value. Only counts reach the
+    driver.
+    """
+    rows = scores.select(F.col(scores.columns[0]).alias("s"))
+    n, low, high = rows.agg(F.count("s"), F.min("s"), F.max("s")).first()
+    rank = int(loss * (n - 1)) if n else 0
+    while n and low < high:
+        cell = F.least(F.floor((F.col("s") - low) / (high - low) * 4096), F.lit(4095)).alias("cell")
+        found = rows.filter(F.col("s").between(low, high)).groupBy(cell).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high"))
+        for r in sorted(found.collect()):
+            if rank < r.n:
+                low, high = r.low, r.high
+                break
+            rank -= r.n
+    return float(low) if n else 0.0
 
 
 def keep_known(docs: DataFrame, text_col: str = "text", min_score: float | None = None, **columns: str) -> DataFrame:
     """The documents whose text has a language; columns stay as they are.
 
     Texts that score below ``min_score`` are in none of the languages learnt; by default it
-    is ``calibrated`` on the labelled rows that the network hasn't seen. Where nothing is
-    labelled there is no network, and every text with a letter stays.
+    is ``calibrated`` on all labelled rows that the network hasn't seen, for which the scored
+    rows are written once. Where nothing is labelled there is no network, and every text with
+    a letter stays.
     """
-    held_out = fold(columns.get("id_col", "doc_id"), 3) == 1
+    id_col, lang_col = columns.get("id_col", "doc_id"), columns.get("lang_col", "lang")
+    held_out = fold(id_col, 3) == 1
     network = fit(docs.filter(~held_out), text_col=text_col, **columns)
     if network is None:
 
@@ -235,8 +355,10 @@ def keep_known(docs: DataFrame, text_col: str = "text", min_score: float | None
                 yield batch.filter(pa.array([bool(t) and has_letter(t) for t in texts], pa.bool_()))
 
         return small_batches(docs).mapInArrow(released(lettered), docs.schema)
-    if min_score is None:
-        min_score = calibrated(docs.filter(held_out), network, text_col=text_col, **columns)
     lang, score = fresh(docs, "__lang"), fresh(docs, "__score")
-    kept = predict(docs, network, text_col, lang, score)
-    return kept.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= min_score)).drop(lang, score)
+    known = predict(docs, network, text_col, lang, score).filter(F.col(lang) != UNKNOWN)
+    if min_score is None:
+        known = Scratch(docs.sparkSession, "language").save(known, "scored")
+        labelled = F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()
+        min_score = calibrated(known.filter(held_out & labelled).select(score))
+    return known.filter(F.col(score) >= min_score).drop(lang, score)

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from corpusloom.llm import backoff_lm, common, decontamination, jaccard_join, language_id, licenses, queries, sentence_spans, sentencepieces, telephony, token_counts, url_filter
 
@@ -198,6 +199,39 @@ def test_many_languages_and_late_text(spark):
     assert sum(b"the" in r.window or b"der" in r.window for r in drawn.collect()) > 10  # a sixth of each text, behind its first 20,000 characters
 
 
+def test_all_texts_are_learnt_from(spark):
+    rng, rows = np.random.default_rng(3), []
+    for k in range(960):  # four ways to write each of two languages, of which a start by two texts sees one each
+        way = k % 8
+        letters = [chr(97 + 3 * way + j) for j in range(3)]
+        rows.append((k, " ".join("".join(rng.choice(letters, 5)) for _ in range(640)), f"l{way // 4}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = language_id.fit(docs, sample=2)
+    got = [net.languages[net.probabilities(language_id.windows(text)[0]).mean(0).argmax()] for _, text, _ in rows[:80]]
+    assert got == [lang for _, _, lang in rows[:80]]
+    again = language_id.fit(docs.repartition(7, "doc_id"), sample=2)
+    assert all((net.p[k] == again.p[k]).all() for k in net.p)
+    # one text alone has a letter, and the start needn't have drawn it
+    blank = spark.createDataFrame([(k, "1 2 3" if k < 999 else "abc", "l0") for k in range(1000)], docs.schema)
+    assert language_id.fit(blank, sample=1).languages == ["l0"]
+    assert language_id.fit(blank.filter("doc_id < 999"), sample=1) is None
+
+
+def test_threshold_comes_from_all_scores(spark, monkeypatch):
+    scores = np.random.default_rng(5).beta(9, 1, 30_000)
+    scores[::7] = scores[0]
+    docs = spark.createDataFrame([(k, repr(float(s)), "en" if k % 3 else None) for k, s in enumerate(scores)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "fit", lambda docs, **columns: True)
+    monkeypatch.setattr(language_id, "predict", lambda df, network, text_col="text", lang_col="lang_pred", score_col="score": df.withColumns({lang_col: F.lit("en"), score_col: F.col(text_col).cast("double")}))
+    seen = [s for k, s in enumerate(scores) if k % 3 and zlib.crc32(str(k).encode()) % 3 == 1]
+    least = np.quantile(seen, 0.001, method="lower")
+    assert {r.doc_id for r in language_id.keep_known(docs).collect()} == set(np.flatnonzero(scores >= least).tolist())
+    column = docs.select(F.col("text").cast("double").alias("s"))
+    for loss in (0.0, 0.2, 0.5, 1.0):
+        assert language_id.calibrated(column, loss) == np.quantile(scores, loss, method="lower")
+    assert language_id.calibrated(column.limit(0)) == 0 and language_id.calibrated(column.limit(1)) == scores[0]
+
+
 def test_licence_form_is_canonical(spark):
     def plain(text):
         s = regex.sub(licenses.HOLDER, " ", text or "").lower()
