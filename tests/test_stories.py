@@ -1,6 +1,7 @@
 """Passages, fingerprints, near duplicates, stories and the daily choice against brute force and golden cases."""
 
 import random
+import time
 import unicodedata
 from datetime import datetime, timedelta
 
@@ -8,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from corpusloom.functions import scores, text
-from corpusloom.operators import chunks, graph, near
+from corpusloom.operators import alike, chunks, graph, near
 from corpusloom.plans import stories
 
 
@@ -200,3 +201,40 @@ def test_daily_choice(spark):
                 taken.append(r)
         want |= {(day, t.item_id, n + 1) for n, t in enumerate(taken)}
     assert got == want
+
+
+def test_pairs_of_very_many_shared_words(spark):
+    """All titles share three words and most no more: the old way compared each with each (18 million pairs) by several words.
+    Blocks of any size give the same pairs as every pair's own sum."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(6000):
+        own = [f"w{k}x{j}" for j in range(5)] if k % 60 else [f"g{rng.randrange(20)}" for _ in range(rng.randint(0, 3))]
+        names = [f"N{rng.randrange(5000)}" for _ in range(rng.randint(0, 3))]
+        at = None if k % 97 == 0 else datetime(2024, 1, 1) + timedelta(hours=rng.randint(0, 24 * 9))
+        rows.append((k, f"s{k % 9}", stories.ANNOUNCED[0] if k % 2 else "policy", at, sorted(set(names)), ["t"] * (k % 3 > 0) + ["u"] * (k % 5 > 2), [f"1.{k % 4}"] * (k % 7 == 0), sorted({"alpha", "alpha-beta", "beta", *own})))
+    schema = "item_id long, source_id string, content_type string, at timestamp, entities array<string>, topics array<string>, versions array<string>, tokens array<string>"
+    df = spark.createDataFrame(rows, schema)
+
+    def overlap(a, b):
+        least = min(len(a), len(b))
+        return 0.0 if not least else len(a & b) / (len(a | b) if least < 3 else least)
+
+    def total(x, y):
+        names, hours = (set(x[4]), set(y[4])), None if x[3] is None or y[3] is None else abs((x[3] - y[3]).total_seconds()) / 3600
+        action = len(names[0] & names[1]) / min(map(len, names)) * (1 if (x[2] == "policy") == (y[2] == "policy") else 0.6) if names[0] & names[1] else 0
+        parts = 0.35 * overlap(set(x[7]), set(y[7])) + 0.25 * overlap(*names) + 0.15 * action + 0.1 * (0.5 if hours is None else max(0, 1 - hours / 72))
+        return (parts + 0.05 * overlap(set(x[5]), set(y[5]))) / 0.9 if x[5] and y[5] else parts / 0.85
+
+    began = time.time()
+    got = {(r.a, r.b): (r.total, r.veto) for r in stories.story_pairs(df).collect()}
+    assert time.time() - began < 60
+    looked = [(x, y) for x in rows[::60] for y in rows if x[0] != y[0]]
+    want = {tuple(sorted((x[0], y[0]))): (total(x, y), x, y) for x, y in looked if total(x, y) >= stories.SUGGEST}
+    assert set(want) == {p for p in got if p[0] % 60 == 0 or p[1] % 60 == 0} and len(want) > 1000
+    for p, (t, x, y) in want.items():
+        veto = "version_conflict" if x[6] and y[6] and x[6] != y[6] else "same_source" if x[1] == y[1] else None
+        assert abs(got[p][0] - t) < 1e-6 and got[p][1] == veto
+    for block in (7, 100):
+        small = alike.pairs(df.filter("item_id % 20 = 0"), stories.ANNOUNCED, stories.SUGGEST, block).filter(f"total >= {stories.SUGGEST}").collect()
+        assert sorted((r.a, r.b) for r in small) == sorted(p for p in got if p[0] % 20 == p[1] % 20 == 0)
