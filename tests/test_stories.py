@@ -238,3 +238,35 @@ def test_pairs_of_very_many_shared_words(spark):
     for block in (7, 100):
         small = alike.pairs(df.filter("item_id % 20 = 0"), stories.ANNOUNCED, stories.SUGGEST, block).filter(f"total >= {stories.SUGGEST}").collect()
         assert sorted((r.a, r.b) for r in small) == sorted(p for p in got if p[0] % 20 == p[1] % 20 == 0)
+
+
+def test_cliques_in_one_pass_over_a_chain(spark):
+    """A chain, in which each story waited for the one before it in a round of its own; and windows of any size."""
+    n, began = 2000, time.time()
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.col("id").alias("place"))
+    links = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"), F.lit(True).alias("near"))
+    for at_once in (500, graph.LINKS):
+        got = graph.greedy_cliques(nodes, links, graph.Rounds(spark, "t"), at_once)
+        assert {r.node: r.story for r in got.collect()} == {k: k // 2 * 2 for k in range(n)}
+    assert time.time() - began < 100
+    assert graph._windows([(0, 0, 5), (1, 0, 9), (1, 1, 2), (2, 2, 9), (3, 1, 4), (3, 3, 1)], 7) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    assert graph._windows([(0, 0, 5), (1, 1, 2), (3, 1, 4), (3, 3, 1)], 7) == [(0, 2), (3, 3)] and graph._windows([], 7) == []
+
+
+def test_cliques_in_windows_of_links(spark):
+    rng = random.Random(11)
+    for n, share, at_once in ((150, 0.3, 900), (60, 0.9, 500), (150, 0.05, 300)):
+        links = {(a, b): rng.random() < 0.6 for a in range(n) for b in range(a) if rng.random() < share or a % 7 == b % 7}
+        nodes = spark.createDataFrame([(k, k * 7 % n if n % 7 else k) for k in range(n)], "node long, place long")
+        place = {r.node: r.place for r in nodes.collect()}
+        got = graph.greedy_cliques(nodes, spark.createDataFrame([(a, b, near) for (a, b), near in links.items()], "a long, b long, near boolean"), graph.Rounds(spark, "t"), at_once)
+        out, told = [], {}
+        for k in sorted(range(n), key=place.get):
+            known = lambda m: links.get((max(k, m), min(k, m)))  # noqa: B023, E731
+            story = next((s for s in out if all(known(m) is not None for m in s) and any(known(m) for m in s)), None)
+            if story is None:
+                story = []
+                out.append(story)
+            story.append(k)
+            told[k] = story[0]
+        assert {r.node: r.story for r in got.collect()} == told
