@@ -270,3 +270,14 @@ def test_cliques_in_windows_of_links(spark):
             story.append(k)
             told[k] = story[0]
         assert {r.node: r.story for r in got.collect()} == told
+
+
+def test_suggestions_along_a_chain(spark):
+    """Neighbours match, next ones nearly do: stories of two, each of which had nearly taken the item after it."""
+    n, began, rounds = 1500, time.time(), graph.Rounds(spark, "t")
+    rows = spark.range(n).select(F.col("id").alias("item_id"), (F.timestamp_seconds(F.lit(1704067200) - F.col("id"))).alias("at"))
+    pairs = spark.range(n).select(F.explode(F.array(*[F.struct(F.col("id").alias("a"), (F.col("id") + d).alias("b"), F.lit(t).alias("total")) for d, t in ((1, 0.6), (2, 0.45))])).alias("p")).select("p.*")
+    pairs = rounds.save(pairs.filter(F.col("b") < n).select("a", "b", "total", F.lit(None).cast("string").alias("veto"), F.lit(0.0).alias("hours")), "pairs")
+    told = rounds.save(stories.cliques_of(rows, pairs, rounds), "stories")
+    assert {tuple(r) for r in stories.suggestions(rows, pairs, told).collect()} == {(k, k + 2, 0.45) for k in range(0, n - 2, 2)}
+    assert time.time() - began < 60
