@@ -121,6 +121,8 @@ def g22_metadata_question(spark, sf_dir):
 # ---- citations
 
 _SEGMENT, _MARK = r"[^。！？!?\n]+(?:[。！？!?]+|$)", r"\[E([0-9]+)\]"
+#: the same for Java, whose search else begins again at every character of a line that ends without a mark
+_WHOLE = r"(?:^|(?<=[。！？!?\n]))[^。！？!?\n]++(?:[。！？!?]++|\z)"
 _SEGMENTS = f"""{ANSWER_SQL}, seg AS (SELECT conv_id, turn, unnest(s) AS segment, unnest(range(len(s))) AS place FROM (SELECT conv_id, turn, regexp_extract_all(answer, '{_SEGMENT}') AS s FROM answer)),
 claim AS (SELECT conv_id, turn, place, regexp_extract_all(segment, '{_MARK}', 1) AS numbers, trim(regexp_replace(trim(regexp_replace(regexp_replace(segment, '{_MARK}', '', 'g'), '\\s+', ' ', 'g'), ' 、,，'), '\\s+([。！？!?；;，,])', '\\1', 'g')) AS claim FROM seg),
 mark AS (SELECT conv_id, turn, place, claim, CAST(unnest(numbers) AS BIGINT) AS number FROM claim WHERE claim <> ''),
@@ -129,8 +131,8 @@ cited AS (SELECT conv_id, turn, number, min_by(claim, (length(claim), place)) AS
 
 def claims(spark, sf_dir):
     """conv_id, turn, number, claim: of each marker the shortest segment that bears it, without markers."""
-    split = F.regexp_extract_all("answer", F.lit(_SEGMENT), F.lit(0))
-    rows = answers(spark, sf_dir).select("conv_id", "turn", F.posexplode(split).alias("place", "segment"))
+    split = F.regexp_extract_all("answer", F.lit(_WHOLE), F.lit(0))
+    rows = answers(spark, sf_dir).select("conv_id", "turn", F.posexplode(split).alias("place", "segment")).filter(F.col("segment").contains("[E"))
     bare = F.trim(F.regexp_replace(F.regexp_replace("segment", _MARK, ""), r"\s+", " "))
     bare = F.regexp_replace(F.trim(bare, F.lit(" 、,，")), r"\s+([。！？!?；;，,])", "$1")
     rows = rows.select("conv_id", "turn", "place", F.trim(bare).alias("claim"), F.regexp_extract_all("segment", F.lit(_MARK), F.lit(1)).alias("numbers")).filter("claim <> ''")
