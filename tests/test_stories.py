@@ -281,3 +281,29 @@ def test_suggestions_along_a_chain(spark):
     told = rounds.save(stories.cliques_of(rows, pairs, rounds), "stories")
     assert {tuple(r) for r in stories.suggestions(rows, pairs, told).collect()} == {(k, k + 2, 0.45) for k in range(0, n - 2, 2)}
     assert time.time() - began < 60
+
+
+def test_whole_run_over_a_chain(spark, tmp_path):
+    """I11 over articles each of which is like its neighbours in time alone, against a count of its parts' rows by hand."""
+    rng, n, began = random.Random(3), 700, time.time()
+    word = lambda k: "".join(chr(97 + k // 26**p % 26) for p in (2, 1, 0))
+    body = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(60))
+    docs = [(k, " ".join(f"X{word(k + j)}" for j in range(4)) + ". " + body() + ".\n\n" + body() + ".", "en", f"src{k % 20}", 0) for k in range(n)]
+    pd.DataFrame(docs, columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(f"{tmp_path}/documents.parquet")
+    start = datetime(2024, 1, 1)
+    times = pd.DataFrame([(k, start + timedelta(minutes=9 * k)) for k in range(n)], columns=["event_id", "ts"]).astype({"ts": "datetime64[us]"})
+    times.to_parquet(f"{tmp_path}/events.parquet")
+    pd.DataFrame([(k, k % 2, 0) for k in range(0, n, 3)], columns=["doc_id", "quality", "toxic"]).to_parquet(f"{tmp_path}/labels.parquet")
+    got = {r.day: r for r in stories.i11_pipeline_run(spark, str(tmp_path)).collect()}
+    assert time.time() - began < 100
+    kept = {r.id for r in stories.canonical_items(spark, str(tmp_path)).collect() if r.id == r.canonical}
+    rows = stories.members(spark, str(tmp_path)).filter(F.col("item_id").isin(kept)).cache()
+    told, _ = greedy(rows.collect(), stories.story_pairs(rows).collect())
+    every = stories.families(stories.scored(spark, str(tmp_path))).filter(F.col("item_id").isin(kept))
+    chosen = stories.chosen_daily(every.select("day", "item_id", "family", "content_type", "score")).collect()
+    outlets = {s: {f"org{k % 20 // 2}" for k, t in told.items() if t == s} for s in told.values()}
+    assert len(outlets) < len(told) == len(kept) > 600 and {r.day for r in chosen} == set(got)
+    for day, r in got.items():
+        ids = [c.item_id for c in chosen if c.day == day]
+        want = (len(ids), len({told[k] for k in ids}), max(len(outlets[told[k]]) for k in ids), sum(len(chunks.chunks_of(docs[k][1])) for k in ids))
+        assert (r.items, r.stories, r.outlets, r.passages) == want and r.status == "PUBLISHED"
